@@ -153,10 +153,10 @@ def nearest_year_rates(t):
 
 
 @query("add_inr", f"""WITH {INR_SQL}
-SELECT type, country, year, round(damages_inr, 4) AS damages_inr, round(insured_inr, 4) AS insured_inr, fx_estimated
+SELECT type, country, year, round(damages_inr, 6) AS damages_inr, round(insured_inr, 6) AS insured_inr, fx_estimated
 FROM inr""")
 def add_inr(t):
-    return rounded(records_inr(t).select("type", "country", "year", "damages_inr", "insured_inr", "fx_estimated"), 4)
+    return rounded(records_inr(t).select("type", "country", "year", "damages_inr", "insured_inr", "fx_estimated"), 6)
 
 
 @query("rate_map", """SELECT min(year) AS first_year, max(year) AS last_year,

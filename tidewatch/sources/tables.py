@@ -96,7 +96,8 @@ FROM {nation} WHERE n_nationkey <> 24
 
 # Point catalogue with the pages' repeats still in it.
 VIEWS["quake_pages"] = """
-SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS id,
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
+           || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_quantity AS BIGINT) AS STRING) AS id,
        CASE WHEN l_partkey % 50 = 0 THEN 'explosion' ELSE 'earthquake' END AS type,
        CAST(l_shipdate AS DATE) AS event_date,
        CAST(year(l_shipdate) AS BIGINT) AS year, CAST(month(l_shipdate) AS BIGINT) AS month,
@@ -105,7 +106,7 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
        CAST(l_linenumber * 10 AS DOUBLE) AS depth_km,
        (55 + CAST(l_quantity AS BIGINT) % 34) / 10.0 AS magnitude,
        CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE 'place ' || CAST(l_suppkey AS STRING) END AS place
-FROM {lineitem}
+FROM {lineitem} JOIN (VALUES (0), (1)) again(page) ON page = 0 OR l_orderkey % 10 = 0
 """
 
 VIEWS["quakes"] = """
@@ -201,6 +202,35 @@ GROUP BY district, state, year, month
 """
 
 
+# Storms reduced from the track points.
+VIEWS["storms"] = """
+SELECT sid, name, season, basin, genesis_date, month, year, lmi_latitude, lmi_longitude, max_wind_kt, category, decade
+FROM (SELECT sid, CASE WHEN max(name) = 'NOT_NAMED' THEN 'Unnamed' ELSE 'Storm ' || substr(max(name), 7) END AS name,
+             max(season) AS season, coalesce(max(basin), '') AS basin, CAST(min(iso_time) AS DATE) AS genesis_date,
+             CAST(month(min(iso_time)) AS BIGINT) AS month, CAST(year(min(iso_time)) AS BIGINT) AS year,
+             min(lat) AS lmi_latitude, min(lon) AS lmi_longitude,
+             CAST(floor(max(coalesce(usa_wind, wmo_wind))) AS BIGINT) AS max_wind_kt,
+             CAST(CASE WHEN max(usa_wind) >= 137 THEN 5 WHEN max(usa_wind) >= 113 THEN 4 WHEN max(usa_wind) >= 96 THEN 3
+                       WHEN max(usa_wind) >= 83 THEN 2 WHEN max(usa_wind) >= 64 THEN 1 ELSE 0 END AS BIGINT) AS category,
+             CAST(floor(max(season) / 10) * 10 AS BIGINT) AS decade
+      FROM {track_points} WHERE track_type = 'main' GROUP BY sid) t
+WHERE max_wind_kt >= 34
+"""
+
+# Event export with gaps in month and day, and dates that do not exist.
+VIEWS["event_export"] = """
+SELECT CASE o_orderstatus WHEN 'F' THEN 'Earthquake' WHEN 'O' THEN 'Flood' ELSE 'Storm' END AS disaster_type,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Tropical Cyclone' WHEN 1 THEN 'Tornado' END AS disaster_subtype,
+       CAST(year(o_orderdate) AS STRING) AS start_year,
+       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(month(o_orderdate) AS STRING) END AS start_month,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN '31'
+            ELSE CAST(day(o_orderdate) AS STRING) END AS start_day,
+       CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 500 AS STRING) END AS total_deaths,
+       'C' || CAST(o_custkey % 50 AS STRING) AS country
+FROM {orders}
+"""
+
+
 def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
