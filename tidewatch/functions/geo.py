@@ -52,12 +52,15 @@ def cell_key(*axes: Column) -> Column:
 
 def neighbour_keys(axes: list[Column]) -> Column:
     """Keys of the cell itself and of every cell that touches it."""
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    keys = F.array(F.lit(""))
-    for position, axis in enumerate(axes):
-        sep = "" if position == 0 else ":"
-        keys = F.flatten(F.transform(keys, lambda key, a=axis, s=sep: F.transform(
-            around, lambda step: F.concat(key, F.lit(s), (a + step).cast("string")))))
+
+    def widen(keys: Column, axis: Column) -> Column:
+        near = F.array(axis - 1, axis, axis + 1)
+        return F.flatten(F.transform(keys, lambda key: F.transform(
+            near, lambda step: F.concat_ws(":", key, step.cast("string")))))
+
+    keys = F.transform(F.array(axes[0] - 1, axes[0], axes[0] + 1), lambda step: step.cast("string"))
+    for axis in axes[1:]:
+        keys = widen(keys, axis)
     return keys
 
 
