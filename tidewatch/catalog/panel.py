@@ -107,7 +107,7 @@ nrm AS (SELECT w.cell, sum(d.rain_mm) / 5 AS normal FROM win w
 
 @query("window_features", f"""WITH {WINDOW_SQL} SELECT cell, CAST(window_start AS STRING) AS window_start, CAST(as_of AS STRING) AS as_of,
   days, round_even(rain, 1) AS rain_mm, round(normal, 4) AS normal_mm, round_even(max3, 1) AS max_3day_rain_mm,
-  round(soil, 3) AS soil_wetness_before FROM facts JOIN soil USING (cell) JOIN nrm USING (cell)""")
+  round_even(soil, 3) AS soil_wetness_before FROM facts JOIN soil USING (cell) JOIN nrm USING (cell)""")
 def window_features(t):
     daily = dense(t)
     windows = op.latest_window(daily, "cell")

@@ -140,7 +140,7 @@ def within_reach(points: DataFrame, vertices: DataFrame, radius_km: float, lat:
 
 
 def assign_regions(points: DataFrame, vertices: DataFrame, key: str, overrides: dict[str, str] | None = None,
-                   radii: tuple[float, ...] = (100.0, 800.0, 6400.0, 20100.0)) -> DataFrame:
+                   radii: tuple[float, ...] = (500.0, 20100.0)) -> DataFrame:
     """One region per point: an override, else the region around it, else the nearest one.
 
     The nearest region is searched in widening circles, each only for the points that the
@@ -178,8 +178,8 @@ def quake_exposure(quakes: DataFrame, vertices: DataFrame, radius_km: float = 30
     near = quakes.filter(F.col("year").between(first, last) & (F.col("magnitude") >= minimum))
     hits = within_reach(near, vertices, radius_km, "latitude", "longitude")
     fields = F.struct("event_date", "year", "month", "magnitude", "place")
-    return hits.groupBy("region", "id").agg(F.min(fields).alias("q"), F.rint(F.min("dist_km")).alias("dist_km")).select(
-        "region", "id", "q.*", "dist_km")
+    return hits.groupBy("region", "id").agg(F.min(fields).alias("_q"), F.rint(F.min("dist_km")).alias("dist_km")).select(
+        "region", "id", "_q.*", "dist_km")
 
 
 def quake_metrics(exposure: DataFrame, regions: DataFrame, years: int) -> DataFrame:

@@ -231,6 +231,59 @@ FROM {orders}
 """
 
 
+# A small gazetteer, messy spellings of its names, and a numbered event inventory.
+VIEWS["gazetteer"] = """
+SELECT n_nationkey AS nk, s.state, p.name
+FROM {nation}
+JOIN (VALUES (0, 'Andhra Pradesh'), (1, 'Telangana'), (2, 'Kerala'), (3, 'Odisha'), (4, 'Goa')) s(k, state)
+  ON s.k = CAST(floor(n_nationkey / 5) AS INT)
+JOIN (VALUES (0, 'Alder Hill'), (1, 'Brookvale'), (2, 'Cedarpoint'), (3, 'Dunmoor'), (4, 'Elmgrove'), (5, 'Fernridge'),
+             (6, 'Glenford'), (7, 'Hazelwood'), (8, 'Ironbridge'), (9, 'Juniper Coast'), (10, 'Kestrel Bay'),
+             (11, 'Larkfield'), (12, 'Marshgate'), (13, 'Northwick'), (14, 'Oakhampton'), (15, 'Pinehurst'),
+             (16, 'Quarrydale'), (17, 'Rosemount'), (18, 'Saltmarsh'), (19, 'Thornbury')) p(k, name)
+  ON p.k = n_nationkey % 20
+"""
+
+VIEWS["aliases"] = """
+SELECT 'ifi' AS source, 'Old ' || name AS name, state AS geo_state, name AS geo_name FROM {gazetteer} WHERE nk % 4 = 1
+UNION ALL SELECT 'ifi', 'Twin ' || name, state, name FROM {gazetteer} WHERE nk IN (6, 7)
+UNION ALL SELECT 'ifi', 'Seven Isles', '', '-' FROM {gazetteer} WHERE nk = 0
+UNION ALL SELECT 'ifi', 'Upland', '', '~' FROM {gazetteer} WHERE nk = 0
+"""
+
+VIEWS["listed_names"] = """
+SELECT CAST(c_custkey AS BIGINT) AS event, 'ifi' AS source,
+       CASE WHEN v = 3 AND g.state = 'Odisha' THEN 'Orissa' WHEN v = 4 THEN 'Assam' WHEN v = 9 THEN g.state || '; Assam'
+            ELSE g.state END AS states,
+       CASE v WHEN 1 THEN upper(g.name) || ' (Rural)' WHEN 2 THEN 'Old Old ' || g.name
+              WHEN 5 THEN 'Parts of ' || g.name WHEN 6 THEN g.name || 'x' WHEN 7 THEN g.name || ' ' || h.name
+              WHEN 8 THEN '14 districts' WHEN 9 THEN 'Seven  Isles' WHEN 10 THEN replace(g.name, 'e', 'é')
+              WHEN 11 THEN 'Zzyzx & Qux' ELSE g.name END AS name
+FROM (SELECT c_custkey, c_nationkey, CAST(c_custkey % 12 AS INT) AS v FROM {customer}) c
+JOIN {gazetteer} g ON g.nk = c.c_nationkey
+JOIN {gazetteer} h ON h.nk = 5 * CAST(floor(c.c_nationkey / 5) AS INT) + (c.c_nationkey + 1) % 5
+"""
+
+VIEWS["inventory"] = """
+SELECT 'UEI-IMD-' || CAST(CAST(floor(k / 500000) AS BIGINT) AS STRING) || '-' || CAST(yr AS STRING) || '-'
+           || lpad(CAST(seq AS STRING), 4, '0') AS uei,
+       yr, seq, state,
+       CASE WHEN k % 17 = 0 THEN 'unknown' WHEN k % 5 = 0 THEN lpad(CAST(mon AS STRING), 2, '0') || '-'
+              || lpad(CAST(dom AS STRING), 2, '0') || '-' || CAST(yr AS STRING)
+            ELSE lpad(CAST(dom AS STRING), 2, '0') || '-' || lpad(CAST(mon AS STRING), 2, '0') || '-'
+              || CAST(yr AS STRING) || ' 00:00' END AS start_text,
+       lpad(CAST(least(dom + 2 + k % 9, 28) AS STRING), 2, '0') || '-' || lpad(CAST(mon AS STRING), 2, '0') || '-'
+              || CAST(yr AS STRING) AS end_text,
+       CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(1 + k % 30 AS DOUBLE) END AS duration,
+       CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(k % 40 AS DOUBLE) END AS deaths
+FROM (SELECT c_custkey AS k, 1967 + c_custkey % 57 AS yr,
+             CAST(floor((c_custkey % 500000) / 57) AS BIGINT) AS seq,
+             1 + CAST(floor((c_custkey % 684) / 57) AS BIGINT) AS mon, 1 + c_custkey % 28 AS dom,
+             'State ' || CAST(CAST(floor((c_custkey % 500000) / 228) AS BIGINT) % 7 AS STRING) AS state
+      FROM {customer}) t
+"""
+
+
 def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
@@ -240,7 +293,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
+    df = spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
+    return df.toDF(*df.columns)  # drops the text's table aliases
 
 
 def with_views(sql: str) -> str:
