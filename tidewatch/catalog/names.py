@@ -173,6 +173,6 @@ def storm_months(t):
   ELSE min(n) || ', ' || (list(n ORDER BY n))[2] || ' +' || (count(*) - 2) || ' more' END AS short
 FROM (SELECT DISTINCT c_mktsegment, n_name AS n FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey) q GROUP BY 1""")
 def shortened_lists(t):
-    both = t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey)
+    both = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     lists = both.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("l"))
     return lists.select("c_mktsegment", fn.shorten_list(F.col("l")).alias("short"))

@@ -50,18 +50,17 @@ def cell_key(*axes: Column) -> Column:
     return F.concat_ws(":", *[axis.cast("string") for axis in axes])
 
 
-def neighbour_keys(axes: list[Column]) -> Column:
-    """Keys of the cell itself and of every cell that touches it."""
-
-    def widen(keys: Column, axis: Column) -> Column:
-        near = F.array(axis - 1, axis, axis + 1)
-        return F.flatten(F.transform(keys, lambda key: F.transform(
-            near, lambda step: F.concat_ws(":", key, step.cast("string")))))
-
-    keys = F.transform(F.array(axes[0] - 1, axes[0], axes[0] + 1), lambda step: step.cast("string"))
-    for axis in axes[1:]:
-        keys = widen(keys, axis)
-    return keys
+def neighbour_keys(axes: list[Column], head: str = "") -> Column:
+    """Keys of the cell itself and of every cell that touches it, each after ``head``."""
+
+    def key(i: Column) -> Column:
+        parts = []
+        for axis in axes:
+            parts.append((axis + i % 3 - 1).cast("string"))
+            i = F.floor(i / 3)
+        return F.concat(F.lit(head), F.concat_ws(":", *parts))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3 ** len(axes) - 1).cast("long")), key)
 
 
 def square_degrees_to_km2(area: Column, lat: Column) -> Column:

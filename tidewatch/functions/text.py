@@ -90,7 +90,7 @@ def state_scope(states: Column) -> Column:
 
 
 def _parts(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def split_states(text: Column) -> Column:
@@ -131,7 +131,7 @@ def parse_time(text: Column) -> Column:
 
 def shorten_list(text: Column) -> Column:
     """ "A, B +n more" when a list has more than three entries."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     short = F.concat(F.array_join(F.slice(parts, 1, 2), ", "), F.lit(" +"), (F.size(parts) - 2).cast("string"),
                      F.lit(" more"))
     return F.when(F.size(parts) <= 3, text).otherwise(short)

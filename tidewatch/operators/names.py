@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.text import canon_state, compact, is_prose, split_districts, split_states, state_scope
+from tidewatch.session import materialise
 
 FUZZY_CUTOFF = 0.86
 FUZZY_GAP = 0.05
@@ -126,9 +127,10 @@ def match_once(names: DataFrame, gazetteer: DataFrame, aliases: DataFrame) -> Da
 def match_names(names: DataFrame, gazetteer: DataFrame, aliases: DataFrame) -> DataFrame:
     """Like ``match_once``, and then event names that run two places together are cut in two.
 
-    The first cut counts where both halves match, and neither by likeness only.
+    The first cut counts where both halves match, and neither by likeness only. The first
+    round of distinct names is written out, as both the cuts and the result read it.
     """
-    first = match_once(names, gazetteer, aliases)
+    first = materialise(match_once(names, gazetteer, aliases), "names")
     words = F.filter(F.split(F.trim("name"), r"\s+"), lambda w: w != "")
     cuts = (first.filter((F.col("how") == "none") & (F.col("source") == "ifi")).withColumn("_w", words)
             .filter(F.size("_w") > 1).withColumn("_cut", F.explode(F.sequence(F.lit(1), F.size("_w") - 1)))

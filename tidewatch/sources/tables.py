@@ -284,6 +284,41 @@ FROM (SELECT c_custkey AS k, 1967 + c_custkey % 57 AS yr,
 """
 
 
+# Readings of live events: up to three of one real event, shifted by seconds and tenths of a degree.
+VIEWS["live_readings"] = """
+SELECT CASE WHEN type = 'earthquake' AND r = 0 THEN 'usgs' WHEN type = 'earthquake' OR r <= 1 THEN 'gdacs' ELSE 'eonet' END
+           AS source,
+       'R' || CAST(event_id AS STRING) AS source_id, type, event_id AS seq,
+       CASE WHEN type = 'cyclone' THEN 'Tropical Cyclone NAME' || CAST(g % 40 AS STRING) || 'X-24'
+            ELSE 'Event ' || CAST(g AS STRING) END AS title,
+       CASE WHEN r = 1 THEN NULL ELSE 'Place ' || CAST(g % 90 AS STRING) END AS location,
+       CASE WHEN type = 'flood' AND r = 2 AND g % 5 = 0 THEN NULL
+            ELSE CAST((g * 37) % 1400 AS DOUBLE) / 10 - 70 + r * 0.1 END AS latitude,
+       CASE WHEN type = 'flood' AND r = 2 AND g % 5 = 0 THEN NULL
+            ELSE CAST((g * 73) % 3600 AS DOUBLE) / 10 - 180 + r * 0.1 END AS longitude,
+       1704067200 + (g * 997) % 2592000 + r * 40 AS at,
+       CASE WHEN event_id % 7 = 0 THEN NULL ELSE 1704067200 + (g * 997) % 2592000 + r * 3600 END AS updated_at,
+       CASE WHEN type = 'earthquake' AND r = 0 THEN NULL WHEN r = 2 AND type <> 'earthquake' THEN NULL
+            ELSE CASE g % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'orange' ELSE 'green' END END AS alert,
+       CASE WHEN type = 'earthquake' THEN 45 + (g * 7) % 36 + r END AS mag_tenths,
+       CASE WHEN type = 'flood' AND r >= 1 THEN CAST(g AS STRING) WHEN type <> 'flood' AND r = 1 THEN CAST(g AS STRING) END
+           AS gdacs_event_id,
+       CASE WHEN type = 'cyclone' AND r <= 1 THEN 'NAME' || CAST(g % 40 AS STRING) || 'X-24' END AS storm_name,
+       CASE WHEN type = 'cyclone' THEN 60 + g % 120 END AS wind_kmh
+FROM (SELECT event_id, CAST(floor(event_id / 3) AS BIGINT) AS g, event_id % 3 AS r,
+             CASE CAST(floor(event_id / 3) AS BIGINT) % 3 WHEN 0 THEN 'earthquake' WHEN 1 THEN 'flood' ELSE 'cyclone' END AS type
+      FROM {events}) e
+"""
+
+VIEWS["attempts"] = """
+SELECT CASE event_type WHEN 'view' THEN 'usgs' WHEN 'click' THEN 'gdacs' ELSE 'eonet' END AS source,
+       CAST(floor(event_id / 5) AS BIGINT) * 60 + 1704067200 AS at,
+       event_type <> 'error' AND user_id % 4 <> 0 AS ok, CAST(user_id AS BIGINT) AS events,
+       CASE WHEN event_type = 'error' OR user_id % 4 = 0 THEN 'Timeout' END AS error, event_id
+FROM {events} WHERE event_type IN ('view', 'click', 'error')
+"""
+
+
 def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
