@@ -19,19 +19,19 @@ def readings(t):
     label = F.when(F.col("type") == "earthquake", F.format_string("M%.1f", magnitude)).when(
         F.col("alert").isNotNull(), F.concat(F.initcap("alert"), F.lit(" alert")))
     return t.live_readings.withColumns({
-        "date": F.timestamp_seconds("at"), "updated": F.timestamp_seconds("updated_at"),
+        "date": F.timestamp_seconds("at_s"), "updated": F.timestamp_seconds("updated_at"),
         "magnitude": magnitude.cast("double"), "severity_label": label, "url": F.lit(None).cast("string"),
-        "wind_kmh": F.col("wind_kmh").cast("long")}).drop("at", "updated_at", "mag_tenths")
+        "wind_kmh": F.col("wind_kmh").cast("long")}).drop("at_s", "updated_at", "mag_tenths")
 
 
 def feed(t, source):
     """The readings of one source written as that source's JSON, a few dozen to a document."""
     rows = t.live_readings.filter(F.col("source") == source)
-    iso = F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    iso = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     place = F.struct(F.array("longitude", "latitude").alias("coordinates"))
     if source == "usgs":
         feature = F.struct(F.col("source_id").alias("id"), place.alias("geometry"), F.struct(
-            (F.col("mag_tenths") / 10).alias("mag"), F.col("location").alias("place"), (F.col("at") * 1000).alias("time"),
+            (F.col("mag_tenths") / 10).alias("mag"), F.col("location").alias("place"), (F.col("at_s") * 1000).alias("time"),
             F.col("title"), F.when(F.col("seq") % 2 == 0, "green").alias("alert")).alias("properties"))
         name = "features"
     elif source == "gdacs":
@@ -64,31 +64,31 @@ def feed(t, source):
     return rows.groupBy(*keys).agg(F.to_json(F.struct(F.collect_list(feature).alias(name))).alias("body"))
 
 
-@query("normalise_usgs", """SELECT source_id, title, latitude, longitude, at, location, CASE WHEN seq % 2 = 0 THEN 'green' END AS alert,
+@query("normalise_usgs", """SELECT source_id, title, latitude, longitude, at_s, location, CASE WHEN seq % 2 = 0 THEN 'green' END AS alert,
   'M' || printf('%.1f', mag_tenths / 10) || CASE WHEN seq % 2 = 0 THEN ' · PAGER green' ELSE '' END AS severity_label
 FROM {live_readings} WHERE source = 'usgs'""")
 def normalise_usgs(t):
     return op.normalise_usgs(feed(t, "usgs")).select(
-        "source_id", "title", "latitude", "longitude", F.unix_seconds("date").alias("at"), "location", "alert", "severity_label")
+        "source_id", "title", "latitude", "longitude", F.unix_seconds("date").alias("at_s"), "location", "alert", "severity_label")
 
 
 @query("normalise_gdacs", f"""SELECT CASE type WHEN 'earthquake' THEN 'EQ' WHEN 'cyclone' THEN 'TC' ELSE 'FL' END || source_id AS source_id,
-  type, title, latitude, longitude, at, alert, CAST(CASE WHEN type = 'cyclone' THEN wind_kmh END AS BIGINT) AS wind_kmh,
-  storm_name FROM {{live_readings}} WHERE source = 'gdacs' AND CASE WHEN type = 'earthquake' THEN at >= {NOW} - 7 * 86400
+  type, title, latitude, longitude, at_s, alert, CAST(CASE WHEN type = 'cyclone' THEN wind_kmh END AS BIGINT) AS wind_kmh,
+  storm_name FROM {{live_readings}} WHERE source = 'gdacs' AND CASE WHEN type = 'earthquake' THEN at_s >= {NOW} - 7 * 86400
   ELSE seq % 3 <> 0 END""")
 def normalise_gdacs(t):
     return op.normalise_gdacs(feed(t, "gdacs"), now_ts()).select(
-        "source_id", "type", "title", "latitude", "longitude", F.unix_seconds("date").alias("at"), "alert", "wind_kmh", "storm_name")
+        "source_id", "type", "title", "latitude", "longitude", F.unix_seconds("date").alias("at_s"), "alert", "wind_kmh", "storm_name")
 
 
-@query("normalise_eonet", """SELECT source_id, type, latitude, longitude, at, CASE WHEN seq % 4 <> 0 THEN gdacs_event_id END AS gdacs_event_id,
+@query("normalise_eonet", """SELECT source_id, type, latitude, longitude, at_s, CASE WHEN seq % 4 <> 0 THEN gdacs_event_id END AS gdacs_event_id,
   CAST(CASE WHEN type = 'cyclone' THEN round_even(wind_kmh * 1.852, 0) END AS BIGINT) AS wind_kmh,
   CASE WHEN type = 'cyclone' THEN 2 END AS track_points
 FROM {live_readings} WHERE source = 'eonet' AND seq % 11 <> 3 AND (type = 'cyclone' OR seq % 10 <> 5)
   AND (latitude IS NOT NULL OR (gdacs_event_id IS NOT NULL AND seq % 4 <> 0))""")
 def normalise_eonet(t):
     out = op.normalise_eonet(feed(t, "eonet"), now_ts())
-    return out.select("source_id", "type", "latitude", "longitude", F.unix_seconds("date").alias("at"), "gdacs_event_id",
+    return out.select("source_id", "type", "latitude", "longitude", F.unix_seconds("date").alias("at_s"), "gdacs_event_id",
                       "wind_kmh", F.when(F.col("track").isNotNull(), F.size("track.observed")).alias("track_points"))
 
 
@@ -114,7 +114,7 @@ def merge_readings(t):
 
 
 @query("current_readings", f"""SELECT source_id, type FROM {{live_readings}}
-WHERE at <= {NOW} AND at >= CASE WHEN type = 'earthquake' THEN {NOW} - 7 * 86400 ELSE {NOW} - 30 * 86400 END""")
+WHERE at_s <= {NOW} AND at_s >= CASE WHEN type = 'earthquake' THEN {NOW} - 7 * 86400 ELSE {NOW} - 30 * 86400 END""")
 def current_readings(t):
     return op.current_readings(readings(t), now_ts()).select("source_id", "type")
 
@@ -130,7 +130,7 @@ def as_events(t):
 SEVERITY_SQL = """ev AS (SELECT *, mag_tenths / 10 AS magnitude, CASE WHEN source = 'gdacs' THEN CASE alert WHEN 'green' THEN 'moderate'
     WHEN 'orange' THEN 'high' WHEN 'red' THEN 'very_high' END WHEN source = 'usgs' THEN CASE WHEN mag_tenths >= 70 THEN 'very_high'
     WHEN mag_tenths >= 60 THEN 'high' WHEN mag_tenths >= 45 THEN 'moderate' END END AS severity_level,
-  CASE WHEN type = 'earthquake' THEN at ELSE coalesce(updated_at, at) END AS time FROM {live_readings})"""
+  CASE WHEN type = 'earthquake' THEN at_s ELSE coalesce(updated_at, at_s) END AS time FROM {live_readings})"""
 
 
 @query("severity_levels", f"""WITH {SEVERITY_SQL} SELECT source_id AS id, severity_level, CASE WHEN source = 'gdacs' AND alert IS NOT NULL
@@ -151,24 +151,24 @@ def located_events(t):
     return op.located(as_events(t)).select("source_id")
 
 
-STATUS_SQL = f"""g AS (SELECT source, max_by(at, (at, event_id)) AS at, max_by(events, (at, event_id)) AS events FROM {{attempts}} WHERE ok GROUP BY source),
-l AS (SELECT source, max(at) AS tried_at, max_by(ok, (at, event_id)) AS ok, max_by(error, (at, event_id)) AS error FROM {{attempts}} GROUP BY source),
-snap AS (SELECT l.source, CASE WHEN l.ok THEN 'ok' WHEN g.at IS NOT NULL AND {NOW} - g.at <= 172800 * 20 THEN 'stale' ELSE 'unavailable' END
-  AS status, g.at, g.events, l.error, l.tried_at FROM l LEFT JOIN g USING (source))"""
+STATUS_SQL = f"""g AS (SELECT source, max_by(at_s, (at_s, event_id)) AS at_s, max_by(events, (at_s, event_id)) AS events FROM {{attempts}} WHERE ok GROUP BY source),
+l AS (SELECT source, max(at_s) AS tried_at, max_by(ok, (at_s, event_id)) AS ok, max_by(error, (at_s, event_id)) AS error FROM {{attempts}} GROUP BY source),
+snap AS (SELECT l.source, CASE WHEN l.ok THEN 'ok' WHEN g.at_s IS NOT NULL AND {NOW} - g.at_s <= 172800 * 20 THEN 'stale' ELSE 'unavailable' END
+  AS status, g.at_s, g.events, CASE WHEN NOT l.ok THEN l.error END AS error, l.tried_at FROM l LEFT JOIN g USING (source))"""
 
 
 def snapshots(t):
-    return op.last_good(t.attempts, F.lit(NOW), 172800 * 20)
+    return op.last_good(t.attempts.withColumnRenamed("at_s", "at"), F.lit(NOW), 172800 * 20)
 
 
-@query("last_good", f"""WITH {STATUS_SQL} SELECT source, status, CASE WHEN status <> 'unavailable' THEN at END AS at,
+@query("last_good", f"""WITH {STATUS_SQL} SELECT source, status, CASE WHEN status <> 'unavailable' THEN at_s END AS "at",
   CAST(CASE WHEN status <> 'unavailable' THEN events ELSE 0 END AS BIGINT) AS count, error, tried_at FROM snap""")
 def last_good(t):
     return snapshots(t)
 
 
-@query("source_status", f"""WITH {STATUS_SQL} SELECT source, {NOW} - CASE WHEN status <> 'unavailable' THEN at END AS age_seconds,
-  CASE WHEN status = 'ok' THEN {NOW} - at > 600 ELSE {NOW} - tried_at > 60 END AS due FROM snap""")
+@query("source_status", f"""WITH {STATUS_SQL} SELECT source, {NOW} - CASE WHEN status <> 'unavailable' THEN at_s END AS age_seconds,
+  CASE WHEN status = 'ok' THEN {NOW} - at_s > 600 ELSE {NOW} - tried_at > 60 END AS due FROM snap""")
 def source_status(t):
     return op.source_status(snapshots(t), F.lit(NOW)).select("source", "age_seconds", "due")
 
@@ -185,7 +185,7 @@ def layer_status(t):
 
 
 @query("link_tracks", """WITH p AS (SELECT sid, lat, lon, iso_time, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM (
-    SELECT sid, iso_time, min(lat + lon / 1000 + point_seq / 1e12) AS lat, min(lon + point_seq / 1e11) AS lon FROM {track_points} GROUP BY sid, iso_time) u
+    SELECT sid, iso_time, min(lat) + epoch(iso_time) / 1e13 AS lat, min(lon) AS lon FROM {track_points} GROUP BY sid, iso_time) u
   WINDOW w AS (PARTITION BY sid ORDER BY iso_time))
 SELECT sid AS storm, count(*) AS points FROM p GROUP BY sid HAVING count(*) >= 2""")
 def link_tracks(t):
@@ -194,8 +194,7 @@ def link_tracks(t):
 
     order = W.partitionBy("sid").orderBy("iso_time")
     points = t.track_points.groupBy("sid", "iso_time").agg(
-        F.min(F.col("lat") + F.col("lon") / 1000 + F.col("point_seq") / 1e12).alias("lat"),
-        F.min(F.col("lon") + F.col("point_seq") / 1e11).alias("lon"))
+        (F.min("lat") + F.unix_seconds(F.first("iso_time")) / 1e13).alias("lat"), F.min("lon").alias("lon"))
     segments = points.select(
         F.col("sid").alias("storm"), F.lit(False).alias("forecast"), F.hash("sid", "iso_time").alias("seq"),
         F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lead("lon").over(order).alias("x2"),

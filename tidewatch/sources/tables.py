@@ -296,7 +296,7 @@ SELECT CASE WHEN type = 'earthquake' AND r = 0 THEN 'usgs' WHEN type = 'earthqua
             ELSE CAST((g * 37) % 1400 AS DOUBLE) / 10 - 70 + r * 0.1 END AS latitude,
        CASE WHEN type = 'flood' AND r = 2 AND g % 5 = 0 THEN NULL
             ELSE CAST((g * 73) % 3600 AS DOUBLE) / 10 - 180 + r * 0.1 END AS longitude,
-       1704067200 + (g * 997) % 2592000 + r * 40 AS at,
+       1704067200 + (g * 997) % 2592000 + r * 40 AS at_s,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE 1704067200 + (g * 997) % 2592000 + r * 3600 END AS updated_at,
        CASE WHEN type = 'earthquake' AND r = 0 THEN NULL WHEN r = 2 AND type <> 'earthquake' THEN NULL
             ELSE CASE g % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'orange' ELSE 'green' END END AS alert,
@@ -312,7 +312,7 @@ FROM (SELECT event_id, CAST(floor(event_id / 3) AS BIGINT) AS g, event_id % 3 AS
 
 VIEWS["attempts"] = """
 SELECT CASE event_type WHEN 'view' THEN 'usgs' WHEN 'click' THEN 'gdacs' ELSE 'eonet' END AS source,
-       CAST(floor(event_id / 5) AS BIGINT) * 60 + 1704067200 AS at,
+       CAST(floor(event_id / 5) AS BIGINT) * 60 + 1704067200 AS at_s,
        event_type <> 'error' AND user_id % 4 <> 0 AS ok, CAST(user_id AS BIGINT) AS events,
        CASE WHEN event_type = 'error' OR user_id % 4 = 0 THEN 'Timeout' END AS error, event_id
 FROM {events} WHERE event_type IN ('view', 'click', 'error')
