@@ -370,7 +370,7 @@ def season_normal(t):
     return rounded(outlook.season_normal(t.daily_sparse, "cell", 2, "rain_mm"))
 
 
-@query("indicators", """SELECT district, i AS indicator, v AS value, CASE WHEN i = 'sst' AND cell % 2 = 1 THEN 'na' WHEN v IS NULL THEN 'unavailable'
+@query("indicators", """SELECT district, i AS indicator, round(CASE WHEN i = 'sst' AND cell % 2 = 1 THEN NULL ELSE v END, 6) AS value, CASE WHEN i = 'sst' AND cell % 2 = 1 THEN 'na' WHEN v IS NULL THEN 'unavailable'
   WHEN v > th THEN 'critical' WHEN v >= th * 0.75 THEN 'alert' ELSE 'normal' END AS status
 FROM (SELECT district, cell, unnest(['precip', 'wind', 'soil', 'temp', 'seismic', 'sst']) AS i, unnest([100.0, 60, 0.75, 2, 5, 28]) AS th,
   unnest([low_lying_pct * 1.5, low_lying_pct, low_lying_pct / 100, cell / 5.0, CASE WHEN cell % 3 <> 0 THEN cell / 3.0 END,

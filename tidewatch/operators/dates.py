@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.text import date_readings, start_choices
 
@@ -33,30 +36,31 @@ def mark_runs(numbered: DataFrame, state: str = "state") -> DataFrame:
     return numbered.withColumn("_new", new).withColumn("run", F.sum("_new").over(order)).drop("_new")
 
 
-def _cheapest(run: pd.DataFrame) -> pd.DataFrame:
+def cheapest_starts(year: int, run) -> list:
     """Start dates of one run with the smallest total cost; the day-first reading wins ties."""
-    run = run.sort_values("_seq")
-    year = int(run["_year"].iloc[0])
-    ahead = [(pd.Timestamp(year, 1, 1), 0)]
-    trail: list[tuple[int, list[tuple[pd.Timestamp, int]]]] = []
-    for place, readings in enumerate(run["_choices"]):
+    ahead = [(datetime.date(year, 1, 1), 0)]
+    trail = []
+    for place, event in enumerate(run):
+        readings = event["choices"]
         if len(readings) == 0:
             continue
         step = []
         for reading in readings:
-            day = pd.Timestamp(reading["day"])
-            costs = [total + (ORDER_BREAK if day < before else 0) for before, total in ahead]
+            costs = [total + (ORDER_BREAK if reading["day"] < before else 0) for before, total in ahead]
             back = costs.index(min(costs))
-            step.append((day, costs[back] + int(reading["cost"]), back))
+            step.append((reading["day"], costs[back] + int(reading["cost"]), back))
         trail.append((place, step))
         ahead = [(day, total) for day, total, _ in step]
     picked = [None] * len(run)
     choice = min(range(len(ahead)), key=lambda i: ahead[i][1])
     for place, step in reversed(trail):
-        day, _, back = step[choice]
-        picked[place] = day.date()
-        choice = back
-    return pd.DataFrame({"uei": run["uei"].to_numpy(), "start": picked})
+        picked[place], _, choice = step[choice]
+    return picked
+
+
+@F.pandas_udf(T.ArrayType(T.DateType()))
+def cheapest_starts_udf(years: pd.Series, runs: pd.Series) -> pd.Series:
+    return pd.Series([cheapest_starts(int(year), run) for year, run in zip(years, runs)])
 
 
 def resolve_dates(events: DataFrame, start: str = "start_text", end: str = "end_text", duration: str = "duration",
@@ -67,8 +71,11 @@ def resolve_dates(events: DataFrame, start: str = "start_text", end: str = "end_
     start that comes closest to the recorded duration.
     """
     runs = mark_runs(number_events(events), state).withColumn("_choices", start_choices(F.col(start)))
-    picked = runs.select("uei", "_book", "_year", "run", "_seq", "_choices").groupBy("_book", "_year", "run").applyInPandas(
-        _cheapest, "uei string, start date")
+    lists = runs.groupBy("_book", "_year", "run").agg(F.array_sort(F.collect_list(
+        F.struct("_seq", "uei", F.col("_choices").alias("choices")))).alias("_run"))
+    starts = cheapest_starts_udf("_year", "_run")
+    pairs = F.explode(F.arrays_zip(F.transform("_run", lambda e: e["uei"]).alias("uei"), starts.alias("start")))
+    picked = lists.select(pairs.alias("p")).select("p.uei", "p.start")
     out = runs.drop("_choices", "_book").join(picked, "uei", "left")
     later = F.filter(date_readings(F.col(end)), lambda d: d >= F.col("start"))
     options = F.when(F.size(later) == 0, F.array("start")).otherwise(later)

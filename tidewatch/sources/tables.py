@@ -187,7 +187,7 @@ WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 9 = 0
 VIEWS["panel"] = """
 SELECT district, state, year, month,
        CAST(sum(q) AS DOUBLE) AS rain_mm, CAST(max(q) AS DOUBLE) AS max_3day_rain_mm,
-       round(sum(q) / 3.0, 3) AS rain_pct_normal, round(avg(disc) * 10, 3) AS soil_wetness_before,
+       CAST(round(sum(q) / 3.0, 3) AS DOUBLE) AS rain_pct_normal, round(avg(disc) * 10, 3) AS soil_wetness_before,
        CAST(5 + (max(cell) * 53) % 900 AS DOUBLE) AS elevation_m,
        round(CAST(count(*) % 11 AS DOUBLE) / 10, 2) AS prior_flood_rate,
        CAST(CASE WHEN sum(q) % 10 < 3 THEN 1 ELSE 0 END AS BIGINT) AS flood,
@@ -319,6 +319,44 @@ FROM {events} WHERE event_type IN ('view', 'click', 'error')
 """
 
 
+# Response desk: people, plans with needs, tasks and their updates.
+VIEWS["responders"] = """
+SELECT 'P' || CAST(c_custkey AS STRING) AS id, c_name AS name,
+       CASE c_mktsegment WHEN 'FURNITURE' THEN 'Transporter' WHEN 'HOUSEHOLD' THEN 'Medical' WHEN 'MACHINERY' THEN 'Rescue'
+            WHEN 'BUILDING' THEN 'NGO' ELSE 'Volunteer' END AS role,
+       CASE WHEN c_custkey % 6 = 0 THEN '' ELSE ' City ' || CAST(c_custkey % 40 AS STRING) END AS city,
+       'State ' || CAST(c_nationkey % 6 AS STRING) AS state,
+       CASE c_custkey % 3 WHEN 0 THEN 'now' WHEN 1 THEN '2hrs' ELSE 'unavailable' END AS availability,
+       CAST(c_custkey % 120001 AS BIGINT) AS capacity, CASE WHEN c_custkey % 10 = 0 THEN '12' ELSE '+91 98765-4321' END AS phone
+FROM {customer}
+"""
+
+VIEWS["plan_needs"] = """
+SELECT 'plan' || CAST(n_nationkey AS STRING) AS plan_id, 'n' || CAST(k AS STRING) AS need_id,
+       'plan' || CAST(n_nationkey AS STRING) || ':n' || CAST(k AS STRING) AS key, 'city ' || CAST(n_nationkey AS STRING) AS area,
+       'State ' || CAST(n_nationkey % 6 AS STRING) AS state,
+       CASE (n_nationkey + k) % 4 WHEN 0 THEN 'transport' WHEN 1 THEN 'medical' WHEN 2 THEN 'food' ELSE 'other' END AS category
+FROM {nation} JOIN (VALUES (1), (2), (3), (4)) v(k) ON k <= 1 + n_nationkey % 4
+"""
+
+VIEWS["tasks"] = """
+SELECT 'T' || CAST(o_orderkey AS STRING) AS task_id, o_orderkey AS number, 'plan' || CAST(o_orderkey % 25 AS STRING) AS plan_id,
+       'n' || CAST(1 + o_orderkey % 4 AS STRING) AS need_id, 'P' || CAST(o_custkey AS STRING) AS assignee_id,
+       CASE o_orderkey % 5 WHEN 0 THEN 'assigned' WHEN 1 THEN 'accepted' WHEN 2 THEN 'collected' WHEN 3 THEN 'in_transit'
+            ELSE 'delivered' END AS status, CAST(o_orderdate AS TIMESTAMP) AS deadline
+FROM {orders}
+"""
+
+VIEWS["updates"] = """
+SELECT event_id AS update_id, 'T' || CAST(user_id AS STRING) AS task_id,
+       CASE event_type WHEN 'view' THEN 'accepted' WHEN 'click' THEN 'collected' WHEN 'purchase' THEN 'in_transit'
+            WHEN 'signup' THEN 'delivered' ELSE 'lost' END AS status,
+       'note ' || CAST(event_id AS STRING) AS note, CASE WHEN event_id % 3 = 0 THEN 'photo' ELSE '' END AS photo,
+       value AS lat, value AS lon, CAST(ts AS TIMESTAMP) AS at_time
+FROM {events}
+"""
+
+
 def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
