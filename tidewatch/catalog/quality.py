@@ -126,8 +126,8 @@ def parse_rates(t):
 
 
 def stream(t, name):
-    path = f"{t.sf_dir}/{name}.parquet"
-    return feeds.landed(t.spark, path, t.spark.read.parquet(path).schema)
+    schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
+    return feeds.landed(t.spark, t.sf_dir, schema, f"{name}.parquet")
 
 
 @query("stream_daily_counts", """SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, count(*) AS n FROM {events}
@@ -157,16 +157,15 @@ def stream_distinct_readings(t):
     return out.groupBy("source").agg(F.count("*").alias("readings"))
 
 
-@query("stream_source_health", """SELECT source, max_by(CASE WHEN ok THEN 'ok' ELSE 'stale' END, (at_s, event_id)) AS status, count(*) AS tries FROM {attempts} GROUP BY source""")
+@query("stream_source_health", """SELECT source, CASE WHEN max_by(ok, (at_s, event_id)) THEN 'ok' WHEN bool_or(ok) THEN 'stale' ELSE 'unavailable' END AS status,
+  count(*) AS tries FROM {attempts} GROUP BY source""")
 def stream_source_health(t):
     rows = stream(t, "events").filter("event_type IN ('view', 'click', 'error')").selectExpr(
         "CASE event_type WHEN 'view' THEN 'usgs' WHEN 'click' THEN 'gdacs' ELSE 'eonet' END AS source",
         "CAST(floor(event_id / 5) AS BIGINT) * 60 + 1704067200 AS at", "event_type <> 'error' AND user_id % 4 <> 0 AS ok",
-        "CAST(user_id AS BIGINT) AS events", "event_id")
-    out = feeds.run_available(feeds.source_health(rows), "source-health")
-    latest = out.groupBy("source").agg(F.max("at").alias("at"), F.count("*").alias("tries"))
-    return out.join(latest, ["source", "at"]).groupBy("source").agg(
-        F.max_by("status", F.lit(1)).alias("status"), F.first("tries").alias("tries"))
+        "CAST(user_id AS BIGINT) AS events", "CAST(NULL AS STRING) AS error", "event_id")
+    out = feeds.source_health(rows, "source-health", F.lit(1704067200), 10 ** 9)
+    return out.select("source", "status", "tries")
 
 
 @query("late_rows", "SELECT event_id FROM {events} WHERE ts < TIMESTAMP '2024-01-03 00:00:00'")

@@ -112,7 +112,7 @@ def model_evaluation(t):
 
 @query("model_card")
 def model_card(t):
-    return risk.model_card(t.spark, risk.train(risk.complete_rows(t.panel, ["flood"])))
+    return risk.model_card(t.spark, risk.train(risk.complete_rows(t.panel.drop("probability"), ["flood"])))
 
 
 @query("explain_scores", f"""SELECT district, year, month, round(1 / (1 + exp(-{LOGIT})), 3) AS probability,

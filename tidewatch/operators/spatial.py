@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geo import cell_key, haversine_km, neighbour_keys, sphere_axes, LIVE_EARTH_KM
+from tidewatch.functions.geo import LIVE_EARTH_KM, cell_key, haversine_km, neighbour_keys, sphere_axes
+from tidewatch.operators.ranking import exact_quantile
 
 # Boundary spacing in degrees, cyclone distance rings in km, sample grid.
 BOUNDARY_STEP = 0.05
@@ -309,8 +310,10 @@ def sample_points(vertices: DataFrame) -> DataFrame:
 
 
 def zonal_statistics(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, median and share below 10 m over each district's sample points."""
-    return samples.groupBy(key).agg(
-        F.bround(F.avg(value), 1).alias("elevation_m"), F.bround(F.median(value), 1).alias("elevation_median_m"),
+    """Mean, exact median and share below 10 m over each district's sample points."""
+    facts = samples.groupBy(key).agg(
+        F.bround(F.avg(value), 1).alias("elevation_m"),
         F.bround(F.avg((F.col(value) < LOW_LYING_M).cast("double")) * 100, 1).alias("low_lying_pct"),
         F.count("*").alias("elevation_samples"))
+    middle = exact_quantile(samples.select(key, value), [key], value, 0.5, "_median")
+    return facts.join(middle, key).withColumn("elevation_median_m", F.bround("_median", 1)).drop("_median")

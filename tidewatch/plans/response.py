@@ -195,7 +195,10 @@ def actions_by_category(actions: DataFrame) -> DataFrame:
 
 
 def recommend(rows: DataFrame, kind: str, days: int = 7, homeless: float = 0.0) -> DataFrame:
-    """Response estimate, tier labels, rank and a line of reasoning for every region."""
+    """Response estimate, tier labels, rank and a line of reasoning for every region.
+
+    There is one line per district or state here, a few hundred to rank in one window.
+    """
     tier = _pick(TIER, F.col("level"))
     out = resources(rows, kind, days, homeless).withColumn("tier", tier)
     order = W.partitionBy(F.lit(kind)).orderBy("tier", F.desc(F.coalesce("people", F.lit(0))), F.desc("probability"), "region")

@@ -8,19 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.operators.live import finalise, last_tries, merge_readings, snapshot_status
 from tidewatch.session import fresh_path
 
 SNAPSHOT_SECONDS = 2 * 86400
 
 
-def landed(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
+def landed(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
     """Stream of landed Parquet files, in bounded micro-batches."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .option("pathGlobFilter", pattern).parquet(path))
 
 
 def landed_documents(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -63,58 +63,64 @@ def late_rows(batch: DataFrame, closed_until: str, time: str = "ts") -> tuple[Da
     return batch.filter(F.col(time) >= edge), batch.filter(F.col(time) < edge)
 
 
-def keep_latest(stream: DataFrame, label: str, keys: list[str], order: list[str], counted: dict[str, str] | None = None) -> DataFrame:
-    """Latest row of each key over all micro-batches, with running counts.
+def fold(stream: DataFrame, label: str, reduce: Callable[[DataFrame], DataFrame],
+         combine: Callable[[DataFrame], DataFrame], base: str | None = None) -> DataFrame:
+    """Fold every micro-batch into a state table and return the last state.
 
-    A micro-batch is first reduced to one row per key and then folded into the state
-    table, which is rewritten beside the old one. ``counted`` maps a new column to the SQL
-    condition it counts.
+    A micro-batch is reduced to one row per key before it meets the state. The state after
+    batch n is a table of its own, made from the state after n - 1 only. A batch that is
+    repeated after a failure therefore writes the same table again and counts nothing twice.
     """
     spark = stream.sparkSession
+    base = base or fresh_path(spark, f"{label}-table")
+    last = {"batch": -1}
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = reduce(batch)
+        if number > 0:
+            rows = combine(spark.read.schema(rows.schema).parquet(f"{base}/{number - 1}").unionByName(rows))
+        rows.write.mode("overwrite").parquet(f"{base}/{number}")
+        last["batch"] = number
+
+    each_batch(stream, f"{label}-batches", step)
+    if last["batch"] < 0:
+        raise ValueError(f"nothing has landed for {label}")
+    return spark.read.parquet(f"{base}/{last['batch']}")
+
+
+def keep_latest(stream: DataFrame, label: str, keys: list[str], order: list[str],
+                counted: dict[str, str] | None = None) -> DataFrame:
+    """Latest row of each key over all micro-batches; ``counted`` maps a column to the SQL condition it counts."""
     counted = counted or {}
     fields = [c for c in stream.columns if c not in keys]
-    current: dict[str, str | None] = {"path": None}
 
-    def fold(batch: DataFrame, _: int) -> None:
-        ranked = F.struct(*order)
-        rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*fields), ranked).alias("_row"),
+    def reduce(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("_row"),
                                         *[F.count_if(F.expr(c)).alias(n) for n, c in counted.items()])
-        if current["path"]:
-            old = spark.read.parquet(current["path"])
-            both = old.unionByName(rows)
-            rows = both.groupBy(*keys).agg(
-                F.max_by("_row", F.struct(*[F.col(f"_row.{c}") for c in order])).alias("_row"),
-                *[F.sum(n).alias(n) for n in counted])
-        path = fresh_path(spark, f"{label}-table")
-        rows.write.parquet(path)
-        current["path"] = path
-
-    each_batch(stream, f"{label}-batches", fold)
-    table = spark.read.parquet(current["path"])
-    return table.select(*keys, "_row.*", *counted)
-
-
-def source_health(attempts: DataFrame) -> DataFrame:
-    """Status of each source after every try, kept as state per source.
-
-    ``attempts`` has source, at (seconds), ok and events. A good copy is forgotten two days
-    after it was taken.
+
+    def combine(rows: DataFrame) -> DataFrame:
+        place = F.struct(*[F.col(f"_row.{c}") for c in order])
+        return rows.groupBy(*keys).agg(F.max_by("_row", place).alias("_row"), *[F.sum(n).alias(n) for n in counted])
+
+    return fold(stream, label, reduce, combine).select(*keys, "_row.*", *counted)
+
+
+def source_health(attempts: DataFrame, label: str, now, keep_seconds: int = SNAPSHOT_SECONDS) -> DataFrame:
+    """Status of each source from the log of its fetches, with how often it was tried.
+
+    Only the last success and the last try of a source are state, so a busy source takes no
+    more room than a quiet one.
     """
-    out = "source string, at long, status string, good_at long, events long"
-
-    def step(key: tuple, batches, state: GroupState):
-        good_at, events = state.get if state.exists else (None, 0)
-        tries = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        rows = []
-        for at, ok, n in zip(tries["at"], tries["ok"], tries["events"]):
-            if ok:
-                good_at, events = int(at), int(n)
-            fresh = good_at is not None and at - good_at <= SNAPSHOT_SECONDS
-            status = "ok" if ok else "stale" if fresh else "unavailable"
-            rows.append((key[0], int(at), status, good_at if fresh else None, events if fresh else 0))
-        state.update((good_at, events))
-        yield pd.DataFrame(rows, columns=["source", "at", "status", "good_at", "events"]).astype(
-            {"good_at": "Int64", "events": "int64"})
-
-    return attempts.groupBy("source").applyInPandasWithState(
-        step, out, "good_at long, events long", "append", GroupStateTimeout.NoTimeout)
+    def reduce(batch: DataFrame) -> DataFrame:
+        return last_tries(batch).withColumnRenamed("tries", "n")
+
+    def combine(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("source").agg(F.max("_good").alias("_good"), F.max("_try").alias("_try"), F.sum("n").alias("n"))
+
+    return snapshot_status(fold(attempts, label, reduce, combine), now, keep_seconds).withColumnRenamed("n", "tries")
+
+
+def merged_events(readings: DataFrame, label: str) -> DataFrame:
+    """Live events out of a stream of readings: the latest reading of each id, merged and rated."""
+    current = keep_latest(readings, label, ["source", "source_id"], ["updated", "seq"])
+    return finalise(merge_readings(current))
