@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import query
 from tidewatch.functions.scales import decade_of
 from tidewatch.operators import impact as op
+from tidewatch.session import materialise
 
 PAIRS = {"damages_nominal_usd": "damages_inr", "insured_nominal_usd": "insured_inr",
          "reconstruction_nominal_usd": "reconstruction_inr"}
@@ -20,8 +21,13 @@ def records_inr(t):
     return op.add_inr(t.impact_records, t.fx, PAIRS)
 
 
+def stored_records(t):
+    """The records written out once, as operators that read them twice expect."""
+    return materialise(t.impact_records, "records")
+
+
 def scored(t):
-    return op.severity_scores(t.impact_records, ["type"], "severity_type")
+    return op.severity_scores(stored_records(t), ["type"], "severity_type")
 
 
 INR_SQL = """rates AS (SELECT y.year, min_by(f.inr_per_usd, abs(f.year - y.year) * 10000 + f.year) AS rate,
@@ -51,7 +57,7 @@ scored AS (SELECT l.*,
 SELECT type, country, year, deaths, total_affected, damages_usd, severity_all AS score
 FROM scored ORDER BY severity_all DESC, type, country, year LIMIT 15""")
 def severity_top_all(t):
-    ranked = op.top_records(op.severity_scores(t.impact_records, [], "severity_all"), "severity_all")
+    ranked = op.top_records(op.severity_scores(stored_records(t), [], "severity_all"), "severity_all")
     return ranked.select("type", "country", "year", "deaths", "total_affected", "damages_usd",
                          F.col("severity_all").alias("score"))
 
@@ -352,7 +358,7 @@ RESILIENCE_SQL = """res AS (SELECT r.type, decade, count(*) AS records,
 SELECT type, decade, records, records_with_both, round(deaths_per_1000, 6) AS deaths_per_1000,
   round(median_damage_pct_gdp, 6) AS median_damage_pct_gdp, partial FROM res""")
 def resilience_by_decade(t):
-    return rounded(op.resilience_by_decade(t.impact_records))
+    return rounded(op.resilience_by_decade(stored_records(t)))
 
 
 @query("resilience_verdict", f"""WITH {RESILIENCE_SQL},
@@ -362,7 +368,7 @@ ends AS (SELECT type, min(decade) AS first_decade, max(decade) AS last_decade, m
 SELECT type, first_decade, last_decade, round(a, 6) AS first, round(b, 6) AS last,
   round((b - a) / a * 100, 6) AS change_pct FROM ends""")
 def resilience_verdict(t):
-    return rounded(op.resilience_verdict(op.resilience_by_decade(t.impact_records)))
+    return rounded(op.resilience_verdict(op.resilience_by_decade(stored_records(t))))
 
 
 @query("coverage_facts", """SELECT type, count(*) AS records, count(CASE WHEN year < 1980 THEN 1 END)

@@ -182,7 +182,8 @@ def severity_scores(df: DataFrame, scope: list[str], name: str) -> DataFrame:
     """0-100 severity within each scope (no scope columns: the whole table).
 
     Only the minimum and maximum of each scope are needed. They are aggregated and joined
-    back, so no window ever has to hold a scope in one task.
+    back, so no window ever has to hold a scope in one task. The table is read twice: hand
+    in stored records, not the raw input behind them.
     """
     keys = scope or ["_all"]
     base = df if scope else df.withColumn("_all", F.lit(1))

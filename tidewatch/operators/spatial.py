@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import LIVE_EARTH_KM, cell_key, haversine_km, neighbour_keys, sphere_axes
 from tidewatch.operators.ranking import exact_quantile
+from tidewatch.session import materialise
 
 # Boundary spacing in degrees, cyclone distance rings in km, sample grid.
 BOUNDARY_STEP = 0.05
@@ -101,12 +102,19 @@ def inside(lat: Column, lon: Column, ring_edges: Column) -> Column:
         lon < (e["x2"] - e["x1"]) * F.try_divide(lat - e["y1"], e["y2"] - e["y1"]) + e["x1"]))) % 2 == 1
 
 
-def containing_regions(points: DataFrame, vertices: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Point rows with the region they lie in; points in no region drop out.
+def around(places: DataFrame, radius_km: float) -> DataFrame:
+    """Each place under every cell from which it is in reach; the axes are worked out once per place."""
+    axes = dict(zip(("_x", "_y", "_z"), sphere_axes(F.col("lat"), F.col("lon"), radius_km)))
+    keys = neighbour_keys([F.col(name) for name in axes])
+    return places.withColumns(axes).withColumn("_cell", F.explode(keys)).drop(*axes)
 
-    A region is listed under each one-degree row of cells it spans, together with the edges
-    that a ray in that row can meet.
-    """
+
+def _row_key(lat: Column, lon: Column) -> Column:
+    return F.concat_ws(":", F.lit("in"), F.floor(lat).cast("string"), F.floor(lon).cast("string"))
+
+
+def inside_cells(vertices: DataFrame) -> DataFrame:
+    """One-degree cells that a region spans, with the edges a ray to the east can meet in that row."""
     edge = edges(vertices).select("region", F.struct("x1", "y1", "x2", "y2").alias("e"),
                                   F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2"))))
                                   .alias("_row"))
@@ -114,30 +122,55 @@ def containing_regions(points: DataFrame, vertices: DataFrame, lat: str = "lat",
         F.collect_list("e").alias("_edges"),
         F.min(F.least("e.x1", "e.x2")).alias("_w"), F.max(F.greatest("e.x1", "e.x2")).alias("_e"))
     cells = rows.withColumn("_col", F.explode(F.sequence(F.floor("_w"), F.floor("_e"))))
-    keyed = points.withColumns({"_row": F.floor(lat), "_col": F.floor(lon)})
-    return (keyed.join(cells, ["_row", "_col"]).filter(inside(F.col(lat), F.col(lon), F.col("_edges")))
-            .drop("_row", "_col", "_edges", "_w", "_e"))
+    return cells.select("region", F.concat_ws(":", F.lit("in"), F.col("_row").cast("string"), F.col("_col").cast("string"))
+                        .alias("_cell"), "_edges")
+
+
+def reach_cells(vertices: DataFrame, radius_km: float) -> DataFrame:
+    """Cells from which a region's boundary can be reached, each with the boundary vertices in reach."""
+    spread = around(boundary_points(vertices), radius_km)
+    return spread.groupBy("region", "_cell").agg(F.collect_list(F.struct("lat", "lon")).alias("_marks"))
+
+
+def _stored(cells: DataFrame) -> DataFrame:
+    """The cell table written out, so that its true size decides whether the join broadcasts it."""
+    return materialise(cells, "cells")
+
+
+def _nearest_mark(lat: str, lon: str) -> Column:
+    return F.array_min(F.transform("_marks", lambda m: haversine_km(F.col(lat), F.col(lon), m["lat"], m["lon"])))
+
+
+def containing_regions(points: DataFrame, vertices: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Point rows with the region they lie in; points in no region drop out."""
+    keyed = points.withColumn("_cell", _row_key(F.col(lat), F.col(lon)))
+    return (keyed.join(_stored(inside_cells(vertices)), "_cell")
+            .filter(inside(F.col(lat), F.col(lon), F.col("_edges"))).drop("_cell", "_edges"))
 
 
 def near_boundaries(points: DataFrame, vertices: DataFrame, radius_km: float,
                     lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Point rows with every region whose boundary is within reach, and the distance to it.
-
-    A cell lists only the boundary vertices that a point in it could reach.
-    """
-    marks = boundary_points(vertices)
-    reach = marks.withColumn("_cell", F.explode(neighbour_keys(sphere_axes(F.col("lat"), F.col("lon"), radius_km))))
-    cells = reach.groupBy("region", "_cell").agg(F.collect_list(F.struct("lat", "lon")).alias("_marks"))
+    """Point rows with every region whose boundary is within reach, and the distance to it."""
     keyed = points.withColumn("_cell", cell_key(*sphere_axes(F.col(lat), F.col(lon), radius_km)))
-    distance = F.array_min(F.transform("_marks", lambda m: haversine_km(F.col(lat), F.col(lon), m["lat"], m["lon"])))
-    return (keyed.join(cells, "_cell").withColumn("dist_km", distance).filter(F.col("dist_km") <= radius_km)
-            .drop("_cell", "_marks"))
+    return (keyed.join(_stored(reach_cells(vertices, radius_km)), "_cell").withColumn("dist_km", _nearest_mark(lat, lon))
+            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks"))
 
 
 def within_reach(points: DataFrame, vertices: DataFrame, radius_km: float, lat: str, lon: str) -> DataFrame:
-    """Both of the above: 0 km for points inside; a point may be listed twice for a region."""
-    return near_boundaries(points, vertices, radius_km, lat, lon).unionByName(
-        containing_regions(points, vertices, lat, lon).withColumn("dist_km", F.lit(0.0)))
+    """Both of the above in one pass over the points: 0 km inside, else the distance to the boundary.
+
+    A point inside and near the boundary is listed twice for its region; the callers take
+    the smaller distance in the aggregate that they need anyway.
+    """
+    marks = reach_cells(vertices, radius_km)
+    shapes = inside_cells(vertices)
+    none = {"_edges": F.lit(None).cast(shapes.schema["_edges"].dataType), "_marks": F.lit(None).cast(marks.schema["_marks"].dataType)}
+    cells = marks.withColumn("_edges", none["_edges"]).unionByName(shapes.withColumn("_marks", none["_marks"]))
+    keys = F.array(cell_key(*sphere_axes(F.col(lat), F.col(lon), radius_km)), _row_key(F.col(lat), F.col(lon)))
+    near = _nearest_mark(lat, lon)
+    distance = F.when(F.col("_marks").isNotNull(), near).when(inside(F.col(lat), F.col(lon), F.col("_edges")), 0.0)
+    return (points.withColumn("_cell", F.explode(keys)).join(_stored(cells), "_cell").withColumn("dist_km", distance)
+            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks", "_edges"))
 
 
 def assign_regions(points: DataFrame, vertices: DataFrame, key: str, overrides: dict[str, str] | None = None,
@@ -252,9 +285,8 @@ def zone_of(km: Column) -> Column:
 def storm_zones(storms: DataFrame, districts: DataFrame) -> DataFrame:
     """Districts inside the distance rings of each storm; storms that reach none drop out."""
     reach = float(ZONES[-1][2])
-    places = districts.select(
-        "district", "state", F.col("lat").alias("_dlat"), F.col("lon").alias("_dlon"),
-        F.explode(neighbour_keys(sphere_axes(F.col("lat"), F.col("lon"), reach))).alias("_cell"))
+    places = _stored(around(districts.select("district", "state", "lat", "lon"), reach).withColumnsRenamed(
+        {"lat": "_dlat", "lon": "_dlon"}))
     keyed = storms.withColumn("_cell", cell_key(*sphere_axes(F.col("lat"), F.col("lon"), reach)))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("_dlat"), F.col("_dlon"), LIVE_EARTH_KM)
     return (keyed.join(places, "_cell").withColumn("_km", km).withColumn("zone", zone_of(F.col("_km")))
@@ -272,8 +304,8 @@ def largest_nearby(places: DataFrame, quakes: DataFrame, key: str, now: str, rad
     """Per place: quakes of the last days within reach, and the largest with its distance."""
     recent = quakes.filter((F.col("event_date") >= F.date_sub(F.lit(now).cast("date"), days))
                            & (F.col("event_date") <= F.lit(now).cast("date")) & (F.col("magnitude") >= minimum))
-    spots = places.select(key, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"),
-                          F.explode(neighbour_keys(sphere_axes(F.col("lat"), F.col("lon"), radius_km))).alias("_cell"))
+    spots = _stored(around(places.select(key, "lat", "lon"), radius_km).withColumnsRenamed(
+        {"lat": "_plat", "lon": "_plon"}))
     keyed = recent.withColumn("_cell", cell_key(*sphere_axes(F.col("latitude"), F.col("longitude"), radius_km)))
     km = haversine_km(F.col("_plat"), F.col("_plon"), F.col("latitude"), F.col("longitude"), LIVE_EARTH_KM)
     hits = keyed.join(spots, "_cell").withColumn("_km", km).filter(F.col("_km") <= radius_km)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.tails import correlation_p_udf, month_chi_p_udf
 from tidewatch.operators.ranking import average_ranks
+from tidewatch.session import materialise
 
 ALPHA = 0.05
 # Length of each month, February at its mean over leap years.
@@ -45,10 +46,11 @@ def trend_verdicts(df: DataFrame, keys: list[str], year: str, value: str) -> Dat
 def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson on logs and Spearman on ranks over the rows that report both figures.
 
-    Ranks come from the bucketed ranking, as a group here has no bound on its size.
+    Ranks come from the bucketed ranking, as a group here has no bound on its size. The two
+    columns are written out first, because the ranks and the result all read them.
     """
-    both = df.filter((F.col(x) > 0) & (F.col(y) > 0)).select(
-        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    both = materialise(df.filter((F.col(x) > 0) & (F.col(y) > 0)).select(
+        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "pairs")
     ranked = (both.join(average_ranks(both, keys, "_x", "_rx"), [*keys, "_x"])
               .join(average_ranks(both, keys, "_y", "_ryy"), [*keys, "_y"]))
     stats = ranked.groupBy(*keys).agg(

@@ -135,32 +135,38 @@ def metrics(scored: DataFrame, threshold: float = THRESHOLD, keys: list[str] | N
             prob: str = "probability") -> DataFrame:
     """Confusion counts, rates, exact ROC-AUC with ties, step-wise average precision and Brier score.
 
-    The curve figures come from running totals over the distinct scores in buckets, so a
-    large test set is never sorted in one task.
+    The rows are read once and reduced to one line per distinct score. Running totals over
+    those, in buckets, give all figures, so a large test set is never sorted in one task.
     """
     keys = keys or []
     scope = keys or ["_all"]
     base = scored if keys else scored.withColumn("_all", F.lit(1))
-    y, hit = F.col(label) == 1, F.col(prob) >= threshold
-    sums = base.groupBy(*scope).agg(
-        F.count("*").alias("n"), F.count_if(y).alias("positives"), F.count_if(y & hit).alias("tp"),
-        F.count_if(~y & hit).alias("fp"), F.count_if(~y & ~hit).alias("tn"), F.count_if(y & ~hit).alias("fn"),
-        F.avg((F.col(prob) - F.col(label)) * (F.col(prob) - F.col(label))).alias("brier"))
-    steps = running_totals(base, scope, prob, {"_pos": F.count_if(y), "_cnt": F.count("*")}, descending=True)
-    size = sums.select(*scope, F.col("n").alias("_n"), F.col("positives").alias("_p"))
-    pos, cnt = F.col("_pos"), F.col("_cnt")
-    neg, neg_ahead = cnt - pos, F.col("_cnt_before") - F.col("_pos_before")
-    negatives = F.col("_n") - F.col("_p")
-    area = pos * (negatives - neg_ahead - neg + neg / 2) / (F.col("_p") * negatives)
+    steps = running_totals(base, scope, prob, {"_pos": F.count_if(F.col(label) == 1), "_cnt": F.count("*")}, descending=True)
+    pos, cnt, p = F.col("_pos"), F.col("_cnt"), F.col(prob)
+    neg, hit = cnt - pos, p >= threshold
+
+    def amount(value: Column, when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, value)), F.lit(0))
+
+    # Areas over positives x negatives; both totals are only known at the end of the same aggregate.
+    neg_ahead = F.col("_cnt_before") - F.col("_pos_before")
     precision = (F.col("_pos_before") + pos) / (F.col("_cnt_before") + cnt)
-    curve = steps.join(size, scope).filter((F.col("_p") > 0) & (negatives > 0)).groupBy(*scope).agg(
-        F.sum(area).alias("roc_auc"), F.sum(pos / F.col("_p") * precision).alias("average_precision"))
+    sums = steps.groupBy(*scope).agg(
+        F.sum(cnt).alias("n"), F.sum(pos).alias("positives"), amount(pos, hit).alias("tp"), amount(neg, hit).alias("fp"),
+        amount(neg, ~hit).alias("tn"), amount(pos, ~hit).alias("fn"),
+        (F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / F.sum(cnt)).alias("brier"),
+        F.sum(pos * (neg_ahead + neg / 2)).alias("_worse"), F.sum(pos * precision).alias("_gain"))
+    negatives = F.col("n") - F.col("positives")
+    both = (F.col("positives") > 0) & (negatives > 0)
+    sums = sums.withColumns({
+        "roc_auc": F.when(both, 1 - F.try_divide(F.col("_worse"), F.col("positives") * negatives)),
+        "average_precision": F.when(both, F.try_divide(F.col("_gain"), F.col("positives")))})
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
 
     def share(top: Column, bottom: Column) -> Column:
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
-    out = sums.join(curve, scope, "left").select(
+    out = sums.select(
         *scope, F.lit(threshold).alias("threshold"), "n", "positives", "tp", "fp", "tn", "fn",
         F.bround((tp + F.col("tn")) / F.col("n"), 3).alias("accuracy"), F.bround(share(tp, tp + fp), 3).alias("precision"),
         F.bround(share(tp, tp + fn), 3).alias("recall"), F.bround(share(tp * 2, tp * 2 + fp + fn), 3).alias("f1"),

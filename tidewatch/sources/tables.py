@@ -94,8 +94,7 @@ SELECT n_name AS country, 'N' || lpad(CAST(n_nationkey AS STRING), 2, '0') AS is
 FROM {nation} WHERE n_nationkey <> 24
 """
 
-# Point catalogue with the pages' repeats still in it.
-VIEWS["quake_pages"] = """
+VIEWS["quake_rows"] = """
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
            || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_quantity AS BIGINT) AS STRING) AS id,
        CASE WHEN l_partkey % 50 = 0 THEN 'explosion' ELSE 'earthquake' END AS type,
@@ -104,19 +103,22 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
        CAST((l_partkey * 37) % 1800 AS DOUBLE) / 10 - 90 AS latitude,
        CAST((l_suppkey * 73) % 3600 AS DOUBLE) / 10 - 180 AS longitude,
        CAST(l_linenumber * 10 AS DOUBLE) AS depth_km,
-       (55 + CAST(l_quantity AS BIGINT) % 34) / 10.0 AS magnitude,
-       CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE 'place ' || CAST(l_suppkey AS STRING) END AS place
-FROM {lineitem} JOIN (VALUES (0), (1)) again(page) ON page = 0 OR l_orderkey % 10 = 0
+       CAST(55 + CAST(l_quantity AS BIGINT) % 34 AS DOUBLE) / 10 AS magnitude,
+       CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE 'place ' || CAST(l_suppkey AS STRING) END AS place,
+       l_orderkey % 10 = 0 AS twice
+FROM {lineitem}
+"""
+
+# Catalogue pages, which repeat every tenth order's events, and the catalogue without repeats.
+VIEWS["quake_pages"] = """
+SELECT id, type, event_date, latitude, longitude, depth_km, magnitude, place
+FROM {quake_rows} JOIN (VALUES (0), (1)) again(page) ON page = 0 OR twice
 """
 
 VIEWS["quakes"] = """
 SELECT id, event_date, year, month, CAST(floor(year / 10) * 10 AS BIGINT) AS decade,
-       latitude, longitude, depth_km, CAST(magnitude AS DOUBLE) AS magnitude, place
-FROM (SELECT id, type, min(event_date) AS event_date, min(year) AS year, min(month) AS month,
-             min(latitude) AS latitude, min(longitude) AS longitude, min(depth_km) AS depth_km,
-             min(magnitude) AS magnitude, min(place) AS place
-      FROM {quake_pages} WHERE type = 'earthquake' GROUP BY id, type) q
-WHERE magnitude >= 6 AND year <= 2001
+       latitude, longitude, depth_km, magnitude, place
+FROM {quake_rows} WHERE type = 'earthquake' AND magnitude >= 6 AND year <= 2001
 """
 
 VIEWS["track_points"] = """
