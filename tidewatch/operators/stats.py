@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,11 @@ ALPHA = 0.05
 MONTH_DAYS = [31, 28.25, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation that is null, and not an error, when either side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def trend_verdicts(df: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
     """Spearman trend and straight-line slope of a yearly series per group.
 
@@ -31,7 +36,7 @@ def trend_verdicts(df: DataFrame, keys: list[str], year: str, value: str) -> Dat
     stats = ranked.groupBy(*keys).agg(
         F.count("*").alias("n_years"), F.countDistinct(value).alias("_distinct"),
         F.min(year).alias("from_year"), F.max(year).alias("to_year"),
-        F.corr("_ry", "_rv").alias("_rho"),
+        pearson(F.col("_ry"), F.col("_rv")).alias("_rho"),
         F.regr_slope(F.col(value).cast("double"), F.col(year).cast("double")).alias("_slope"))
     enough = (F.col("n_years") >= 5) & (F.col("_distinct") >= 2)
     stats = stats.withColumn("_p", correlation_p_udf(F.col("_rho"), F.col("n_years").cast("double")))
@@ -54,8 +59,8 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     ranked = (both.join(average_ranks(both, keys, "_x", "_rx"), [*keys, "_x"])
               .join(average_ranks(both, keys, "_y", "_ryy"), [*keys, "_y"]))
     stats = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr(F.log10("_x"), F.log10("_y")).alias("_pearson"),
-        F.corr("_rx", "_ryy").alias("_spearman"))
+        F.count("*").alias("n"), pearson(F.log10("_x"), F.log10("_y")).alias("_pearson"),
+        pearson(F.col("_rx"), F.col("_ryy")).alias("_spearman"))
     enough = F.col("n") >= 3
     size = F.col("n").cast("double")
     return stats.withColumns({

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scales import annual_probability, level_of, level_order, risk_level
 from tidewatch.operators.ranking import running_totals
+from tidewatch.operators.stats import pearson
 
 # Features with their label, unit and allowed range.
 FEATURES = [
@@ -90,7 +91,7 @@ def train(rows: DataFrame, label: str = "flood", region: str = "state", features
                LogisticRegression(featuresCol="_x", labelCol="y", regParam=1.0 / stats["n"], elasticNetParam=0.0,
                                   standardization=False, maxIter=300, tol=1e-9)]
     pipeline = Pipeline(stages=stages).fit(rows)
-    weights = list(pipeline.stages[-1].coefficients.toArray())
+    weights = pipeline.stages[-1].coefficients.toArray().tolist()
     names = pipeline.stages[1].labels if region else []
     return Fit(means, scales, dict(zip(features, weights)), pipeline.stages[-1].intercept,
                dict(zip(names, weights[len(features):])), pipeline)
@@ -331,8 +332,9 @@ def scenario_rows(panel: DataFrame, districts: DataFrame, year: int, month: int)
 def label_check(series: DataFrame, other: DataFrame, flag: str = "floods") -> DataFrame:
     """Whether two annual series agree, and the rain that divides flood years from the rest."""
     both = series.join(other, "year", "left")
+    shared = F.when(F.col("other_rainfall").isNotNull(), F.col("annual_rainfall"))
     return both.agg(
-        F.bround(F.corr("annual_rainfall", "other_rainfall"), 3).alias("r"),
+        F.bround(pearson(shared, F.col("other_rainfall")), 3).alias("r"),
         F.max(F.when(F.col(flag) == 0, F.col("annual_rainfall"))).alias("max_no_year"),
         F.min(F.when(F.col(flag) == 1, F.col("annual_rainfall"))).alias("min_yes_year"),
         F.rint(F.avg("other_rainfall")).alias("other_mean"), F.rint(F.avg("annual_rainfall")).alias("own_mean"),
