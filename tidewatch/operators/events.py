@@ -263,11 +263,11 @@ def top_days(events: DataFrame, n: int = TOP_DAYS, listed: int = LABELS_LISTED)
     """
     days = day_counts(events).orderBy(F.desc("count"), "date").limit(n)
     order = W.partitionBy("date").orderBy(F.desc("rank"), "label")
-    first = (events.join(days.select("date"), "date", "left_semi").select("date", "rank", "label")
+    first = (events.select("date", "rank", "label").join(days, "date")
              .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= listed))
-    labels = first.groupBy("date").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]).alias("events"))
-    return days.join(labels, "date").withColumn("more", F.greatest(F.col("count") - listed, F.lit(0)))
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"])
+    return first.groupBy("date", "count").agg(labels.alias("events")).withColumn(
+        "more", F.greatest(F.col("count") - listed, F.lit(0)))
 
 
 def day_of_year_counts(events: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ thousand buckets of a group, carries the running totals from bucket to bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,10 +39,13 @@ def running_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
     per_value = per_value.withColumn("_bucket", order_bucket(F.col(value)) * sign)
     by_bucket = W.partitionBy(*scope).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = per_value.groupBy(*scope, "_bucket").agg(*[F.sum(n).alias(n) for n in sums]).select(
-        *scope, "_bucket", *[F.coalesce(F.sum(n).over(by_bucket), F.lit(0)).alias(f"_{n}_ahead") for n in sums])
+        *[F.col(k).alias(f"_of_{k}") for k in (*scope, "_bucket")],
+        *[F.coalesce(F.sum(n).over(by_bucket), F.lit(0)).alias(f"_{n}_ahead") for n in sums])
+    # Null-safe keys keep both sides free of pushed null filters, so they share one shuffle of the counts.
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*scope, "_bucket")])
     order = F.desc(value) if descending else F.asc(value)
     inside = W.partitionBy(*scope, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = per_value.join(buckets, [*scope, "_bucket"]).select(
+    out = per_value.join(buckets, same).select(
         *scope, value, *sums,
         *[(F.col(f"_{n}_ahead") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in sums])
     return out if keys else out.drop("_all")
