@@ -37,10 +37,6 @@ lab AS (SELECT d.district, y.year, m.month, count(t.uei) AS events,
   LEFT JOIN touch t ON t.district = d.district AND t.year = y.year AND t.month = m.month
   GROUP BY d.district, y.year, m.month)"""
 
-PRIOR_SQL = f"""{LABEL_SQL}, yearly AS (SELECT district, year, max(flood * (1 - (CAST(substr(district, 2) AS INT) + year) % 3 % 2)) AS flood
-  FROM lab GROUP BY ALL)"""
-
-
 def dense(t):
     return op.dense_days(t.daily_sparse, "cell", FIRST, LAST)
 
@@ -142,12 +138,12 @@ def district_history(t):
     return op.district_history(labels(t))
 
 
-@query("prior_rates", f"""WITH {LABEL_SQL}, yearly AS (SELECT district, year, max(flood) AS flood FROM lab WHERE month <= 2 GROUP BY ALL)
+@query("prior_rates", f"""WITH {LABEL_SQL}, yearly AS (SELECT district, year, max(flood) AS flood FROM lab GROUP BY ALL)
 SELECT d.district, y.year, (SELECT round(avg(flood), 6) FROM yearly x WHERE x.district = d.district
    AND x.year BETWEEN least(y.year - 1, 2001) - 9 AND least(y.year - 1, 2001)) AS prior_flood_rate
 FROM {{districts}} d CROSS JOIN (SELECT CAST(range AS BIGINT) AS year FROM range(1995, 2005)) y""")
 def prior_rates(t):
-    return rounded(op.prior_rates(labels(t).filter("month <= 2"), (1995, 2004)))
+    return rounded(op.prior_rates(labels(t), (1995, 2004)))
 
 
 @query("annual_rain", f"""WITH {DENSE_SQL}, y AS (SELECT cell, CAST(year(day) AS BIGINT) AS year, sum(rain_mm) AS rain FROM daily GROUP BY ALL)

@@ -22,9 +22,9 @@ def control_total(t):
     return op.control_total(t.region_boxes, "population", 130000000)
 
 
-@query("missing_keys", "SELECT DISTINCT c_nationkey FROM {customer} WHERE c_nationkey NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_suppkey < 30)")
+@query("missing_keys", "SELECT DISTINCT c_nationkey FROM {customer} WHERE c_nationkey NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 8000)")
 def missing_keys(t):
-    have = t.supplier.filter("s_suppkey < 30").select(F.col("s_nationkey").alias("c_nationkey"))
+    have = t.supplier.filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"))
     return op.missing_keys(t.customer, have, ["c_nationkey"])
 
 

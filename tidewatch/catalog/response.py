@@ -146,13 +146,13 @@ def task_stats(t):
 
 
 PROGRESS = "CASE status WHEN 'assigned' THEN 10 WHEN 'accepted' THEN 25 WHEN 'collected' THEN 50 WHEN 'in_transit' THEN 75 WHEN 'delivered' THEN 100 ELSE 0 END"
-READY_SQL = f"""b AS (SELECT plan_id, need_id, max({PROGRESS}) AS p FROM {{tasks}} WHERE number % 50 < 37 AND status <> 'delivered' GROUP BY ALL),
+READY_SQL = f"""b AS (SELECT plan_id, need_id, max({PROGRESS}) AS p FROM {{tasks}} GROUP BY ALL),
 ready AS (SELECT n.plan_id, CAST(floor(avg(coalesce(b.p, 0)) + 0.5) AS BIGINT) AS readiness FROM {{plan_needs}} n LEFT JOIN b ON b.plan_id = n.plan_id AND b.need_id = n.need_id
   GROUP BY n.plan_id)"""
 
 
 def readiness(t):
-    return op.plan_readiness(t.plan_needs, t.tasks.filter("number % 50 < 37 AND status <> 'delivered'"))
+    return op.plan_readiness(t.plan_needs, t.tasks)
 
 
 @query("plan_readiness", f"""WITH {READY_SQL} SELECT plan_id, readiness, CASE WHEN readiness >= 80 THEN 'low' WHEN readiness >= 50 THEN 'medium'
@@ -190,10 +190,10 @@ def deadlines(t):
     return op.deadlines(t.tasks, F.lit("1998-06-15 12:00:00").cast("timestamp")).select("task_id", "overdue", "days_left")
 
 
-@query("new_assignments", """SELECT task_id FROM {tasks} t LEFT JOIN (SELECT assignee_id, max(number) AS seen FROM {tasks} WHERE number < 9000 GROUP BY 1) s
+@query("new_assignments", """SELECT task_id FROM {tasks} t LEFT JOIN (SELECT assignee_id, max(number) AS seen FROM {tasks} WHERE deadline < TIMESTAMP '1999-01-01' GROUP BY 1) s
   USING (assignee_id) WHERE t.number > coalesce(seen, -1)""")
 def new_assignments(t):
-    return op.new_assignments(t.tasks, t.tasks.filter("number < 9000")).select("task_id")
+    return op.new_assignments(t.tasks, t.tasks.filter("deadline < TIMESTAMP '1999-01-01'")).select("task_id")
 
 
 @query("valid_phones", """SELECT phone, trim(phone) = '' OR (regexp_matches(trim(phone), '^\\+?[0-9 -]+$') AND length(regexp_replace(phone, '[^0-9]', '', 'g'))

@@ -344,8 +344,9 @@ FROM {nation} JOIN (VALUES (1), (2), (3), (4)) v(k) ON k <= 1 + n_nationkey % 4
 VIEWS["tasks"] = """
 SELECT 'T' || CAST(o_orderkey AS STRING) AS task_id, o_orderkey AS number, 'plan' || CAST(o_orderkey % 25 AS STRING) AS plan_id,
        'n' || CAST(1 + o_orderkey % 4 AS STRING) AS need_id, 'P' || CAST(o_custkey AS STRING) AS assignee_id,
-       CASE o_orderkey % 5 WHEN 0 THEN 'assigned' WHEN 1 THEN 'accepted' WHEN 2 THEN 'collected' WHEN 3 THEN 'in_transit'
-            ELSE 'delivered' END AS status, CAST(o_orderdate AS TIMESTAMP) AS deadline
+       CASE greatest((o_orderkey % 25 * 3 + o_orderkey % 4) % 5 - o_orderkey % 3 % 2, 0) WHEN 0 THEN 'assigned'
+            WHEN 1 THEN 'accepted' WHEN 2 THEN 'collected' WHEN 3 THEN 'in_transit' ELSE 'delivered' END AS status,
+       CAST(o_orderdate AS TIMESTAMP) AS deadline
 FROM {orders}
 """
 
