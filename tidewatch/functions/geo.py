@@ -35,6 +35,17 @@ def degree_cell(lat: Column, lon: Column, size: int = 5) -> Column:
     return F.concat_ws("_", F.floor(lat / size).cast("string"), F.floor(lon / size).cast("string"))
 
 
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """A place as a point on the unit globe."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+
+
+def chord_km(square: Column, radius: float = EARTH_KM) -> Column:
+    """Great-circle distance for a squared straight-line distance on the unit globe."""
+    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2))
+
+
 def sphere_axes(lat: Column, lon: Column, size_km: float) -> list[Column]:
     """Cell index along x, y, z of a cube grid laid through the globe.
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geo import LIVE_EARTH_KM, cell_key, haversine_km, neighbour_keys, sphere_axes
+from tidewatch.functions.geo import (LIVE_EARTH_KM, cell_key, chord_km, haversine_km, neighbour_keys, sphere_axes,
+                                     unit_vector)
 from tidewatch.operators.ranking import exact_quantile
 from tidewatch.session import materialise
 
@@ -129,7 +130,9 @@ def inside_cells(vertices: DataFrame) -> DataFrame:
 def reach_cells(vertices: DataFrame, radius_km: float) -> DataFrame:
     """Cells from which a region's boundary can be reached, each with the boundary vertices in reach."""
     spread = around(boundary_points(vertices), radius_km)
-    return spread.groupBy("region", "_cell").agg(F.collect_list(F.struct("lat", "lon")).alias("_marks"))
+    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+    return spread.groupBy("region", "_cell").agg(
+        F.collect_list(F.struct(x.alias("x"), y.alias("y"), z.alias("z"))).alias("_marks"))
 
 
 def _stored(cells: DataFrame) -> DataFrame:
@@ -137,8 +140,17 @@ def _stored(cells: DataFrame) -> DataFrame:
     return materialise(cells, "cells")
 
 
-def _nearest_mark(lat: str, lon: str) -> Column:
-    return F.array_min(F.transform("_marks", lambda m: haversine_km(F.col(lat), F.col(lon), m["lat"], m["lon"])))
+def _on_globe(points: DataFrame, lat: str, lon: str) -> DataFrame:
+    return points.withColumns(dict(zip(("_gx", "_gy", "_gz"), unit_vector(F.col(lat), F.col(lon)))))
+
+
+def _nearest_mark() -> Column:
+    """Distance to the nearest boundary vertex; straight lines are compared and one arc is taken."""
+    def square(m: Column) -> Column:
+        dx, dy, dz = m["x"] - F.col("_gx"), m["y"] - F.col("_gy"), m["z"] - F.col("_gz")
+        return dx * dx + dy * dy + dz * dz
+
+    return chord_km(F.array_min(F.transform("_marks", square)))
 
 
 def containing_regions(points: DataFrame, vertices: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -151,9 +163,9 @@ def containing_regions(points: DataFrame, vertices: DataFrame, lat: str = "lat",
 def near_boundaries(points: DataFrame, vertices: DataFrame, radius_km: float,
                     lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Point rows with every region whose boundary is within reach, and the distance to it."""
-    keyed = points.withColumn("_cell", cell_key(*sphere_axes(F.col(lat), F.col(lon), radius_km)))
-    return (keyed.join(_stored(reach_cells(vertices, radius_km)), "_cell").withColumn("dist_km", _nearest_mark(lat, lon))
-            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks"))
+    keyed = _on_globe(points, lat, lon).withColumn("_cell", cell_key(*sphere_axes(F.col(lat), F.col(lon), radius_km)))
+    return (keyed.join(_stored(reach_cells(vertices, radius_km)), "_cell").withColumn("dist_km", _nearest_mark())
+            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks", "_gx", "_gy", "_gz"))
 
 
 def within_reach(points: DataFrame, vertices: DataFrame, radius_km: float, lat: str, lon: str) -> DataFrame:
@@ -167,10 +179,10 @@ def within_reach(points: DataFrame, vertices: DataFrame, radius_km: float, lat:
     none = {"_edges": F.lit(None).cast(shapes.schema["_edges"].dataType), "_marks": F.lit(None).cast(marks.schema["_marks"].dataType)}
     cells = marks.withColumn("_edges", none["_edges"]).unionByName(shapes.withColumn("_marks", none["_marks"]))
     keys = F.array(cell_key(*sphere_axes(F.col(lat), F.col(lon), radius_km)), _row_key(F.col(lat), F.col(lon)))
-    near = _nearest_mark(lat, lon)
-    distance = F.when(F.col("_marks").isNotNull(), near).when(inside(F.col(lat), F.col(lon), F.col("_edges")), 0.0)
-    return (points.withColumn("_cell", F.explode(keys)).join(_stored(cells), "_cell").withColumn("dist_km", distance)
-            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks", "_edges"))
+    distance = F.when(F.col("_marks").isNotNull(), _nearest_mark()).when(inside(F.col(lat), F.col(lon), F.col("_edges")), 0.0)
+    keyed = _on_globe(points, lat, lon).withColumn("_cell", F.explode(keys))
+    return (keyed.join(_stored(cells), "_cell").withColumn("dist_km", distance)
+            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks", "_edges", "_gx", "_gy", "_gz"))
 
 
 def assign_regions(points: DataFrame, vertices: DataFrame, key: str, overrides: dict[str, str] | None = None,
