@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import langid, linededup, packing, secret_scan, simhash, warc
+from tidewatch.llm import ann, digest, langid, linededup, packing, secret_scan, simhash, warc
 from tidewatch.llm.common import ORACLES, QUERIES, crc_mod, registered, table  # noqa: F401
 
 
@@ -49,3 +49,13 @@ def op5_secrets(spark, sf_dir):
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in base],
                         F.sha2(listed("secrets", base).cast("binary"), 256).alias("base_sha256"),
                         listed("secrets", base + [r.kind for r in secret_scan.MORE]).alias("spans"))
+
+
+@registered("op4_neighbours")
+def op4_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@registered("op6_digest")
+def op6_digest(spark, sf_dir):
+    return digest.fingerprint_pairs(table(spark, sf_dir, "documents"))

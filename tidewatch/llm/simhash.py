@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(roots, "fp")
     reached = linked.groupBy("root").agg(F.min("low").alias("least"))
     named = linked.join(reached, "root").select("fp", "least")
-    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    # written, so that the join below has two plain sides and a hot fingerprint can be split
+    classes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "classes")
     return marked.join(classes, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
