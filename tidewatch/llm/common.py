@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialise
 
-__all__ = ["bytes_of", "crc_mod", "materialise", "registered", "row_key", "shuffle_width", "table"]
+__all__ = ["bytes_of", "crc_mod", "materialise", "registered", "row_key", "shuffle_width", "table", "word_runs"]
 
 #: Queries of this package by name, and their reference SQL.
 QUERIES: dict = {}
@@ -51,3 +52,20 @@ def bytes_of(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of a string column's values, one by one."""
     for value in column.cast(pa.binary()):
         yield value.as_py()
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, in runs from about ``size`` bytes each.
+
+    A-Z are lower-cased; words are runs of bytes other than ASCII white space.
+    """
+    at = 0
+    while at < len(text):
+        stop = len(text)
+        if stop - at > size and (space := _SPACE.search(text, at + size)):
+            stop = space.start()
+        yield text[at:stop].lower().split()
+        at = stop

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, digest, langid, linededup, packing, secret_scan, simhash, warc
+from tidewatch.llm import ann, digest, langid, linededup, lm, packing, secret_scan, simhash, warc
 from tidewatch.llm.common import ORACLES, QUERIES, crc_mod, registered, table  # noqa: F401
 
 
@@ -59,3 +59,9 @@ def op4_neighbours(spark, sf_dir):
 @registered("op6_digest")
 def op6_digest(spark, sf_dir):
     return digest.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+@registered("op2_lm")
+def op2_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.fit(docs))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bytes_of, materialise
+from tidewatch.llm.common import bytes_of, materialise, word_runs
 from tidewatch.llm.components import components
 
 BITS = 64
@@ -34,22 +34,34 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     A-Z are lower-cased; words are runs of bytes other than ASCII white space. A text of
     fewer words than ``width`` is one shingle; one without words, or null, gives zero.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+    set_bits, total, before = np.zeros(BITS, np.int64), 0, []
+    for run in word_runs(text or b""):
+        before += run
+        if len(before) >= width:
+            set_bits += _set_bits(before, width)
+            total += len(before) - width + 1
+            before = before[len(before) - width + 1:]
+    if not total:
+        if not before:
+            return 0
+        set_bits, total = _set_bits(before, len(before)), 1
+    return int.from_bytes(np.packbits(2 * set_bits > total).tobytes(), "big")
+
+
+def _set_bits(words: list[bytes], width: int) -> np.ndarray:
+    """How many hashes of the shingles of ``width`` words have each bit set."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    last = max(len(words) - width, 0)
-    starts, ends = starts[:last + 1].tolist(), ends[min(width, len(words)) - 1:].tolist()
-    hashed, set_bits = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, last + 1, 1 << 16):
+    starts = (ends - lengths)[:len(words) - width + 1].tolist()
+    ends = ends[width - 1:].tolist()
+    hashed, out = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    for at in range(0, len(starts), 1 << 16):
         block = zip(starts[at:at + (1 << 16)], ends[at:at + (1 << 16)], strict=True)
         values = np.array([hashed(joined[a:b], 42) for a, b in block], dtype=">u8").view(np.uint8).reshape(-1, 8)
         for k in range(8):
-            set_bits[8 * k:8 * k + 8] += np.bincount(values[:, k], minlength=256) @ _BYTE_BITS
-    return int.from_bytes(np.packbits(2 * set_bits > last + 1).tobytes(), "big")
+            out[8 * k:8 * k + 8] += np.bincount(values[:, k], minlength=256) @ _BYTE_BITS
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
