@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, digest, langid, linededup, lm, packing, secret_scan, simhash, warc
+from tidewatch.llm import ann, digest, langid, linededup, lm, packing, pieces, secret_scan, simhash, warc
 from tidewatch.llm.common import ORACLES, QUERIES, crc_mod, registered, table  # noqa: F401
 
 
@@ -65,3 +65,10 @@ def op6_digest(spark, sf_dir):
 def op2_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, *lm.fit(docs))
+
+
+@registered("op7_sentencepiece")
+def op7_sentencepiece(spark, sf_dir):
+    whole = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return whole.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -157,7 +157,7 @@ def _matches(text: Column, rule: Rule) -> Column:
     pairs = F.filter(pairs, lambda x: x["size"].isNotNull())  # the text after the last match
     none = F.array().cast("array<struct<start:bigint,end:bigint,good:boolean>>")
 
-    def step(done: Column, k: Column) -> Column:
+    def step(done: Column, k: Column, pairs: Column) -> Column:
         begin = F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0).cast("long"))
         one = F.aggregate(
             F.slice(pairs, k * STEP + 1, F.lit(STEP)), F.struct(begin.alias("at"), none.alias("spans")),
@@ -168,9 +168,15 @@ def _matches(text: Column, rule: Rule) -> Column:
                     (x["value"] >= rule.least).alias("good")))).alias("spans")))
         return F.concat(done, F.array(one))
 
-    steps = F.aggregate(F.sequence(F.lit(0), ((F.size(pairs) - 1) / STEP).cast("int")),
-                        F.array().cast("array<struct<at:bigint,spans:array<struct<start:bigint,end:bigint,good:boolean>>>>"), step)
-    spans = F.filter(F.flatten(F.transform(steps, lambda s: s["spans"])), lambda s: s["good"])
+    def steps(pairs: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), ((F.size(pairs) - 1) / STEP).cast("int")),
+            F.array().cast("array<struct<at:bigint,spans:array<struct<start:bigint,end:bigint,good:boolean>>>>"),
+            lambda done, k: step(done, k, pairs))
+
+    # as an array's only element, the pairs are found once for all steps
+    blocks = F.flatten(F.transform(F.array(pairs), steps))
+    spans = F.filter(F.flatten(F.transform(blocks, lambda s: s["spans"])), lambda s: s["good"])
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.rlike(text, pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
