@@ -143,23 +143,32 @@ def decode_ids(model: Model, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def edges(words: DataFrame, model: Model) -> DataFrame:
-    """``(word, n, edges, blocks)``: each word's lattice, from ``(word, blocks)`` with words of at most ``LONGEST``.
+#: A BPE edge is one long that sorts as pairs merge: rank of the score, start, end and id in these many bits.
+END_BITS, ID_BITS = 6, 21
+PLACE = (1 << 2 * END_BITS) - 1
 
-    An edge is ``(s, e, id, score)``. The piece table has as many rows as the model, so it is
-    broadcast; the rows of a word stay in one partition, so grouping them needs no shuffle.
+
+def edges(words: DataFrame, model: Model, tasks: int) -> DataFrame:
+    """``(word, n, edges, blocks)``: the lattice of each word of ``(word, block)``, none longer than ``LONGEST``.
+
+    An edge is ``(s, e, id, score)``, packed for BPE. The piece table has as many rows as the
+    model, so it is broadcast; the rows of a word stay in one partition, so grouping them
+    again needs no shuffle.
     """
     spark = words.sparkSession
-    table = spark.createDataFrame(model.pieces, "piece string, id int, score double")
+    ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    table = spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in model.pieces], "piece string, id int, score double, rank long")
+    placed = words.repartition(tasks, "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
     starts = F.expr(f"""explode(flatten(transform(sequence(1, length(word)), s ->
         transform(sequence(1, least({model.longest}, length(word) - s + 1)), l ->
         named_struct('s', s - 1, 'e', s + l - 1, 'piece', substring(word, s, l),
         'blocks', if(s = 1 and l = 1, blocks, null))))))""")
-    spread = words.select("word", starts.alias("x")).select("word", "x.*")
+    spread = placed.select("word", starts.alias("x")).select("word", "x.*")
     met = spread.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR blocks IS NOT NULL")
-    return met.groupBy("word").agg(
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "id", "score"))).alias("edges"),
-        F.first("blocks", ignorenulls=True).alias("blocks")).withColumn("n", F.length("word"))
+    edge = f"shiftleft(rank, {2 * END_BITS + ID_BITS}) | shiftleft(cast(s as bigint), {END_BITS + ID_BITS}) | shiftleft(cast(e as bigint), {ID_BITS}) | id" \
+        if model.kind == BPE else "named_struct('s', s, 'e', e, 'id', id, 'score', score)"
+    return met.select("word", F.expr(f"if(id is null, null, {edge})").alias("edge"), "blocks").groupBy("word").agg(
+        F.collect_list("edge").alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks")).withColumn("n", F.length("word"))
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -167,16 +176,23 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-#: The boundaries of a word's pieces: all are there at first. In each step the best edge that spans
-#: exactly two symbols, the leftmost among equals, loses the boundary within.
-SPANS = """transform(filter(edges, e -> e.e - e.s > 1), e -> named_struct('s', e.s, 'score', e.score,
-    'ends', shiftleft(1L, e.s) | shiftleft(1L, e.e), 'span', shiftleft(1L, e.e + 1) - shiftleft(1L, e.s)))"""
-MERGES = """aggregate(
-    if(size(spans) > 0, sequence(1, least(n - 1, size(spans))), array()),
-    shiftleft(1L, n + 1) - 1L,
-    (b, k) -> b & ~coalesce(array_max(transform(
-        filter(spans, e -> b & e.ends = e.ends and bit_count(b & e.span) = 3),
-        e -> struct(e.score, -e.s, e.span ^ e.ends as inner))).inner, 0L))"""
+#: The edges of more than a character, the best first, as bits of their ends and of all they span.
+SPANS = f"""transform(filter(transform(array_sort(edges), x -> named_struct(
+        's', cast(shiftright(x, {END_BITS + ID_BITS}) & 63 as int), 'e', cast(shiftright(x, {ID_BITS}) & 63 as int))), x -> x.e - x.s > 1),
+    x -> named_struct('ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'span', shiftleft(1L, x.e + 1) - shiftleft(1L, x.s)))"""
+#: The boundaries of a word's pieces: all are there at first. Each edge in turn that spans exactly two
+#: symbols loses the boundary within. If a merge lets a better edge span two symbols, which came to its
+#: turn too early, the word is ``late``.
+IN_TURN = """aggregate(
+    if(size(spans) > 0, sequence(1, size(spans)), array()),
+    named_struct('b', shiftleft(1L, n + 1) - 1L, 'late', false),
+    (a, k) -> transform(array(spans[k - 1]), e -> if(a.b & e.ends = e.ends and bit_count(a.b & e.span) = 3,
+        transform(array(a.b & ~(e.span ^ e.ends)), c -> named_struct('b', c, 'late', a.late or exists(
+            slice(spans, 1, k - 1), x -> c & x.ends = x.ends and bit_count(c & x.span) = 3)))[0], a))[0])"""
+#: For a late word: the first edge that spans two symbols merges, over and over.
+AGAIN = """aggregate(sequence(1, size(spans)), shiftleft(1L, n + 1) - 1L,
+    (b, k) -> b & ~coalesce(transform(slice(filter(spans, e -> b & e.ends = e.ends and bit_count(b & e.span) = 3), 1, 1),
+        e -> e.span ^ e.ends)[0], 0L))"""
 
 #: The best way to each position: score, the position before and the id. Edges come by start and then length.
 WAYS = """array_sort(concat(edges, transform(filter(sequence(0, n - 1), p -> not exists(edges, e -> e.s = p and e.e = p + 1)),
@@ -196,10 +212,12 @@ def folded(lattice: DataFrame, model: Model) -> DataFrame:
     byte_ids = f"""transform(sequence(0, octet_length(substring(word, p + 1, 1)) - 1), k -> {model.byte_base} +
         cast(conv(substring(hex(encode(substring(word, p + 1, 1), 'UTF-8')), 2 * k + 1, 2), 16, 10) as int))"""
     if model.kind == BPE:
-        piece = f"""coalesce(transform(nullif(slice(filter(edges, e -> e.s = cuts[i - 1] and e.e = cuts[i]), 1, 1), array()),
-            e -> e.id), transform(array(cuts[i - 1]), p -> {byte_ids})[0])"""
+        own = f"filter(edges, x -> (shiftright(x, {ID_BITS}) & {PLACE}L) = cuts[i - 1] * {1 << END_BITS} + cuts[i])"
+        piece = f"""coalesce(transform(nullif(slice({own}, 1, 1), array()), x -> cast(x & {(1 << ID_BITS) - 1}L as int)),
+            transform(array(cuts[i - 1]), p -> {byte_ids})[0])"""
         cuts = "filter(sequence(0, n), p -> (shiftright(b, p) & 1L) = 1L)"
-        ids = _let("spans", SPANS, _let("b", MERGES, _let(
+        found = _let("a", IN_TURN, f"if(a.late, {AGAIN}, a.b)")
+        ids = _let("spans", SPANS, _let("b", found, _let(
             "cuts", cuts, f"flatten(transform(sequence(1, size(cuts) - 1), i -> {piece}))")))
     else:
         piece = f"if(x.id >= 0, array(x.id), transform(array(x.p), p -> {byte_ids})[0])"
@@ -229,9 +247,12 @@ def _distinct_words(rows: DataFrame) -> DataFrame:
     return rows.select("text", "block").mapInArrow(run, "word string, block int")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+           decoded: bool = False) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs``, as the library encodes its text.
 
+    With ``decoded`` also ``text``, which the ids give back.
+
     A block is what one task reads. Each distinct word's ids are sent to the blocks that hold
     the word, where texts, which travel compressed, are put together from them. Null and
     empty texts have no ids. Whole texts are encoded, words beyond ``LONGEST`` characters by the
@@ -243,8 +264,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.spark_partition_id().alias("block"))
-    words = _distinct_words(rows).groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    known = folded(edges(words, model), model).select(F.explode("blocks").alias("block"), "word", "ids")
+    known = folded(edges(_distinct_words(rows), model, 4 * shuffle_width(docs.sparkSession)), model).select(F.explode("blocks").alias("block"), "word", "ids")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -262,7 +282,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = load(path), zstandard.ZstdDecompressor()
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[str, bytes] = {}
         now = None
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -272,29 +292,33 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 if block[k] != now:
                     now, seen = block[k], {}
                 if part[k] == 0:
-                    seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy()
+                    seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy().tobytes()
                     continue
                 parts = []
                 for word in words_of(unpack.decompress(batch.column(5)[k].as_py()).decode()):
                     ids = seen.get(word)
                     if ids is None:
-                        ids = np.array(own.ids(word), np.int32)
+                        ids = np.array(own.ids(word), np.int32).tobytes()
                     parts.append(ids)
                 doc_rows.append(k)
-                out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+                out.append(np.frombuffer(b"".join(parts), np.int32))
                 size += len(out[-1])
                 if size > 1 << 21:
-                    yield made(batch, doc_rows, out)
+                    yield made(own, batch, doc_rows, out)
                     doc_rows, out, size = [], [], 0
             if doc_rows:
-                yield made(batch, doc_rows, out)
+                yield made(own, batch, doc_rows, out)
 
-    def made(batch: pa.RecordBatch, doc_rows: list[int], out: list[np.ndarray]) -> pa.RecordBatch:
+    def made(own: Model, batch: pa.RecordBatch, doc_rows: list[int], out: list[np.ndarray]) -> pa.RecordBatch:
         bounds = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(out)))
-        return pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(doc_rows)), ids], ["doc_id", "ids"])
+        columns = [batch.column(4).take(pa.array(doc_rows)),
+                   pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(out)))]
+        if decoded:
+            columns.append(pa.array([decode_ids(own, x.tolist()) for x in out], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][:len(columns)])
 
-    return dealt.select("block", "part", "word", "ids", "doc_id", "packed").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return dealt.select("block", "part", "word", "ids", "doc_id", "packed").mapInArrow(
+        run, f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -314,5 +338,5 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 def word_ids(spark: SparkSession, words: list[str], model: Model) -> dict[str, list[int]]:
     """The ids of a few words through the lattice; for tests and for looking things up."""
-    rows = spark.createDataFrame([(w, [0]) for w in words], "word string, blocks array<int>")
-    return {r["word"]: r["ids"] for r in folded(edges(rows, model), model).collect()}
+    rows = spark.createDataFrame([(w, 0) for w in words], "word string, block int")
+    return {r["word"]: r["ids"] for r in folded(edges(rows, model, shuffle_width(spark)), model).collect()}

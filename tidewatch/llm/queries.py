@@ -69,6 +69,6 @@ def op2_lm(spark, sf_dir):
 
 @registered("op7_sentencepiece")
 def op7_sentencepiece(spark, sf_dir):
-    whole = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    whole = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return whole.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
