@@ -24,12 +24,26 @@ def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@registered("op10_warc")
+@registered("op10_warc", """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+v AS (SELECT *, [CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) FOR k IN range(8)] AS parts FROM d)
+SELECT page_id, payload_bytes, list_aggregate(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INTEGER) + 1, 1)
+    FOR s IN [15, 10, 5, 0]] FOR x IN parts]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM v""")
 def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-@registered("op3_linededup")
+@registered("op3_linededup", """WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+t AS (SELECT source, count(*) AS total FROM d WHERE source IS NOT NULL GROUP BY source),
+l AS (SELECT source, line, count(*) AS pages FROM (SELECT source, unnest(list_distinct([trim(x) FOR x IN ls IF trim(x) <> ''])) AS line
+    FROM d WHERE source IS NOT NULL) q GROUP BY source, line),
+b AS (SELECT source, list(line) AS bad FROM l JOIN t USING (source) WHERE pages >= 5 AND pages > CAST(0.1 AS DOUBLE) * total GROUP BY source),
+k AS (SELECT d.*, [x FOR x IN ls IF trim(x) = '' OR NOT list_contains(coalesce(bad, []), trim(x))] AS kept FROM d LEFT JOIN b USING (source)),
+w AS (SELECT *, CASE WHEN len([x FOR x IN kept IF trim(x) <> '']) = 0 THEN ls ELSE kept END AS rest FROM k)
+SELECT doc_id, source, CASE WHEN len(rest) = len(ls) THEN text ELSE array_to_string(rest, chr(10)) END AS text,
+  coalesce(len(ls), 0) AS lines, coalesce(len(ls) - len(rest), 0) AS lines_dropped FROM w""")
 def op3_linededup(spark, sf_dir):
     kept = linededup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "source", "text", "lines", "lines_dropped")
@@ -41,7 +55,27 @@ def listed(spans, kinds):
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-@registered("op5_secrets")
+def secrets_sql():
+    """The spans of each rule from the text between its matches, with RE2 in place of Java's patterns."""
+    parts = []
+    for place, rule in enumerate(secret_scan.BASE + secret_scan.MORE):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), i -> {{
+    'a': coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0),
+    'n': length(m[i]), 'v': length(v[i])}})) AS s, {rule.least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(text, {pattern}, 0) AS m, regexp_extract_all(text, {pattern}, {rule.group}) AS v,
+    string_split_regex(text, {pattern}) AS g FROM documents) q""")
+    base = len(secret_scan.BASE)
+    joined = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place)"
+    return f"""WITH every AS ({' UNION ALL '.join(parts)}),
+good AS (SELECT doc_id, place, kind, CAST(s.a AS BIGINT) AS a, CAST(s.a + s.n AS BIGINT) AS b FROM every WHERE s.v >= least),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE)},
+  {joined} FILTER (place < {base}) AS base, {joined} AS spans FROM good GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secret_scan.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+@registered("op5_secrets", secrets_sql())
 def op5_secrets(spark, sf_dir):
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in secret_scan.BASE]

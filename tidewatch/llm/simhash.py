@@ -65,16 +65,17 @@ def _set_bits(words: list[bytes], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``(doc_id, fp)``, one row for each row of ``docs``; ``fp`` is the fingerprint's bits as a signed long."""
+    """``(doc_id, text_hash, fp)``, one row for each row of ``docs``; ``fp`` is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, width) for t in bytes_of(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t, width) for t in bytes_of(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp bigint")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
+        run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -319,7 +320,7 @@ def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                     distance: int = 4) -> DataFrame:
-    """``(doc_id, fp, fingerprint, component_id)`` for every row of ``docs``.
+    """``(doc_id, text_hash, fp, fingerprint, component_id)`` for every row of ``docs``.
 
     Fingerprints at ``distance`` or fewer differing bits are linked; ``component_id`` is the
     smallest id that links reach. Equal fingerprints collapse to one node before any join,
@@ -337,24 +338,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, so that the join below has two plain sides and a hot fingerprint can be split
     classes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "classes")
     return marked.join(classes, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                 distance: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
-    Of several rows with that same id, one stays. Rows with a null id stay if no row of their
-    group has an id, one for each distinct row.
+    Of equal rows with that id, one stays; so does one of each text if texts differ under that
+    id. Rows with a null id stay if no row of their group has an id, one of each distinct row.
     """
     groups = near_duplicates(docs, id_col, text_col, width, distance)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.count("*").alias("copies"))
-    kept = materialise(kept.withColumnRenamed("doc_id", "__kept"), "kept")
-    same = docs[id_col].eqNullSafe(kept["__kept"])
+    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("copies")), "kept")
+    hashed = F.xxhash64(F.col(text_col).cast("string"))
+    same = docs[id_col].eqNullSafe(kept["__id"]) & (hashed == kept["__hash"])
     single = docs.join(kept.where("copies = 1"), same, "left_semi")
     if kept.where("copies > 1").isEmpty():
         return single
     several = docs.join(kept.where("copies > 1"), same, "left_semi")
-    return single.union(several.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])).union(
-        several.where(F.col(id_col).isNull()).distinct())
+    one = several.where(F.col(id_col).isNotNull()).withColumn("__hash", hashed).dropDuplicates([id_col, "__hash"]).drop("__hash")
+    return single.union(one).union(several.where(F.col(id_col).isNull()).distinct())

@@ -217,9 +217,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield made(rows)
 
     def checked(block: bytes | None, digest: str | None) -> tuple[bytes | None, str | None, bool]:
+        if block is None:
+            return None, digest, False
         try:
             payload = payload_of(block)
-        except (ValueError, TypeError):
+        except ValueError:
             return None, digest, False
         own = base32_sha1(payload)
         return (payload, own, True) if digest in (None, own) else (None, digest, False)
