@@ -60,9 +60,9 @@ def secrets_sql():
     parts = []
     for place, rule in enumerate(secret_scan.BASE + secret_scan.MORE):
         pattern = "'" + rule.pattern.replace("'", "''") + "'"
-        parts.append(f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), i -> {{
+        parts.append(f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, unnest([{{
     'a': coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0),
-    'n': length(m[i]), 'v': length(v[i])}})) AS s, {rule.least} AS least
+    'n': length(m[i]), 'v': length(v[i])}} FOR i IN range(1, len(m) + 1)]) AS s, {rule.least} AS least
   FROM (SELECT doc_id, regexp_extract_all(text, {pattern}, 0) AS m, regexp_extract_all(text, {pattern}, {rule.group}) AS v,
     string_split_regex(text, {pattern}) AS g FROM documents) q""")
     base = len(secret_scan.BASE)
