@@ -10,6 +10,7 @@ from tidewatch.functions import geo, scales, tails, text
 from tidewatch.operators import dates, events, impact, live, names, panel, quality, ranking, spatial, stats
 from tidewatch.plans import outlook, response, risk
 from tidewatch.sources import sinks
+from tidewatch.streaming import feeds
 
 
 def values(df, *columns):
@@ -274,6 +275,56 @@ def test_tracks_are_linked(spark):
     assert values(live.link_tracks(df).orderBy("place"), "lat") == [(1.0,), (2.0,), (3.0,)]
 
 
+def test_tracks_with_circles_and_repeats(spark):
+    parts = [("s", 1, 1.0, 2.0), ("s", 2, 2.0, 3.0), ("s", 3, 3.0, 4.0), ("s", 4, 4.0, 2.0), ("s", 5, 7.0, 8.0), ("s", 0, 7.0, 9.0),
+             ("round", 1, 1.0, 2.0), ("round", 2, 2.0, 1.0), ("tie", 2, 1.0, 2.0), ("tie", 1, 5.0, 6.0)]
+    parts += [("long", (k * 37) % 101, float(k), float(k + 1)) for k in range(101)]
+    df = spark.createDataFrame([(s, False, q, a, a, b, b) for s, q, a, b in parts],
+                               "storm string, forecast boolean, seq int, x1 double, y1 double, x2 double, y2 double")
+    got = {}
+    for r in live.link_tracks(df).orderBy("storm", "place").collect():
+        got.setdefault(r["storm"], []).append(r["lon"])
+    assert got == {"s": [1.0, 2.0, 3.0, 4.0], "tie": [5.0, 6.0], "long": [float(k) for k in range(102)]}
+
+
+def test_sorted_events(spark):
+    df = spark.createDataFrame([("a", "earthquake", 5.0, None, 1), ("b", "flood", 9.0, "high", 2), ("c", "earthquake", 6.0, "very_high", 0),
+                                ("d", "flood", None, None, 3)], "id string, type string, magnitude double, severity_level string, time int")
+    assert [i for i, in values(live.sort_events(df, "magnitude"), "id")] == ["c", "a", "d", "b"]
+    assert [i for i, in values(live.sort_events(df, "severity"), "id")] == ["c", "b", "d", "a"]
+
+
+def test_rates_outside_the_table(spark):
+    fx = spark.createDataFrame([(1960, 4.0), (2000, 40.0), (1990, None)], "year long, inr_per_usd double")
+    df = spark.createDataFrame([(1400, 1.0), (2600, 2.0), (1979, 1.0), (1980, 1.0), (1981, 1.0), (None, 1.0), (2000, 0.0)], "year long, usd double")
+    got = {r["year"]: (r["inr"], r["fx_estimated"]) for r in impact.add_inr(df, fx, {"usd": "inr"}).collect()}
+    assert got == {1400: (4.0, True), 2600: (80.0, True), 1979: (4.0, True), 1980: (4.0, True), 1981: (40.0, True),
+                   None: (None, None), 2000: (0.0, False)}
+
+
+def test_ids_without_a_number_are_rejected(spark):
+    df = spark.createDataFrame([("X-2001-0001", "b"), ("X-2001-0001", "a"), ("bad", "a"), (None, "a"), ("X-0000-0001", "a")], "uei string, state string")
+    assert values(dates.number_events(df), "uei", "state") == [("X-2001-0001", "a")]
+    assert sorted(values(dates.unnumbered(df), "uei", "reason"), key=str) == sorted(
+        [("bad", "id without year and number"), (None, "no id"), ("X-0000-0001", "id without year and number")], key=str)
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "source string, at long, event_id long, ok boolean, events long, error string"
+    land = lambda rows, k: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    home = str(tmp_path / "home")
+
+    def run():
+        rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return feeds.source_health(rows, "health", F.lit(100), 50, home=home).collect()
+
+    land([("a", 90, 1, True, 5, None)], 1)
+    assert [(r["status"], r["tries"]) for r in run()] == [("ok", 1)]
+    assert [(r["status"], r["tries"]) for r in run()] == [("ok", 1)]
+    land([("a", 95, 2, False, None, "Timeout"), ("b", 20, 3, False, None, "Timeout")], 2)
+    assert sorted((r["source"], r["status"], r["count"], r["tries"]) for r in run()) == [("a", "stale", 5, 2), ("b", "unavailable", 0, 1)]
+
+
 def test_outlook_scores(spark):
     share = F.array(*[F.lit(float(m)) for m in range(1, 13)])
     assert column(spark, scales.seasonal_factor(share, F.lit(6))) == 0.5

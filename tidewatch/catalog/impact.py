@@ -154,8 +154,7 @@ def world_grid(t):
   min_by(f.year, abs(f.year - y.year) * 10000 + f.year) AS rate_year
 FROM (SELECT DISTINCT year FROM {impact_records}) y, {fx} f GROUP BY y.year""")
 def nearest_year_rates(t):
-    years = t.impact_records.select("year").distinct()
-    return years.join(op.nearest_year_rates(t.fx), "year")
+    return op.join_rates(t.impact_records.select("year").distinct(), t.fx).select("year", "inr_per_usd", "rate_year")
 
 
 @query("add_inr", f"""WITH {INR_SQL}

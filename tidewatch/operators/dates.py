@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.text import date_readings, start_choices
 
+SHAPE = r"^(.*)-([1-9]\d{3})-(\d{4})$"
 ORDER_BREAK = 10  # cost of an event that starts before the one numbered ahead of it
 
 
@@ -19,13 +20,22 @@ def number_events(events: DataFrame) -> DataFrame:
     """Inventory, year and number of each event id, one line per id.
 
     The number has four digits, so an inventory holds at most ten thousand events of a
-    year. That bounds every run below.
+    year. That bounds every run below. Ids of another shape are ``unnumbered``. Of lines with
+    the same id the first in the order of all their columns counts.
     """
-    shape = r"^(.*)-(\d{4})-(\d{4})$"
-    return events.dropDuplicates(["uei"]).withColumns({
-        "_book": F.regexp_extract("uei", shape, 1),
-        "_year": F.regexp_extract("uei", shape, 2).try_cast("int"),
-        "_seq": F.regexp_extract("uei", shape, 3).try_cast("int")})
+    columns = ["uei", *[c for c in events.columns if c != "uei"]]
+    fit = events.filter(F.col("uei").rlike(SHAPE))
+    once = fit.groupBy("uei").agg(F.min(F.struct(*columns)).alias("_line")).select("_line.*").select(*events.columns)
+    return once.withColumns({
+        "_book": F.regexp_extract("uei", SHAPE, 1),
+        "_year": F.regexp_extract("uei", SHAPE, 2).cast("int"),
+        "_seq": F.regexp_extract("uei", SHAPE, 3).cast("int")})
+
+
+def unnumbered(events: DataFrame) -> DataFrame:
+    """Rejected lines: those whose id has no year and number, with the reason."""
+    return events.filter(~F.coalesce(F.col("uei").rlike(SHAPE), F.lit(False))).withColumn(
+        "reason", F.when(F.col("uei").isNull(), "no id").otherwise("id without year and number"))
 
 
 def mark_runs(numbered: DataFrame, state: str = "state") -> DataFrame:

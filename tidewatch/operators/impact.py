@@ -139,26 +139,34 @@ def world_grid(world: DataFrame, first: int, last: int, types: list[str] = TYPES
 # ── currency ────────────────────────────────────────────────────────────────
 
 
-def nearest_year_rates(fx: DataFrame, first: int = 1500, last: int = 2500) -> DataFrame:
-    """For every year, the rate of the closest table year; the earlier one on a tie.
+def nearest_year_rates(fx: DataFrame) -> DataFrame:
+    """For every year of the table's span, the rate of the closest table year; the earlier one on a tie.
 
     Each table year owns the years up to the middle between it and its neighbours, so the
     nearest-key join becomes a plain equi join on the year.
     """
     by_year = W.partitionBy(F.lit("INR")).orderBy("year")  # a rate table has one line per year
     owned = F.sequence(
-        F.coalesce(F.floor((F.lag("year").over(by_year) + F.col("year")) / 2) + 1, F.lit(first)).cast("long"),
-        F.coalesce(F.floor((F.col("year") + F.lead("year").over(by_year)) / 2), F.lit(last)).cast("long"))
+        F.coalesce(F.floor((F.lag("year").over(by_year) + F.col("year")) / 2) + 1, F.col("year")).cast("long"),
+        F.coalesce(F.floor((F.col("year") + F.lead("year").over(by_year)) / 2), F.col("year")).cast("long"))
     return (fx.dropna().select("inr_per_usd", F.col("year").alias("rate_year"), owned.alias("owned"))
             .select(F.explode("owned").alias("year"), "inr_per_usd", "rate_year"))
 
 
+def join_rates(df: DataFrame, fx: DataFrame) -> DataFrame:
+    """``inr_per_usd`` and ``rate_year`` for the year of each line; outside the table's span those of its first or last year."""
+    rates = nearest_year_rates(fx).withColumnRenamed("year", "_near")
+    ends = fx.dropna()
+    near = F.least(F.greatest(F.col("year"), ends.agg(F.min("year")).scalar()), ends.agg(F.max("year")).scalar())
+    near = F.when(F.col("year").isNotNull(), near).cast("long")
+    return df.withColumn("_near", near).join(rates, "_near", "left").drop("_near")
+
+
 def add_inr(df: DataFrame, fx: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Money in rupees at each line's own year, and whether any rate was an estimate."""
-    rates = nearest_year_rates(fx)
     usd = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in pairs}
     estimated = (F.col("rate_year") != F.col("year")) & any_of([value > 0 for value in usd.values()])
-    return (df.join(rates, "year", "left")
+    return (join_rates(df, fx)
             .withColumns({**{inr: usd[name] * F.col("inr_per_usd") for name, inr in pairs.items()},
                           "fx_estimated": estimated})
             .drop("inr_per_usd", "rate_year"))

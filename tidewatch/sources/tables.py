@@ -172,17 +172,16 @@ VIEWS["daily_sparse"] = """
 SELECT l_suppkey % 20 AS cell, CAST(l_shipdate AS DATE) AS day,
        round(sum(l_quantity), 1) AS rain_mm, round(avg(l_discount) * 10, 3) AS soil_wetness
 FROM {lineitem}
-WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '2001-10-31'
 GROUP BY l_suppkey % 20, CAST(l_shipdate AS DATE)
 """
 
 VIEWS["flood_events"] = """
-SELECT 'E' || CAST(o_orderkey AS STRING) AS uei, 'D' || lpad(CAST(c_nationkey AS STRING), 2, '0') AS district,
+SELECT 'E' || CAST(o_orderkey AS STRING) AS uei,
+       CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 9 = 0 THEN 'D' || lpad(CAST(c_nationkey AS STRING), 2, '0') END AS district,
        CAST(o_orderdate AS DATE) AS start_date,
        CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INT) AS end_date,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS deaths
 FROM {orders} JOIN {customer} ON c_custkey = o_custkey
-WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 9 = 0
 """
 
 # District-month panel with feature columns, and a score that stands for a model's output.
@@ -313,11 +312,11 @@ FROM (SELECT event_id, CAST(floor(event_id / 3) AS BIGINT) AS g, event_id % 3 AS
 """
 
 VIEWS["attempts"] = """
-SELECT CASE event_type WHEN 'view' THEN 'usgs' WHEN 'click' THEN 'gdacs' ELSE 'eonet' END AS source,
+SELECT CASE WHEN event_type IN ('view', 'purchase') THEN 'usgs' WHEN event_type IN ('click', 'signup') THEN 'gdacs' ELSE 'eonet' END AS source,
        CAST(floor(event_id / 5) AS BIGINT) * 60 + 1704067200 AS at_s,
        event_type <> 'error' AND user_id % 4 <> 0 AS ok, CAST(user_id AS BIGINT) AS events,
        CASE WHEN event_type = 'error' OR user_id % 4 = 0 THEN 'Timeout' END AS error, event_id
-FROM {events} WHERE event_type IN ('view', 'click', 'error')
+FROM {events}
 """
 
 

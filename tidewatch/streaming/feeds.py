@@ -1,15 +1,16 @@
 """Structured Streaming jobs over landed feed files and update logs.
 
-Each job names a checkpoint folder below the shared folder. A restarted job goes on where
-it stopped, so a lost executor or driver costs a repeat of the current micro-batch only.
+Each job keeps its checkpoint, state and output below ``home``, a folder that the caller
+names. A job that is started again with the same ``home`` goes on where it stopped, so a lost
+executor or driver costs a repeat of the current micro-batch only. Without a ``home`` a job
+takes a new folder below the shared one and starts from nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.live import finalise, last_tries, merge_readings, snapshot_status
 from tidewatch.session import fresh_path
@@ -29,21 +30,14 @@ def landed_documents(spark: SparkSession, path: str, files_per_batch: int = 64)
             .withColumnRenamed("value", "body"))
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run over what has landed, and return what was written."""
+def run_available(stream: DataFrame, label: str, mode: str = "append", home: str | None = None) -> DataFrame:
+    """Run over what has landed, and return what was written, in this run and before."""
     spark = stream.sparkSession
-    out, checkpoint = fresh_path(spark, f"{label}-out"), fresh_path(spark, f"{label}-state")
-    query = (stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def each_batch(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None]) -> None:
-    """Run ``handle`` on every micro-batch of what has landed."""
-    query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", fresh_path(stream.sparkSession, label))
-             .trigger(availableNow=True).start())
+    home = home or fresh_path(spark, label)
+    query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{home}/out")
+             .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start())
     query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
 def daily_counts(events: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("event_type",), late: str = "1 day") -> DataFrame:
@@ -63,64 +57,46 @@ def late_rows(batch: DataFrame, closed_until: str, time: str = "ts") -> tuple[Da
     return batch.filter(F.col(time) >= edge), batch.filter(F.col(time) < edge)
 
 
-def fold(stream: DataFrame, label: str, reduce: Callable[[DataFrame], DataFrame],
-         combine: Callable[[DataFrame], DataFrame], base: str | None = None) -> DataFrame:
-    """Fold every micro-batch into a state table and return the last state.
+def latest_groups(groups: DataFrame, label: str, keys: list[str], home: str | None = None) -> DataFrame:
+    """The current row of each group of a streaming aggregate over what has landed.
 
-    A micro-batch is reduced to one row per key before it meets the state. The state after
-    batch n is a table of its own, made from the state after n - 1 only. A batch that is
-    repeated after a failure therefore writes the same table again and counts nothing twice.
+    Groups are kept in the state store. A micro-batch writes only the groups it changed, as a
+    table of its own that a repeat overwrites; the last one of each group is its current row.
     """
-    spark = stream.sparkSession
-    base = base or fresh_path(spark, f"{label}-table")
-    last = {"batch": -1}
+    spark = groups.sparkSession
+    home = home or fresh_path(spark, label)
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = reduce(batch)
-        if number > 0:
-            rows = combine(spark.read.schema(rows.schema).parquet(f"{base}/{number - 1}").unionByName(rows))
-        rows.write.mode("overwrite").parquet(f"{base}/{number}")
-        last["batch"] = number
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
 
-    each_batch(stream, f"{label}-batches", step)
-    if last["batch"] < 0:
-        raise ValueError(f"nothing has landed for {label}")
-    return spark.read.parquet(f"{base}/{last['batch']}")
+    query = (groups.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{home}/state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    changes = spark.read.schema(T.StructType([*groups.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{home}/out")
+    fields = [c for c in groups.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("_last")).select(*keys, "_last.*")
 
 
 def keep_latest(stream: DataFrame, label: str, keys: list[str], order: list[str],
-                counted: dict[str, str] | None = None) -> DataFrame:
+                counted: dict[str, str] | None = None, home: str | None = None) -> DataFrame:
     """Latest row of each key over all micro-batches; ``counted`` maps a column to the SQL condition it counts."""
     counted = counted or {}
     fields = [c for c in stream.columns if c not in keys]
+    groups = stream.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("_row"),
+                                       *[F.count_if(F.expr(c)).alias(n) for n, c in counted.items()])
+    return latest_groups(groups, label, keys, home).select(*keys, "_row.*", *counted)
 
-    def reduce(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("_row"),
-                                        *[F.count_if(F.expr(c)).alias(n) for n, c in counted.items()])
-
-    def combine(rows: DataFrame) -> DataFrame:
-        place = F.struct(*[F.col(f"_row.{c}") for c in order])
-        return rows.groupBy(*keys).agg(F.max_by("_row", place).alias("_row"), *[F.sum(n).alias(n) for n in counted])
-
-    return fold(stream, label, reduce, combine).select(*keys, "_row.*", *counted)
 
-
-def source_health(attempts: DataFrame, label: str, now, keep_seconds: int = SNAPSHOT_SECONDS) -> DataFrame:
+def source_health(attempts: DataFrame, label: str, now, keep_seconds: int = SNAPSHOT_SECONDS, home: str | None = None) -> DataFrame:
     """Status of each source from the log of its fetches, with how often it was tried.
 
     Only the last success and the last try of a source are state, so a busy source takes no
     more room than a quiet one.
     """
-    def reduce(batch: DataFrame) -> DataFrame:
-        return last_tries(batch).withColumnRenamed("tries", "n")
-
-    def combine(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("source").agg(F.max("_good").alias("_good"), F.max("_try").alias("_try"), F.sum("n").alias("n"))
-
-    return snapshot_status(fold(attempts, label, reduce, combine), now, keep_seconds).withColumnRenamed("n", "tries")
+    return snapshot_status(latest_groups(last_tries(attempts), label, ["source"], home), now, keep_seconds)
 
 
-def merged_events(readings: DataFrame, label: str) -> DataFrame:
+def merged_events(readings: DataFrame, label: str, home: str | None = None) -> DataFrame:
     """Live events out of a stream of readings: the latest reading of each id, merged and rated."""
-    current = keep_latest(readings, label, ["source", "source_id"], ["updated", "seq"])
+    current = keep_latest(readings, label, ["source", "source_id"], ["updated", "seq"], home=home)
     return finalise(merge_readings(current))
