@@ -132,14 +132,27 @@ class LanguageModel:
         return Encoded(np.repeat(np.array(owners, np.int64), sizes), token[where], hashes,
                        self.classes(hashes, words)[token[where]], rows)
 
-    def log_shares(self, rows: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the class probabilities, a row for each token."""
+    def _raised(self, rows: np.ndarray) -> np.ndarray:
+        """Logits of the classes, a row for each token, the largest of each row at zero."""
         logits = self.weights[rows[:, 0]]
         for k in range(1, rows.shape[1]):
             logits += self.weights[rows[:, k]]
         logits += self.log_mass.astype(np.float32)
         logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits
+
+    def shares(self, rows: np.ndarray) -> np.ndarray:
+        """The class probabilities, a row for each token."""
+        out = self._raised(rows)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        return out
+
+    def log_share_of(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The natural logarithm of the probability of each token's class."""
+        logits = self._raised(rows)
+        own = logits[np.arange(len(cls)), cls].astype(np.float64)
+        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 @dataclass
@@ -169,12 +182,13 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def train_step(model: LanguageModel, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
     """One gradient step on a batch of tokens, scaled for each weight by the gradients it has seen."""
-    error = np.exp(model.log_shares(rows))
+    error = model.shares(rows)
     error[np.arange(len(cls)), cls] -= 1
     for k in range(rows.shape[1]):
         where, slope = _sum_rows(rows[:, k], error)
-        squares[where] += slope * slope
-        model.weights[where] -= rate * slope / np.sqrt(squares[where] + 1.0)
+        seen = squares[where] + slope * slope
+        squares[where] = seen
+        model.weights[where] -= rate * slope / np.sqrt(seen + 1.0)
 
 
 def _round(model: LanguageModel, texts: DataFrame, rate: float, batch_bytes: int = 1 << 21) -> np.ndarray:
@@ -297,7 +311,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, id_col: str
             gain = np.empty(len(data.cls))
             for at in range(0, len(gain), STEP):
                 cls = data.cls[at:at + STEP]
-                gain[at:at + STEP] = model.log_shares(data.rows[at:at + STEP])[np.arange(len(cls)), cls] - model.log_mass[cls]
+                gain[at:at + STEP] = model.log_share_of(data.rows[at:at + STEP], cls) - model.log_mass[cls]
             at, common = _find(model.head, data.hashes)
             is_common = common[data.token]
             value = np.where(common, logs[at] if len(logs) else 0.0, 0.0)[data.token]
