@@ -32,7 +32,7 @@ EN, DE = "the cat sat on a mat and then it ran away from".split(), "der hund lä
 
 
 def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD", 8)  # so that rare words take the way through the join
+    monkeypatch.setattr(lm, "HEAD", 20)  # so that rare words take the way through the join
     rows = [(k, t, None) for k, t in enumerate(prose(1, EN, 80) + prose(2, DE, 80))]
     rows += [(500, None, None), (501, "", None), (502, "Unseen wörds  only", None), (None, "the cat", None), (3, "the cat", None),
              (504, "long " * 60_000, None)]
@@ -52,6 +52,10 @@ def test_language_model(spark, monkeypatch):
     shares = model.shares(model.encode([b"the cat sat", b""]).rows)
     assert np.allclose(shares.sum(axis=1), 1, atol=1e-5)
     assert np.exp(model.log_mass).sum() <= 1 + 32 * 0.5 / model.denominator + 1e-6
+    top = {r.h: r.c for r in lm.commonest(counts, 5).collect()}
+    assert len(top) <= 6 and lm._hash(lm.END) in top
+    rest = [c for w, c in seen.items() if lm._hash(w) not in top]
+    assert all(c >= max(rest) for h, c in top.items() if h != lm._hash(lm.END))
     empty = docs.limit(0)
     assert lm.score(empty, *lm.fit(empty)).count() == 0
 
