@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words that no piece crosses. Distinct words are exploded into substrings
-of bounded length, which are joined with the piece table; what is found are the edges of a
-word's lattice. They are grouped by word and folded to its ids by a higher-order aggregate:
-a Viterbi fold for unigram models, a fold of merges for BPE models.
+A text is cut into words that no piece crosses, and these again between any two characters
+that stand side by side in no piece, as no edge can span them. Distinct words are exploded
+into substrings of bounded length, which are joined with the piece table; what is found are
+the edges of a word's lattice. They are grouped by word and folded to its ids by a
+higher-order aggregate: a Viterbi fold for unigram models, a fold of merges for BPE models.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
 #: A word's boundaries are the bits of a long; longer words are folded by the same rule in Python.
 LONGEST = 62
-#: Distinct words that a task holds before it passes them on.
+#: Distinct words that a task remembers at a time.
 HELD = 400_000
-_WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+_WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
 @dataclass
@@ -47,17 +48,39 @@ class Model:
     def __post_init__(self) -> None:
         self.by_piece = {p: (i, s) for p, i, s in self.pieces}
         self.longest = max(len(p) for p, _, _ in self.pieces)
+        self.pairs = {pair for p, _, _ in self.pieces for pair in zip(p, p[1:])}
         self.unknown = min(s for _, _, s in self.pieces) - 10.0
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_base + b for b in char.encode()]
 
+    def parts(self, word: str) -> list[str]:
+        """``word`` cut between characters that no piece has side by side."""
+        cuts = [k for k, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
     def ids(self, word: str) -> list[int]:
         """The ids of one word, by the rule of the fold."""
         return self._merged(word) if self.kind == BPE else self._viterbi(word)
 
-    def _merged(self, word: str) -> list[int]:
-        """The best pair merges first, the leftmost among equals, until no pair is a piece."""
+    def late(self) -> dict[str, bool]:
+        """The pieces that merging can make, and whether that comes after a worse piece was merged.
+
+        As long as a piece is two symbols, no merge has crossed its ends. So what happens within
+        it is what happens to it as a word of its own, whatever stands around it.
+        """
+        found = {}
+        for piece, _, score in self.pieces:
+            worst = [0.0]
+            if len(self._merged(piece, worst)) == 1:
+                found[piece] = worst[0] < score
+        return found
+
+    def _merged(self, word: str, worst: list[float] | None = None) -> list[int]:
+        """The best pair merges first, the leftmost among equals, until no pair is a piece.
+
+        ``worst`` becomes the smallest score among the merges.
+        """
         end = list(range(1, len(word) + 1))
         start = list(range(-1, len(word) - 1))  # of the symbol before
         live = [True] * len(word)
@@ -71,8 +94,10 @@ class Model:
         for k in range(len(word)):
             offer(k)
         while queue:
-            _, a, stop = heapq.heappop(queue)
+            cost, a, stop = heapq.heappop(queue)
             if live[a] and end[a] < len(word) and end[end[a]] == stop:
+                if worst is not None:
+                    worst[0] = min(worst[0], -cost)
                 live[end[a]] = False
                 end[a] = stop
                 if stop < len(word):
@@ -134,7 +159,15 @@ def words_of(text: str) -> list[str]:
     """
     if not text:
         return []
-    return [w.replace(" ", MARK) for w in _WORD.findall(" " + text.replace(MARK, " "))]
+    out: list[str] = []
+    for line in (" " + text.replace(MARK, " ")).split("\n"):
+        if "  " in line:
+            out += [w.replace(" ", MARK) for w in _WORD.findall(line)]
+        else:
+            first, *rest = line.split(" ")
+            out += [first] * bool(first) + [MARK + w for w in rest]
+        out.append("\n")
+    return out[:-1]
 
 
 def decode_ids(model: Model, ids: list[int]) -> str:
@@ -143,9 +176,10 @@ def decode_ids(model: Model, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-#: A BPE edge is one long that sorts as pairs merge: rank of the score, start, end and id in these many bits.
+#: A BPE edge is one long that sorts as pairs merge: rank of the score, start, end, whether it comes late, and id.
 END_BITS, ID_BITS = 6, 21
-PLACE = (1 << 2 * END_BITS) - 1
+LATE = 1 << ID_BITS
+AT_END, AT_START = ID_BITS + 1, ID_BITS + 1 + END_BITS
 
 
 def edges(words: DataFrame, model: Model, tasks: int) -> DataFrame:
@@ -157,17 +191,20 @@ def edges(words: DataFrame, model: Model, tasks: int) -> DataFrame:
     """
     spark = words.sparkSession
     ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
-    table = spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in model.pieces], "piece string, id int, score double, rank long")
-    placed = words.repartition(tasks, "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
+    late = model.late() if model.kind == BPE else dict.fromkeys(model.by_piece, False)
+    table = spark.createDataFrame([(p, i | late[p] * LATE, s, ranks[s]) for p, i, s in model.pieces if p in late],
+                                  "piece string, id int, score double, rank long")
+    by_hash = [F.xxhash64("word").alias("hash"), "word"]  # a number sorts faster than words that start alike
+    placed = words.repartition(tasks, "word").groupBy(*by_hash).agg(F.collect_set("block").alias("blocks"))
     starts = F.expr(f"""explode(flatten(transform(sequence(1, length(word)), s ->
         transform(sequence(1, least({model.longest}, length(word) - s + 1)), l ->
         named_struct('s', s - 1, 'e', s + l - 1, 'piece', substring(word, s, l),
         'blocks', if(s = 1 and l = 1, blocks, null))))))""")
-    spread = placed.select("word", starts.alias("x")).select("word", "x.*")
+    spread = placed.select("hash", "word", starts.alias("x")).select("hash", "word", "x.*")
     met = spread.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR blocks IS NOT NULL")
-    edge = f"shiftleft(rank, {2 * END_BITS + ID_BITS}) | shiftleft(cast(s as bigint), {END_BITS + ID_BITS}) | shiftleft(cast(e as bigint), {ID_BITS}) | id" \
+    edge = f"shiftleft(rank, {AT_START + END_BITS}) | shiftleft(cast(s as bigint), {AT_START}) | shiftleft(cast(e as bigint), {AT_END}) | id" \
         if model.kind == BPE else "named_struct('s', s, 'e', e, 'id', id, 'score', score)"
-    return met.select("word", F.expr(f"if(id is null, null, {edge})").alias("edge"), "blocks").groupBy("word").agg(
+    return met.select("hash", "word", F.expr(f"if(id is null, null, {edge})").alias("edge"), "blocks").groupBy("hash", "word").agg(
         F.collect_list("edge").alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks")).withColumn("n", F.length("word"))
 
 
@@ -176,23 +213,21 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-#: The edges of more than a character, the best first, as bits of their ends and of all they span.
-SPANS = f"""transform(filter(transform(array_sort(edges), x -> named_struct(
-        's', cast(shiftright(x, {END_BITS + ID_BITS}) & 63 as int), 'e', cast(shiftright(x, {ID_BITS}) & 63 as int))), x -> x.e - x.s > 1),
-    x -> named_struct('ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'span', shiftleft(1L, x.e + 1) - shiftleft(1L, x.s)))"""
+#: The edges, the best first, as bits of their ends and of all they span, with start and id.
+SPANS = f"""transform(transform(sort_array(edges), x -> named_struct('s', cast(shiftright(x, {AT_START}) & 63 as int),
+        'e', cast(shiftright(x, {AT_END}) & 63 as int), 'x', x)),
+    x -> named_struct('ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'span', shiftleft(1L, x.e + 1) - shiftleft(1L, x.s),
+        'own', shiftleft(cast(x.s as bigint), {AT_START}) | (x.x & {2 * LATE - 1}L)))"""
 #: The boundaries of a word's pieces: all are there at first. Each edge in turn that spans exactly two
-#: symbols loses the boundary within. If a merge lets a better edge span two symbols, which came to its
-#: turn too early, the word is ``late``.
-IN_TURN = """aggregate(
-    if(size(spans) > 0, sequence(1, size(spans)), array()),
-    named_struct('b', shiftleft(1L, n + 1) - 1L, 'late', false),
-    (a, k) -> transform(array(spans[k - 1]), e -> if(a.b & e.ends = e.ends and bit_count(a.b & e.span) = 3,
-        transform(array(a.b & ~(e.span ^ e.ends)), c -> named_struct('b', c, 'late', a.late or exists(
-            slice(spans, 1, k - 1), x -> c & x.ends = x.ends and bit_count(c & x.span) = 3)))[0], a))[0])"""
-#: For a late word: the first edge that spans two symbols merges, over and over.
-AGAIN = """aggregate(sequence(1, size(spans)), shiftleft(1L, n + 1) - 1L,
-    (b, k) -> b & ~coalesce(transform(slice(filter(spans, e -> b & e.ends = e.ends and bit_count(b & e.span) = 3), 1, 1),
-        e -> e.span ^ e.ends)[0], 0L))"""
+#: symbols loses the boundary within. That is right as long as no edge comes late.
+IN_TURN = """aggregate(spans, shiftleft(1L, n + 1) - 1L,
+    (b, e) -> if(b & e.ends = e.ends and bit_count(b & e.span) = 3, b & ~(e.span ^ e.ends), b))"""
+#: For a word with an edge that can come late: the first edge that spans two symbols merges, over and over.
+AGAIN = """aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1L,
+    (b, k) -> b & ~coalesce(get(transform(slice(filter(spans, e -> b & e.ends = e.ends and bit_count(b & e.span) = 3), 1, 1),
+        e -> e.span ^ e.ends), 0), 0L))"""
+#: The pieces between neighbouring boundaries, by start.
+CHOSEN = """sort_array(transform(filter(spans, e -> b & e.span = e.ends), e -> e.own))"""
 
 #: The best way to each position: score, the position before and the id. Edges come by start and then length.
 WAYS = """array_sort(concat(edges, transform(filter(sequence(0, n - 1), p -> not exists(edges, e -> e.s = p and e.e = p + 1)),
@@ -212,37 +247,43 @@ def folded(lattice: DataFrame, model: Model) -> DataFrame:
     byte_ids = f"""transform(sequence(0, octet_length(substring(word, p + 1, 1)) - 1), k -> {model.byte_base} +
         cast(conv(substring(hex(encode(substring(word, p + 1, 1), 'UTF-8')), 2 * k + 1, 2), 16, 10) as int))"""
     if model.kind == BPE:
-        own = f"filter(edges, x -> (shiftright(x, {ID_BITS}) & {PLACE}L) = cuts[i - 1] * {1 << END_BITS} + cuts[i])"
-        piece = f"""coalesce(transform(nullif(slice({own}, 1, 1), array()), x -> cast(x & {(1 << ID_BITS) - 1}L as int)),
-            transform(array(cuts[i - 1]), p -> {byte_ids})[0])"""
-        cuts = "filter(sequence(0, n), p -> (shiftright(b, p) & 1L) = 1L)"
-        found = _let("a", IN_TURN, f"if(a.late, {AGAIN}, a.b)")
-        ids = _let("spans", SPANS, _let("b", found, _let(
-            "cuts", cuts, f"flatten(transform(sequence(1, size(cuts) - 1), i -> {piece}))")))
+        bare = f"""transform(filter(sequence(0, n - 1), p -> (shiftright(b, p) & 3L) = 3L and
+            not exists(chosen, x -> shiftright(x, {AT_START}) = p)), p -> named_struct('p', p, 'ids', {byte_ids}))"""
+        with_bytes = f"""flatten(transform(array_sort(concat({bare}, transform(chosen, x -> named_struct(
+            'p', cast(shiftright(x, {AT_START}) as int), 'ids', array(cast(x & {LATE - 1}L as int)))))), x -> x.ids))"""
+        found = f"if(exists(edges, x -> (x & {LATE}L) <> 0), {AGAIN}, {IN_TURN})"
+        ids = _let("spans", SPANS, _let("b", found, _let("chosen", CHOSEN, f"""if(size(chosen) = bit_count(b) - 1,
+            transform(chosen, x -> cast(x & {LATE - 1}L as int)), {with_bytes})""")))
     else:
         piece = f"if(x.id >= 0, array(x.id), transform(array(x.p), p -> {byte_ids})[0])"
         ids = _let("ways", WAYS.format(unknown=model.unknown), _let("best", VITERBI, f"flatten(transform({PATH}, x -> {piece}))"))
     return lattice.select("word", F.expr(ids).alias("ids"), "blocks")
 
 
-def _distinct_words(rows: DataFrame) -> DataFrame:
-    """``(word, block)``: the short words of ``(text, block)``, distinct as far as a task sees."""
+def _distinct_words(rows: DataFrame, path: str) -> DataFrame:
+    """``(word, block)``: the short parts of words of ``(text, block)``, distinct as far as a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
+        own = load(path)
+        seen: set[str] = set()  # words of block ``now``, whose parts wait to be passed on
+        parts: set[str] = set()
+        now = None
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()),
-                                               pa.array([b for _, b in seen], pa.int32())], ["word", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()),
+                                               pa.array([now] * len(parts), pa.int32())], ["word", "block"])
 
         for batch in batches:
             for text, block in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                seen.update([(w, block) for w in words_of((text or b"").decode()) if len(w) <= LONGEST])
-                if len(seen) > HELD:
+                if block != now or len(seen) > HELD:
                     yield made()
                     seen.clear()
-        if seen:
-            yield made()
+                    parts.clear()
+                    now = block
+                fresh = set(words_of((text or b"").decode())) - seen
+                seen |= fresh
+                parts.update([p for w in fresh for p in own.parts(w) if len(p) <= LONGEST])
+        yield made()
 
     return rows.select("text", "block").mapInArrow(run, "word string, block int")
 
@@ -253,8 +294,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     With ``decoded`` also ``text``, which the ids give back.
 
-    A block is what one task reads. Each distinct word's ids are sent to the blocks that hold
-    the word, where texts, which travel compressed, are put together from them. Null and
+    A block is what one task reads. The ids of each distinct part of a word are sent to the blocks
+    that hold it, where texts, which travel compressed, are put together from them. Null and
     empty texts have no ids. Whole texts are encoded, words beyond ``LONGEST`` characters by the
     same rule outside the lattice. Repeated rows and null ids are answered row by row; an
     empty table gives an empty result; other columns are not read.
@@ -264,7 +305,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.spark_partition_id().alias("block"))
-    known = folded(edges(_distinct_words(rows), model, 4 * shuffle_width(docs.sparkSession)), model).select(F.explode("blocks").alias("block"), "word", "ids")
+    known = folded(edges(_distinct_words(rows, path), model, 4 * shuffle_width(docs.sparkSession)), model).select(F.explode("blocks").alias("block"), "word", "ids")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -282,7 +323,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = load(path), zstandard.ZstdDecompressor()
-        seen: dict[str, bytes] = {}
+        seen: dict[str, bytes] = {}  # parts of words
+        whole: dict[str, bytes] = {}
         now = None
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -290,15 +332,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             doc_rows, out, size = [], [], 0
             for k in range(batch.num_rows):
                 if block[k] != now:
-                    now, seen = block[k], {}
+                    now, seen, whole = block[k], {}, {}
                 if part[k] == 0:
                     seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy().tobytes()
                     continue
                 parts = []
                 for word in words_of(unpack.decompress(batch.column(5)[k].as_py()).decode()):
-                    ids = seen.get(word)
+                    ids = whole.get(word)
                     if ids is None:
-                        ids = np.array(own.ids(word), np.int32).tobytes()
+                        if len(whole) >= HELD:
+                            whole.clear()
+                        ids = whole[word] = b"".join([seen.get(p) or np.array(own.ids(p), np.int32).tobytes()
+                                                      for p in own.parts(word)])
                     parts.append(ids)
                 doc_rows.append(k)
                 out.append(np.frombuffer(b"".join(parts), np.int32))
