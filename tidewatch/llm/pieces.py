@@ -18,7 +18,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +32,6 @@ NORMAL, BYTE = 1, 6
 LONGEST = 62
 #: Distinct words that a task remembers at a time.
 HELD = 400_000
-#: Bytes of texts that are compressed together.
-TOGETHER = 1 << 18
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -173,18 +170,10 @@ def words_of(text: str) -> list[str]:
     return out[:-1]
 
 
-def surface(model: Model, ids: list[int]) -> bytes:
-    return b"".join(map(model.surface.__getitem__, ids))
-
-
-def shown(of: bytes) -> str:
-    """The text of some surfaces, without the dummy prefix. Bytes that are not UTF-8 become U+FFFD."""
-    text = of.decode(errors="replace")
-    return text[1:] if text.startswith(" ") else text
-
-
 def decode_ids(model: Model, ids: list[int]) -> str:
-    return shown(surface(model, ids))
+    """The text of some ids, without the dummy prefix. Bytes that are not UTF-8 become U+FFFD."""
+    text = b"".join(map(model.surface.__getitem__, ids)).decode(errors="replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 #: A BPE edge is one long that sorts as pairs merge: rank of the score, start, end, whether it comes late, and id.
@@ -320,94 +309,62 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts, first, size = list(bytes_of(batch.column(1))), 0, 0
-            for k, text in enumerate(texts, 1):
-                size += len(text)
-                if size > TOGETHER or k == len(texts):
-                    own = texts[first:k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.ListArray.from_arrays(pa.array([0, k - first], pa.int32()), batch.column(0).slice(first, k - first)),
-                         pa.array([[len(t) for t in own]], pa.list_(pa.int32())),
-                         pa.array([press.compress(b"".join(own))], pa.binary()), batch.column(2).slice(first, 1)],
-                        ["doc_ids", "sizes", "packed", "block"])
-                    first, size = k, 0
-
-    packed = rows.mapInArrow(squeeze, f"doc_ids array<{kind}>, sizes array<int>, packed binary, block int")
-    none = lambda name, of: F.lit(None).cast(of).alias(name)
-    both = known.select("block", F.lit(0).alias("part"), "word", "ids", none("doc_ids", f"array<{kind}>"),
-                        none("sizes", "array<int>"), none("packed", "binary")).unionByName(
-        packed.select("block", F.lit(1).alias("part"), none("word", "string"), none("ids", "array<int>"),
-                      "doc_ids", "sizes", "packed"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([press.compress(t) for t in bytes_of(batch.column(1))], pa.binary()),
+                 batch.column(2)], ["doc_id", "packed", "block"])
+
+    packed = rows.mapInArrow(squeeze, f"doc_id {kind}, packed binary, block int")
+    both = known.select("block", F.lit(0).alias("part"), "word", "ids", F.lit(None).cast(kind).alias("doc_id"),
+                        F.lit(None).cast("binary").alias("packed")).unionByName(
+        packed.select("block", F.lit(1).alias("part"), F.lit(None).cast("string").alias("word"),
+                      F.lit(None).cast("array<int>").alias("ids"), "doc_id", "packed"))
     dealt = both.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, unpack = load(path), zstandard.ZstdDecompressor()
-        known = _Known(model)
+        own, unpack = load(path), zstandard.ZstdDecompressor()
+        seen: dict[str, bytes] = {}  # parts of words
+        whole: dict[str, bytes] = {}
         now = None
         for batch in batches:
-            block, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at = 0
-            while at < batch.num_rows:
-                if block[at] != now:
-                    now = block[at]
-                    known.forget()
-                if part[at]:
-                    text = unpack.decompress(batch.column(6)[at].as_py())
-                    sizes = batch.column(5)[at].values.to_numpy()
-                    yield from made(known, batch.column(4)[at].values, text, sizes)
-                    at += 1
-                else:
-                    stop = at + int(((block[at:] == now) & (part[at:] == 0)).argmin() or batch.num_rows - at)
-                    known.learn(batch.column(2).slice(at, stop - at), batch.column(3).slice(at, stop - at))
-                    at = stop
-
-    def made(known: _Known, doc_ids: pa.Array, text: bytes, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.cumsum(sizes)
-        words = [words_of(text[b - n:b].decode()) for b, n in zip(ends, sizes, strict=True)]
-        ids = [b"".join(map(known.__getitem__, w)) for w in words]
-        bounds = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-        columns = [doc_ids, pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+            block = batch.column(0).to_numpy()
+            part = batch.column(1).to_numpy()
+            doc_rows, out, size = [], [], 0
+            for k in range(batch.num_rows):
+                if block[k] != now:
+                    now, seen, whole = block[k], {}, {}
+                if part[k] == 0:
+                    seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy().tobytes()
+                    continue
+                parts = []
+                for word in words_of(unpack.decompress(batch.column(5)[k].as_py()).decode()):
+                    ids = whole.get(word)
+                    if ids is None:
+                        if len(whole) >= HELD:
+                            whole.clear()
+                        ids = whole[word] = b"".join([seen.get(p) or np.array(own.ids(p), np.int32).tobytes()
+                                                      for p in own.parts(word)])
+                    parts.append(ids)
+                doc_rows.append(k)
+                out.append(np.frombuffer(b"".join(parts), np.int32))
+                size += len(out[-1])
+                if size > 1 << 21:
+                    yield made(own, batch, doc_rows, out)
+                    doc_rows, out, size = [], [], 0
+            if doc_rows:
+                yield made(own, batch, doc_rows, out)
+
+    def made(own: Model, batch: pa.RecordBatch, doc_rows: list[int], out: list[np.ndarray]) -> pa.RecordBatch:
+        bounds = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
+        columns = [batch.column(4).take(pa.array(doc_rows)),
+                   pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(out)))]
         if decoded:
-            columns.append(pa.array([known.decoded(w) for w in words], pa.string()))
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][:len(columns)])
+            columns.append(pa.array([decode_ids(own, x.tolist()) for x in out], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][:len(columns)])
 
-    return dealt.select("block", "part", "word", "ids", "doc_ids", "sizes", "packed").mapInArrow(
+    return dealt.select("block", "part", "word", "ids", "doc_id", "packed").mapInArrow(
         run, f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
-class _Known(dict):
-    """The ids of words as bytes, put together from those of their parts. ``HELD`` words are remembered."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.parts: dict[str, bytes] = {}
-        self.surfaces: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        for held in (self, self.parts, self.surfaces):
-            held.clear()
-
-    def learn(self, words: pa.Array, ids: pa.Array) -> None:
-        flat = ids.flatten().to_numpy().tobytes()
-        ends = np.cumsum(pc.list_value_length(ids).to_numpy()).tolist()
-        self.parts.update(zip(words.to_pylist(), [flat[4 * a:4 * b] for a, b in zip([0, *ends], ends)], strict=True))
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= HELD:
-            self.clear()
-        self[word] = ids = b"".join([self.parts.get(p) or np.array(self.model.ids(p), np.int32).tobytes()
-                                     for p in self.model.parts(word)])
-        return ids
-
-    def decoded(self, words: list[str]) -> str:
-        """The text that the ids of some words give back; the bytes of each word's ids are worked out once."""
-        if len(self.surfaces) >= HELD:
-            self.surfaces.clear()
-        for word in set(words).difference(self.surfaces):
-            self.surfaces[word] = surface(self.model, np.frombuffer(self[word], np.int32).tolist())
-        return shown(b"".join(map(self.surfaces.__getitem__, words)))
-
-
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``(doc_id, ids, text)``: the text of each row's ids; null for null."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
