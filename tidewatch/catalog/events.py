@@ -220,9 +220,21 @@ def trend_verdicts(t):
     return out.drop("direction", "p_value").withColumn("slope_per_year", F.round("slope_per_year", 6))
 
 
-@query("trend_directions")
+# The two-sided tail of a rank correlation r over n years is the share of cos(x)^(n - 3) beyond asin(|r|), by Simpson's rule.
+@query("trend_directions", """WITH w AS (SELECT type, year, deaths FROM {world_yearly}),
+r AS (SELECT *, rank() OVER (PARTITION BY type ORDER BY year) + (count(*) OVER (PARTITION BY type, year) - 1) / 2 AS ry,
+  rank() OVER (PARTITION BY type ORDER BY deaths) + (count(*) OVER (PARTITION BY type, deaths) - 1) / 2 AS rv FROM w),
+s AS (SELECT type, count(*) AS n, count(DISTINCT deaths) AS kinds, corr(ry, rv) AS rho, regr_slope(deaths, year) AS slope,
+  min(year) AS from_year, max(year) AS to_year FROM r GROUP BY type),
+grid AS (SELECT k, CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS weight FROM range(2001) g(k)),
+p AS (SELECT type, (pi() / 2 - asin(abs(rho))) * sum(weight * pow(abs(cos(asin(abs(rho)) + (pi() / 2 - asin(abs(rho))) * k / 2000)), n - 3))
+  / (pi() / 2 * sum(weight * pow(abs(cos(pi() / 2 * k / 2000)), n - 3))) AS p FROM s, grid WHERE n >= 5 AND kinds >= 2 GROUP BY type, rho, n)
+SELECT type, CASE WHEN n < 5 OR kinds < 2 THEN 'insufficient' WHEN p >= 0.05 THEN 'no clear trend' WHEN rho > 0 THEN 'increasing' ELSE 'decreasing' END AS direction,
+  CASE WHEN p IS NOT NULL THEN round(rho, 3) END AS spearman_rho, round(p, 4) AS p_value, CASE WHEN p IS NOT NULL THEN round(slope, 6) END AS slope_per_year,
+  from_year, to_year, n AS n_years FROM s LEFT JOIN p USING (type)""")
 def trend_directions(t):
-    return stats.trend_verdicts(t.world_yearly, ["type"], "year", "deaths")
+    out = stats.trend_verdicts(t.world_yearly, ["type"], "year", "deaths")
+    return out.withColumn("slope_per_year", F.round("slope_per_year", 6))
 
 
 @query("correlations", f"""WITH {INR_SQL},
@@ -283,6 +295,28 @@ def quake_seasonality(t):
     return stats.quake_seasonality(t.quakes).select("total", "robust_n")
 
 
-@query("quake_season_verdict")
+def season_sql(name, rows):
+    """Busiest month, season and chi-square test of ``rows``; the tail is taken by Simpson's rule."""
+    return f"""{name}_c AS (SELECT m.month, m.days, count(q.month) AS n FROM (SELECT range AS month, ([31, 28.25, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[range]
+    AS days FROM range(1, 13)) m LEFT JOIN {rows} q ON q.month = m.month GROUP BY m.month, m.days),
+{name}_t AS (SELECT *, sum(n) OVER () AS total, sum(days) OVER () AS year_days FROM {name}_c),
+{name}_s AS (SELECT a.month, sum(b.n) AS n FROM {name}_c a JOIN {name}_c b ON (b.month - a.month + 12) % 12 < 3 GROUP BY a.month),
+{name}_x AS (SELECT CAST(arg_max(month, n * 100 - month) AS INT) AS peak_month, max(n) AS peak_count, CAST(any_value(total) AS BIGINT) AS total,
+  sum((n - total * days / year_days) * (n - total * days / year_days) / (total * days / year_days)) AS chi2 FROM {name}_t HAVING any_value(total) > 0),
+{name} AS (SELECT x.*, y.season_start, y.season_count, z.p FROM {name}_x x,
+  (SELECT CAST(arg_max(month, n * 100 - month) AS INT) AS season_start, CAST(max(n) AS BIGINT) AS season_count FROM {name}_s) y,
+  (SELECT sum(weight * pow(chi2 + 400.0 * k / 20000, 4.5) * exp(-(chi2 + 400.0 * k / 20000) / 2)) * (400.0 / 20000 / 3) / (pow(2, 5.5) * gamma(5.5)) AS p
+    FROM {name}_x, grid) z)"""
+
+
+@query("quake_season_verdict", f"""WITH grid AS (SELECT k, CASE WHEN k = 0 OR k = 20000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS weight FROM range(20001) g(k)),
+thin AS (SELECT DISTINCT year, month, floor(latitude / 5) AS a, floor(longitude / 5) AS b FROM {{quakes}}),
+{season_sql("raw", "{quakes}")},
+{season_sql("robust", "thin")}
+SELECT r.peak_month, r.peak_count, r.peak_count / r.total AS peak_share, r.season_start, r.season_count, r.season_count / r.total AS season_share,
+  round(r.chi2, 2) AS chi2, round(r.p, 6) AS p_value, r.p < 0.05 AND t.p < 0.05 AND t.season_start = r.season_start AS seasonal, r.total,
+  t.total AS robust_n, t.season_start AS robust_season_start, round(t.p, 6) AS robust_p, t.p < 0.05 AND t.season_start = r.season_start AS stable
+FROM raw r, robust t""")
 def quake_season_verdict(t):
-    return stats.quake_seasonality(t.quakes)
+    out = stats.quake_seasonality(t.quakes)
+    return out.withColumns({"p_value": F.round("p_value", 6), "robust_p": F.round("robust_p", 6)})

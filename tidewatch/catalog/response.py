@@ -38,7 +38,11 @@ def recommend(t):
     return op.recommend(flood_rows(t), "flood", 7, 0.04).select("region", "level", "tier", "rank", "response_label")
 
 
-@query("reasoning")
+@query("reasoning", f"""WITH {FLOOD_ROWS} SELECT region, concat_ws(' + ', printf('%s flood risk (%d%%)', level, CAST(round(probability * 100) AS BIGINT)),
+    CASE WHEN population IS NULL THEN 'population unavailable (no Census 2011 row)' ELSE printf('%.1f lakh people', round(population / 1e5, 1)) END,
+    CASE WHEN low_lying_pct >= 10 THEN printf('%d%% low-lying land', CAST(round(low_lying_pct) AS BIGINT)) END)
+  || CASE WHEN people IS NULL THEN ' → resource needs unavailable without a population' WHEN people = 0 THEN ' → monitor, no resources committed'
+    ELSE printf(' → %,d people may need assistance', people) END AS reasoning FROM res""")
 def reasoning(t):
     return op.recommend(flood_rows(t), "flood").select("region", "reasoning")
 
@@ -63,9 +67,18 @@ def preparedness(t):
     return op.preparedness(flood_rows(t), "flood").select("region", "id")
 
 
-@query("actions_by_category")
+@query("actions_by_category", f"""WITH {FLOOD_ROWS}, o AS (SELECT *, 4 - tier AS l FROM res),
+a AS (SELECT region, 1 AS place, 'Structural' AS category, 'Clear and desilt drains; inspect embankments and sluices before the monsoon.' AS action FROM o WHERE l >= 1
+  UNION ALL SELECT region, 2, 'Planning', 'Map and publish evacuation routes and relief-camp locations for low-lying areas.' FROM o
+    WHERE l >= 2 AND (low_lying_pct >= 5 OR level = 'critical')
+  UNION ALL SELECT region, 3, 'Early warning & communication', 'Act on IMD and CWC alerts; agree rainfall triggers for evacuating low-lying wards.' FROM o WHERE l >= 1
+  UNION ALL SELECT region, 4, 'Pre-positioning', 'Pre-position rescue boats and trained crews.' FROM o WHERE l >= 2 AND low_lying_pct >= 5
+  UNION ALL SELECT region, 5, 'Pre-positioning', 'Stock relief camps with drinking water, sanitation and food.' FROM o WHERE l >= 1
+  UNION ALL SELECT region, 6, 'Health', 'Stock ORS, chlorine tablets and other waterborne-disease supplies.' FROM o WHERE l >= 2)
+SELECT region, category, string_agg(action, ' | ' ORDER BY place) AS actions FROM a GROUP BY region, category""")
 def actions_by_category(t):
-    return op.actions_by_category(op.preparedness(flood_rows(t), "flood"))
+    found = op.actions_by_category(op.preparedness(flood_rows(t), "flood"))
+    return found.withColumn("actions", F.array_join("actions", " | "))
 
 
 def areas(t):

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scales import decade_of, guarded_ratio, pct_change, safe_ratio
+from tidewatch.operators.ranking import exact_quantile
 
 # Hazard types, metrics, severity weights, first year of trends.
 TYPES = ["earthquake", "flood", "cyclone"]
@@ -237,9 +238,10 @@ def human_totals(records: DataFrame) -> DataFrame:
 def fatality_rates(records: DataFrame) -> DataFrame:
     """Pooled and median fatality percentage over the records that report both figures."""
     both = add_derived(records).filter(F.col("fatality_rate_pct").isNotNull())
-    return both.groupBy("type").agg(
-        (F.sum("deaths") / F.sum("total_affected") * 100).alias("value_pct"),
-        F.median("fatality_rate_pct").alias("median_pct"), F.count("*").alias("records"))
+    middle = exact_quantile(both, ["type"], "fatality_rate_pct", 0.5, "median_pct")
+    out = both.groupBy("type").agg(
+        (F.sum("deaths") / F.sum("total_affected") * 100).alias("value_pct"), F.count("*").alias("records"))
+    return out.join(middle, "type").select("type", "value_pct", "median_pct", "records")
 
 
 def sums_by_decade(records: DataFrame, metrics: list[str]) -> DataFrame:
@@ -263,9 +265,9 @@ def economic_summary(records: DataFrame) -> DataFrame:
         .alias("loss_per_affected_usd"),
         safe_ratio(F.sum(F.when(both, F.col("damages_inr"))), F.sum(F.when(both, F.col("total_affected"))))
         .alias("loss_per_affected_inr"),
-        F.count_if(F.col("damages_pct_gdp") > 0).alias("gdp_records"),
-        F.median(F.when(F.col("damages_pct_gdp") > 0, F.col("damages_pct_gdp"))).alias("gdp_median_pct"))
-    return out.withColumns({"insured_share": safe_ratio(F.col("insured_usd"), F.col("damages_usd")),
+        F.count_if(F.col("damages_pct_gdp") > 0).alias("gdp_records"))
+    middle = exact_quantile(records.filter(F.col("damages_pct_gdp") > 0), ["type"], "damages_pct_gdp", 0.5, "gdp_median_pct")
+    return out.join(middle, "type", "left").withColumns({"insured_share": safe_ratio(F.col("insured_usd"), F.col("damages_usd")),
                             "insured_share_inr": safe_ratio(F.col("insured_inr"), F.col("damages_inr"))})
 
 
@@ -380,9 +382,10 @@ def resilience_by_decade(records: DataFrame, since: int = TREND_FROM) -> DataFra
     rows = records.filter(F.col("year") >= since).groupBy("type", "decade").agg(
         F.count("*").alias("records"), F.count_if(pair).alias("records_with_both"),
         (safe_ratio(F.sum(F.when(pair, F.col("deaths"))), F.sum(F.when(pair, F.col("total_affected")))) * 1000)
-        .alias("deaths_per_1000"),
-        F.median(F.when(F.col("damages_pct_gdp") > 0, F.col("damages_pct_gdp"))).alias("median_damage_pct_gdp"))
-    return rows.join(last, "type").withColumn("partial", F.col("decade") + 9 > F.col("_last")).drop("_last")
+        .alias("deaths_per_1000"))
+    losses = records.filter((F.col("year") >= since) & (F.col("damages_pct_gdp") > 0))
+    middle = exact_quantile(losses, ["type", "decade"], "damages_pct_gdp", 0.5, "median_damage_pct_gdp")
+    return rows.join(middle, ["type", "decade"], "left").join(last, "type").withColumn("partial", F.col("decade") + 9 > F.col("_last")).drop("_last")
 
 
 def resilience_verdict(resilience: DataFrame) -> DataFrame:

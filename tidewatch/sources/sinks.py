@@ -30,14 +30,14 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits
 def write_store(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Parquet, one folder per type, so that a query for one type reads only its files.
 
-    The rows are first spread by the folder column and a random salt: a type that holds a
-    third of the rows is then written by many tasks, and no task writes to every folder.
+    The rows are first brought together by the folder column. Adaptive execution splits a
+    folder by its size, so one that holds a third of the rows is written by as many tasks as
+    that takes, and small folders are not cut up.
     """
     if not by:
         df.write.mode("overwrite").parquet(path)
         return
-    salted = df.withColumn("_salt", (F.rand(7) * 16).cast("int")).repartition(*by, "_salt").drop("_salt")
-    salted.write.mode("overwrite").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def build_metadata(tables: dict[str, DataFrame], year: str = "year") -> DataFrame:
