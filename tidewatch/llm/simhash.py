@@ -348,7 +348,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal rows with that id, one stays; so does one of each text if texts differ under that
     id. Rows with a null id stay if no row of their group has an id, one of each distinct row.
     """
-    groups = near_duplicates(docs, id_col, text_col, width, distance)
+    return smallest_of_each(docs, near_duplicates(docs, id_col, text_col, width, distance), id_col, text_col)
+
+
+def smallest_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` keeps, of ``groups`` with ``doc_id``, ``text_hash`` and ``component_id``."""
     kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("copies")), "kept")
     hashed = F.xxhash64(F.col(text_col).cast("string"))
