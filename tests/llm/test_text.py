@@ -79,6 +79,17 @@ def test_language_identification(spark):
     assert langid.identify(docs, langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_long_texts_of_one_language_leave_room_for_others(spark):
+    """Two light languages that differ only in contexts of two and more bytes, beside a heavy one."""
+    draw = random.Random(6)
+    rows = [(k, "".join(draw.choices("cdefghijklmno", k=400_000)), "heavy") for k in range(4)]
+    rows += [(100 + k, ("aabb" * 20)[k % 4:][:40], "one") for k in range(16)]
+    rows += [(200 + k, ("aaababbb" * 10)[k % 8:][:40], "two") for k in range(16)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.fit(docs, cells=3)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_code_lengths_do_not_depend_on_windows(spark):
     model = langid.fit(frame(spark, [(k, t, "en") for k, t in enumerate(prose(1, EN, 30))]))
     texts = [b"the cat sat on it", b"", "straße".encode() * 9]

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import bytes_of, crc_mod, materialise
 
 ORDER = 3
+#: Contexts of two and three bytes that are kept at least.
+LEAST_CONTEXTS = 2048
 UNDETERMINED = "und"
 
 
@@ -120,7 +122,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     At most ``docs_per_language`` whole documents of each language are read, those with the
     smallest hash of their id. ``cells`` bounds contexts times languages: contexts of two
-    and three bytes are kept by falling count. Both bounds hold for tables of any size.
+    and three bytes are kept by the falling sum of their shares in each language, so that long
+    texts of one do not crowd out another, and ``LEAST_CONTEXTS`` of them however many
+    languages there are. Both bounds hold for tables of any size.
     """
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
@@ -154,8 +158,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         none = np.zeros(0, np.int64)
         return PpmModel([], none, none, none, np.zeros((0, 0)))
-    budget = max(cells // len(languages), 512)
-    kept = every.where(F.col("k") >= 2).groupBy("k", "context").agg(F.sum("n").alias("all")).orderBy(
+    budget = max(cells // len(languages), LEAST_CONTEXTS)
+    totals = every.where(F.col("k") == 0).groupBy("lang").agg(F.sum("n").alias("total"))
+    # whole numbers, whose sum does not depend on the order
+    share = F.floor(F.col("n") * 1e12 / F.col("total"))
+    kept = every.where(F.col("k") >= 2).join(F.broadcast(totals), "lang").groupBy("k", "context").agg(
+        F.sum(share).alias("all")).orderBy(
         F.desc("all"), "k", "context").limit(budget).select("k", "context")
     # at most 257 short contexts and ``budget`` longer ones, with 256 bytes each
     table = every.where(F.col("k") < 2).unionByName(
