@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, digest, langid, linededup, lm, packing, pieces, secret_scan, simhash, warc
+from tidewatch.llm import ann, digest, langid, linededup, lm, packing, pieces, secret_scan, simhash, variants, warc
 from tidewatch.llm.common import ORACLES, QUERIES, crc_mod, registered, table  # noqa: F401
 
 
@@ -106,3 +106,8 @@ def op7_sentencepiece(spark, sf_dir):
     whole = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return whole.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@registered("op11_variants")
+def op11_variants(spark, sf_dir):
+    return variants.variants(variants.count_words(table(spark, sf_dir, "documents"), damage=97))
