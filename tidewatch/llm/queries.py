@@ -1,9 +1,12 @@
 """One query for each operator, over its whole table, with production parameters."""
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, digest, langid, linededup, lm, packing, pieces, secret_scan, simhash, variants, warc
-from tidewatch.llm.common import ORACLES, QUERIES, crc_mod, registered, table  # noqa: F401
+from tidewatch.llm import ann, digest, langid, linededup, lm, packing, periodic, pieces, secret_scan, shards, simhash, variants, warc
+from tidewatch.llm.common import ORACLES, QUERIES, bytes_of, crc_mod, registered, table  # noqa: F401
 
 
 @registered("op1_simhash")
@@ -111,3 +114,39 @@ def op7_sentencepiece(spark, sf_dir):
 @registered("op11_variants")
 def op11_variants(spark, sf_dir):
     return variants.variants(variants.count_words(table(spark, sf_dir, "documents"), damage=97))
+
+
+def _made_periodic(batches):
+    """Every tenth document, by checksum of its id, with a stretch that repeats from a place on."""
+    for batch in batches:
+        texts = list(bytes_of(batch.column(1)))
+        for k, name in enumerate(batch.column(0).to_pylist()):
+            h = 1 if name is None else zlib.crc32(str(name).encode())
+            words = (texts[k] or b"").split() if h % 10 == 0 else []
+            if words:
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                texts[k] = b" ".join(words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a])
+        yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+
+@registered("op12_runs")
+def op12_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_made_periodic, "doc_id long, text string")
+    found = periodic.find_runs(docs, keep=["doc_id"])
+    most = F.expr("""aggregate(runs, CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>), (best, r) -> CASE
+        WHEN best IS NULL OR r.length * best.period > best.length * r.period THEN r ELSE best END)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(concat_ws(',', r.start, r.length, r.period), '\\n')), '')")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return (found.withColumn("best", most)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256")))
+
+
+@registered("op13_shards")
+def op13_shards(spark, sf_dir):
+    placed = shards.longest_first(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
