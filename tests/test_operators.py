@@ -226,9 +226,13 @@ def test_fit_recovers_an_effect_and_explains_it(spark, tmp_path):
                                         "log_odds", "factors")
     row = told.first()
     assert sum(f["contribution"] for f in row["factors"]) + fit.intercept == pytest.approx(row["log_odds"], abs=0.01)
+    by_pipeline = {tuple(r) for r in scored.select("district", "year", F.bround("probability", 3)).collect()}
+    assert by_pipeline == {tuple(r) for r in told.select("district", "year", "p").collect()}
     risk.save_fit(fit, str(tmp_path / "model"))
-    again = risk.predict(df, risk.load_pipeline(str(tmp_path / "model")))
-    assert again.agg(F.sum("probability")).first()[0] == pytest.approx(scored.agg(F.sum("probability")).first()[0])
+    again = risk.explain(df, risk.load_fit(spark, str(tmp_path / "model")))
+    assert again.select(*df.columns, "probability", "factors").exceptAll(
+        risk.explain(df, fit).select(*df.columns, "probability", "factors")).isEmpty()
+    assert row["factors"][0]["average"] is not None and row["factors"][0]["unit"]
 
 
 def test_smart_matches_against_all_pairs(spark):

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import query
 from tidewatch.functions.geo import lon_within
+from tidewatch.operators import blocks
 from tidewatch.operators import live as op
+from tidewatch.operators.ranking import positions
 
 NOW = 1704067200 + 30 * 86400
 
@@ -113,6 +115,16 @@ def merge_readings(t):
     return events.select("id", "type", "alert", "severity_level", "readings", "n_sources", "disagreement", "labels")
 
 
+@query("merge_by_block", """SELECT count(*) AS readings, count(DISTINCT type || source || source_id) AS merged, true AS as_in_rounds FROM {live_readings}""")
+def merge_by_block(t):
+    """Every reading has one leader, the same by blocks as by rounds over all readings."""
+    rows = readings(t)
+    found = blocks.leaders_by_block(rows)
+    rounds = op.assign_leaders(rows).select("eid", F.col("leader").alias("other"))
+    return found.join(rounds, "eid", "full").agg(F.count("*").alias("readings"), F.count("leader").alias("merged"),
+                                                 F.bool_and(F.col("leader").eqNullSafe(F.col("other"))).alias("as_in_rounds"))
+
+
 @query("current_readings", f"""SELECT source_id, type FROM {{live_readings}}
 WHERE at_s <= {NOW} AND at_s >= CASE WHEN type = 'earthquake' THEN {NOW} - 7 * 86400 ELSE {NOW} - 30 * 86400 END""")
 def current_readings(t):
@@ -209,16 +221,23 @@ def filter_events(t):
     return op.filter_events(as_events(t), ["earthquake", "flood"], ["high", "unrated"]).select("source_id")
 
 
-@query("events_by_magnitude", f"""WITH {SEVERITY_SQL} SELECT source_id, CASE WHEN type = 'earthquake' THEN magnitude END AS size FROM ev""")
+@query("events_by_magnitude", f"""WITH {SEVERITY_SQL}, sized AS (SELECT *, CASE WHEN type = 'earthquake' THEN magnitude END AS size FROM ev)
+SELECT source_id, size, row_number() OVER (ORDER BY size DESC NULLS LAST, time DESC NULLS LAST, source_id) AS place FROM sized""")
 def events_by_magnitude(t):
-    """All events, largest quakes first; the comparison does not see the order, a unit test does."""
+    """All events, largest quakes first, each with its place."""
     size = F.when(F.col("type") == "earthquake", F.col("magnitude"))
-    return op.sort_events(as_events(t), "magnitude").select("source_id", size.alias("size"))
+    return positions(op.sort_events(as_events(t), "magnitude").select("source_id", size.alias("size")))
 
 
-@query("events_by_severity", f"""WITH {SEVERITY_SQL} SELECT source_id, severity_level FROM ev""")
+@query("events_by_severity", f"""WITH {SEVERITY_SQL} SELECT source_id, severity_level, row_number() OVER (ORDER BY
+  CASE severity_level WHEN 'very_high' THEN 3 WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END DESC, time DESC NULLS LAST, source_id) AS place FROM ev""")
 def events_by_severity(t):
-    return op.sort_events(as_events(t), "severity").select("source_id", "severity_level")
+    return positions(op.sort_events(as_events(t), "severity").select("source_id", "severity_level"))
+
+
+@query("events_by_recency", f"""WITH {SEVERITY_SQL} SELECT source_id, row_number() OVER (ORDER BY time DESC NULLS LAST, source_id) AS place FROM ev""")
+def events_by_recency(t):
+    return positions(op.sort_events(as_events(t)).select("source_id"))
 
 
 @query("dominant_types", """SELECT cell, CASE mod(max(n * 10 - p) + 1000000, 10) WHEN 0 THEN 'earthquake' WHEN 9 THEN 'flood' ELSE 'cyclone' END AS type,
@@ -235,11 +254,16 @@ def search_rows(t):
     return op.search_rows(t.documents, "The", ["text", "lang", "source"]).select("doc_id")
 
 
-@query("sort_column", """SELECT source_id, latitude FROM {live_readings} ORDER BY latitude DESC NULLS FIRST, alert NULLS LAST, at,
-  event_no LIMIT 50""".replace("alert NULLS LAST, at,\n  event_no", "source_id"))
+@query("sort_column", """SELECT source_id, latitude, row_number() OVER (ORDER BY latitude DESC NULLS FIRST, source_id NULLS LAST) AS place
+FROM {live_readings}""")
 def sort_column(t):
     rows = t.live_readings.select("latitude", "source_id")
-    return op.sort_column(rows, "latitude", descending=True).limit(50)
+    return positions(op.sort_column(rows, "latitude", descending=True))
+
+
+@query("preview_rows", """SELECT source_id, longitude FROM {live_readings} ORDER BY longitude NULLS LAST, source_id LIMIT 50""")
+def preview_rows(t):
+    return op.sort_column(t.live_readings.select("longitude", "source_id"), "longitude").limit(50)
 
 
 @query("map_bounds", """SELECT source_id FROM {live_readings} WHERE latitude BETWEEN -30 AND 30

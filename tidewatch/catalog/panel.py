@@ -80,10 +80,9 @@ def month_features(t):
     return rounded(out, 6, ["soil_wetness_before", "normal_mm", "rain_pct_normal"])
 
 
-@query("antecedent_soil", f"""WITH {FEATURE_SQL} SELECT cell, year, month, round(before, 6) AS soil_wetness_before FROM feat
-WHERE month = 1""")
+@query("antecedent_soil", f"""WITH {FEATURE_SQL} SELECT cell, year, month, round(before, 6) AS soil_wetness_before FROM feat""")
 def antecedent_soil(t):
-    return rounded(features(t).filter("month = 1").select("cell", "year", "month", "soil_wetness_before"))
+    return rounded(features(t).select("cell", "year", "month", "soil_wetness_before"))
 
 
 WINDOW_SQL = f"""{DENSE_SQL}, win AS (SELECT cell, max(day) AS as_of, CAST(max(day) - 29 AS DATE) AS window_start FROM daily

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewatch.catalog import live as live_catalog
 from tidewatch.catalog import query
 from tidewatch.catalog.impact import rounded
 from tidewatch.operators import quality as op
@@ -22,9 +23,9 @@ def control_total(t):
     return op.control_total(t.region_boxes, "population", 130000000)
 
 
-@query("missing_keys", "SELECT DISTINCT c_nationkey FROM {customer} WHERE c_nationkey NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 8000)")
+@query("missing_keys", "SELECT DISTINCT c_nationkey FROM {customer} WHERE c_nationkey NOT IN (SELECT (s_suppkey * s_suppkey) % 25 FROM {supplier})")
 def missing_keys(t):
-    have = t.supplier.filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"))
+    have = t.supplier.select(((F.col("s_suppkey") * F.col("s_suppkey")) % 25).alias("c_nationkey"))
     return op.missing_keys(t.customer, have, ["c_nationkey"])
 
 
@@ -173,3 +174,63 @@ def late_rows(t):
     batch = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     _, late = feeds.late_rows(batch, "2024-01-03 00:00:00")
     return late.select("event_id")
+
+
+# ── feeds as streams ────────────────────────────────────────────────────────
+
+
+def landed_feed(t, source):
+    """A feed's documents landed as files, one each; of every tenth page only the first half arrives."""
+    rows = live_catalog.feed(t, source)
+    half = F.col("body").substr(F.lit(1), (F.length("body") / 2).cast("int"))
+    rows = rows.withColumn("body", F.when(F.col("page") % 10 == 7, half).otherwise(F.col("body"))).drop("page")
+    path = fresh_path(t.spark, f"landed-{source}")
+    rows = rows.withColumn("code", F.coalesce("code", F.lit(""))) if "code" in rows.columns else rows
+    keys = ["code"] if "code" in rows.columns else []
+    rows.write.partitionBy(*keys).option("maxRecordsPerFile", 1).text(path)
+    return feeds.feed_readings(feeds.landed_documents(t.spark, path), source, f"feed-{source}", live_catalog.now_ts())
+
+
+WHOLE = "CAST(floor(seq / 90) AS BIGINT) % 10 <> 7"
+
+
+@query("stream_usgs", f"""SELECT source_id, title, latitude, longitude, at_s, location, CASE WHEN seq % 2 = 0 THEN 'green' END AS alert, true AS traced
+FROM {{live_readings}} WHERE source = 'usgs' AND {WHOLE}""")
+def stream_usgs(t):
+    rows, _ = landed_feed(t, "usgs")
+    traced = F.col("file").endswith(".txt") & F.col("landed_at").isNotNull()
+    return rows.select("source_id", "title", "latitude", "longitude", F.unix_seconds("date").alias("at_s"), "location", "alert", traced.alias("traced"))
+
+
+@query("stream_gdacs", f"""SELECT CASE type WHEN 'earthquake' THEN 'EQ' WHEN 'cyclone' THEN 'TC' ELSE 'FL' END || source_id AS source_id,
+  type, title, latitude, longitude, at_s, alert, storm_name FROM {{live_readings}} WHERE source = 'gdacs' AND {WHOLE}
+  AND CASE WHEN type = 'earthquake' THEN at_s >= {live_catalog.NOW} - 7 * 86400 ELSE seq % 3 <> 0 END""")
+def stream_gdacs(t):
+    rows, _ = landed_feed(t, "gdacs")
+    return rows.select("source_id", "type", "title", "latitude", "longitude", F.unix_seconds("date").alias("at_s"), "alert", "storm_name")
+
+
+@query("stream_eonet", f"""SELECT source_id, type, latitude, longitude, at_s, CASE WHEN seq % 4 <> 0 THEN gdacs_event_id END AS gdacs_event_id
+FROM {{live_readings}} WHERE source = 'eonet' AND {WHOLE} AND seq % 11 <> 3 AND (type = 'cyclone' OR seq % 10 <> 5)
+  AND (latitude IS NOT NULL OR (gdacs_event_id IS NOT NULL AND seq % 4 <> 0))""")
+def stream_eonet(t):
+    rows, _ = landed_feed(t, "eonet")
+    return rows.select("source_id", "type", "latitude", "longitude", F.unix_seconds("date").alias("at_s"), "gdacs_event_id")
+
+
+@query("stream_rejects", """SELECT source, reason, count(*) AS documents FROM (
+  SELECT DISTINCT source, 'not a ' || source || ' document' AS reason, CAST(floor(seq / 90) AS BIGINT) AS page,
+    CASE WHEN source = 'gdacs' THEN type ELSE '' END AS part FROM {live_readings}) q WHERE page % 10 = 7 GROUP BY ALL""")
+def stream_rejects(t):
+    rejects = [landed_feed(t, source)[1].withColumn("source", F.lit(source)) for source in ("usgs", "gdacs", "eonet")]
+    return rejects[0].unionByName(rejects[1]).unionByName(rejects[2]).groupBy("source", "reason").agg(F.count("*").alias("documents"))
+
+
+@query("merged_events")
+def merged_events(t):
+    """Events out of a stream of readings that land as files; the unit tests hold the merge against going one by one."""
+    rows = live_catalog.readings(t)
+    path = fresh_path(t.spark, "landed-readings")
+    rows.write.parquet(path)
+    out = feeds.merged_events(feeds.landed(t.spark, path, rows.schema), "merged-events")
+    return out.select("id", "type", "alert", "severity_level", "readings", "n_sources", "disagreement", "labels")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import query
 from tidewatch.catalog.impact import rounded
-from tidewatch.catalog.spatial import QUAKE_SQL
+from tidewatch.catalog.spatial import QUAKE_SQL, STORM_SQL
 from tidewatch.operators import spatial
 from tidewatch.plans import outlook, risk
 
@@ -133,17 +133,88 @@ def explain_factors(t):
                       rain["contribution"].alias("rain"), F.size("factors").cast("long").alias("factors"))
 
 
-@query("what_if", """WITH cur AS (SELECT * FROM {panel} WHERE year = 2000 AND month = 7)
-SELECT o.district, CASE WHEN c.district IS NULL THEN 'unknown district ' || o.district
-  WHEN o.rain > 1000 THEN 'Rainfall vs normal must be between 0 and 1000 (% of normal)' END AS error
-FROM (SELECT 'D' || lpad(CAST(n_nationkey AS STRING), 2, '0') AS district, n_nationkey * 60.0 AS rain FROM {nation}
-  UNION ALL SELECT 'nowhere', 5.0) o LEFT JOIN cur c ON c.district = o.district""")
+@query("what_if", f"""WITH cur AS (SELECT * FROM {{panel}} WHERE year = 2000 AND month = 7),
+asked AS (SELECT o.district, c.district IS NULL AS unknown, o.rain AS rain_pct_normal, c.* EXCLUDE (district, rain_pct_normal)
+  FROM (SELECT 'D' || lpad(CAST(n_nationkey AS STRING), 2, '0') AS district, n_nationkey * 60.0 AS rain FROM {{nation}}
+    UNION ALL SELECT 'nowhere', 5.0) o LEFT JOIN cur c ON c.district = o.district),
+judged AS (SELECT *, CASE WHEN unknown THEN 'unknown district ' || district
+  WHEN rain_pct_normal > 1000 THEN 'Rainfall vs normal must be between 0 and 1000 (% of normal)' END AS error FROM asked)
+SELECT district, error, CASE WHEN error IS NULL THEN round(1 / (1 + exp(-{LOGIT})), 3) END AS probability,
+  CASE WHEN error IS NULL THEN {LEVEL.format(f'(1 / (1 + exp(-{LOGIT})))')} END AS level FROM judged""")
 def what_if(t):
     asked = t.nation.select(F.format_string("D%02d", "n_nationkey").alias("district"),
                             (F.col("n_nationkey") * 60.0).alias("rain_pct_normal"))
     asked = asked.unionByName(t.spark.createDataFrame([("nowhere", 5.0)], asked.schema))
     current = t.panel.filter("year = 2000 AND month = 7").drop("probability")
-    return risk.what_if(current, asked, FIT).select("district", "error")
+    return risk.what_if(current, asked, FIT).select("district", "error", "probability", "level")
+
+
+@query("explain_texts", """WITH f AS (SELECT district, year, month, unnest([
+    {'key': 'rain_pct_normal', 'part': (rain_pct_normal - 120) / 60 * 0.9, 'avg': 120.0, 'said': 'rainfall vs normal ' || printf('%.0f', round_even(rain_pct_normal, 0)) || '% of normal'},
+    {'key': 'max_3day_rain_mm', 'part': (max_3day_rain_mm - 45) / 8 * 0.4, 'avg': 45.0, 'said': 'heaviest 3-day rainfall ' || format('{:,}', CAST(round_even(max_3day_rain_mm, 0) AS BIGINT)) || ' mm'},
+    {'key': 'soil_wetness_before', 'part': (soil_wetness_before - 0.5) / 0.1 * 0.2, 'avg': 0.5, 'said': 'soil wetness before ' || printf('%.2f', round_even(soil_wetness_before, 2))},
+    {'key': 'elevation_m', 'part': (elevation_m - 400) / 250 * -0.3, 'avg': 400.0, 'said': 'mean elevation ' || format('{:,}', CAST(round_even(elevation_m, 0) AS BIGINT)) || ' m'},
+    {'key': 'prior_flood_rate', 'part': (prior_flood_rate - 0.4) / 0.3 * 0.6, 'avg': 0.4, 'said': 'flood history ' || printf('%.0f', round_even(prior_flood_rate * 100, 0)) || '% of past years'},
+    {'key': 'state', 'part': CASE WHEN CAST(substr(state, 7) AS INT) <= 4 THEN (CAST(substr(state, 7) AS INT) - 2) / 4 END, 'avg': NULL, 'said': state || '''s baseline'}]) AS x FROM {panel}),
+r AS (SELECT district, year, month, x.key AS key, x.part AS part, x.avg AS average, x.said || CASE WHEN x.part > 0 THEN ' raises risk' ELSE ' lowers risk' END AS said,
+  row_number() OVER (PARTITION BY district, year, month ORDER BY abs(x.part) DESC, x.key) AS place FROM f WHERE x.part IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY district, year, month ORDER BY abs(round_even(part, 3)) < 0.1, place) AS rank,
+  abs(round_even(part, 3)) >= 0.1 AS strong FROM r)
+SELECT district, year, month, upper(string_agg(said, '; ' ORDER BY place) FILTER ((strong AND rank <= 3) OR rank = 1)[1])
+    || substr(string_agg(said, '; ' ORDER BY place) FILTER ((strong AND rank <= 3) OR rank = 1), 2) || '.' AS summary,
+  max(CASE WHEN place = 1 THEN key END) AS first_key, CAST(max(CASE WHEN place = 1 THEN average END) AS DOUBLE) AS first_average,
+  CAST(-0.5 AS DOUBLE) AS baseline_log_odds FROM k GROUP BY district, year, month""")
+def explain_texts(t):
+    out = risk.explain(t.panel.drop("probability"), FIT)
+    first = F.get("factors", 0)
+    return out.select("district", "year", "month", "summary", first["key"].alias("first_key"),
+                      first["average"].alias("first_average"), "baseline_log_odds")
+
+
+# ── scenarios ───────────────────────────────────────────────────────────────
+
+
+EARLY = risk.Fit(FIT.means, FIT.scales, FIT.coefs, -1.25, FIT.regions)
+EARLY_LOGIT = LOGIT.replace("(-0.5 + ", "(-1.25 + ", 1)
+
+
+def models(t):
+    """The early fit serves past months, the full one the window that starts in 2001."""
+    early = risk.model_table(t.spark, EARLY, "early", valid_to="2000-12-31")
+    return early.unionByName(risk.model_table(t.spark, FIT, "full", valid_from="2001-01-01"))
+
+
+def current_window(t):
+    rows = t.panel.filter("year = 2001 AND month = 7").drop("probability", "flood", "deadly")
+    return rows.withColumns({"window_start": F.lit("2001-07-02"), "as_of": F.lit("2001-07-31")})
+
+
+def scenario(t, name):
+    return risk.predictions(name, t.panel.drop("probability"), current_window(t), t.districts, models(t), known_months(t))
+
+
+SCORED = ["scenario", "kind", "model", "district", "population", "window_start", "as_of", "probability", "level", "observed", "observed_deadly"]
+
+
+def scenario_sql(name, logit, first, last, kind, model, seen):
+    observed = "p.flood AS observed, p.deadly AS observed_deadly" if seen else (
+        "CAST(NULL AS BIGINT) AS observed, CAST(NULL AS BIGINT) AS observed_deadly")
+    year, month = int(first[:4]), int(first[5:7])
+    return f"""SELECT '{name}' AS scenario, '{kind}' AS kind, '{model}' AS model, p.district, d.population, '{first}' AS window_start,
+  '{last}' AS as_of, round(1 / (1 + exp(-{logit})), 3) AS probability, {LEVEL.format(f"(1 / (1 + exp(-{logit})))")} AS level, {observed}
+FROM (SELECT * EXCLUDE (elevation_m), elevation_m FROM {{panel}} WHERE year = {year} AND month = {month}) p
+LEFT JOIN (SELECT district, population, lat, lon FROM {{districts}}) d ON d.district = p.district"""
+
+
+@query("predictions_current", scenario_sql("current", LOGIT, "2001-07-02", "2001-07-31", "current", "full", False))
+def predictions_current(t):
+    return scenario(t, "current").select(SCORED)
+
+
+@query("predictions_past", scenario_sql("1998-08", EARLY_LOGIT, "1998-08-01", "1998-08-31", "backtest", "early", True))
+def predictions_past(t):
+    out = scenario(t, "1998-08").select(SCORED)
+    return out.withColumns({c: F.col(c).cast("string") for c in ("window_start", "as_of")})
 
 
 @query("scenario_rows", """SELECT p.district, p.flood, d.population FROM {panel} p LEFT JOIN {districts} d USING (district)
@@ -239,6 +310,66 @@ def hazard_index(t):
     return risk.index_order(index).select("region", "level", "probability", driver.alias("driver"))
 
 
+STORM_INDEX_SQL = f"""WITH {STORM_SQL}, sm AS (SELECT b.region, count(p.sid) AS ts, count(CASE WHEN p.max_wind_kt >= 64 THEN 1 END) AS hu
+    FROM {{region_boxes}} b LEFT JOIN per p USING (region) GROUP BY b.region),
+ste AS (SELECT region, 0 AS place, hu AS events, 1 - exp(-hu / 46) AS p, 0.15 AS c, 0.06 AS h, 0.02 AS md FROM sm
+  UNION ALL SELECT region, 1, ts, 1 - exp(-ts / 46), 0.6, 0.3, 0.1 FROM sm),
+sl AS (SELECT *, CASE WHEN p >= c THEN 3 WHEN p >= h THEN 2 WHEN p >= md THEN 1 ELSE 0 END AS l FROM ste),
+sx AS (SELECT region, CASE l WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level, round(p, 4) AS probability,
+  CASE place WHEN 0 THEN 'Hurricane-strength (64 kt+) cyclone within 100 km' ELSE 'Tropical-storm-strength (34 kt+) cyclone within 100 km' END AS driver
+  FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY l DESC, p DESC, place) AS rn FROM sl) q WHERE rn = 1)"""
+
+
+def passed_storms(t):
+    return spatial.storm_exposure(spatial.load_tracks(t.track_points), t.region_vertices)
+
+
+def storm_regions(t):
+    return spatial.storm_metrics(passed_storms(t), t.region_boxes, 46)
+
+
+@query("storm_index", STORM_INDEX_SQL + """, best AS (SELECT * FROM (SELECT region, max_wind_kt, name, season, row_number()
+    OVER (PARTITION BY region ORDER BY max_wind_kt DESC, season, sid DESC) AS rn FROM per) q WHERE rn = 1)
+SELECT sx.*, CASE WHEN ts = 0 THEN 'No tropical storm passed within 100 km since 1980.' ELSE ts || ' tropical storms within 100 km since 1980'
+  || CASE WHEN hu > 0 THEN ', ' || hu || ' at hurricane strength' ELSE '' END || '; strongest '
+  || CASE WHEN b.name = 'NOT_NAMED' THEN 'Not_named' ELSE 'Storm ' || substr(b.name, 7) END || ' (' || b.season || ') at '
+  || printf('%.0f', b.max_wind_kt) || ' kt.' END AS summary FROM sx JOIN sm USING (region) LEFT JOIN best b USING (region)""")
+def storm_index(t):
+    index = risk.index_summary(risk.hazard_index(storm_regions(t), "cyclone", 46), "cyclone")
+    return index.select("region", "level", "probability", "driver", "summary")
+
+
+@query("quake_index_texts", EXPOSED_SQL + """, best AS (SELECT * FROM (SELECT region, magnitude, year, row_number() OVER (
+    PARTITION BY region ORDER BY magnitude DESC, year) AS rn FROM hit) q WHERE rn = 1)
+SELECT m.region, CASE WHEN m6 = 0 THEN 'No M6+ earthquake within 300 km since 1950.' ELSE m6 || ' M6+ earthquakes within 300 km since 1950'
+  || CASE WHEN m7 > 0 THEN ', ' || m7 || ' of them M7+' ELSE '' END || '; strongest M' || printf('%.1f', b.magnitude) || ' in ' || b.year || '.' END AS summary
+FROM m LEFT JOIN best b USING (region)""")
+def quake_index_texts(t):
+    return risk.index_summary(risk.hazard_index(quake_regions(t), "earthquake", 76), "earthquake").select("region", "summary")
+
+
+@query("top_storms", f"""WITH {STORM_SQL} SELECT region, sid, max_wind_kt, rank FROM (SELECT region, sid, max_wind_kt, row_number() OVER (
+  PARTITION BY region ORDER BY max_wind_kt DESC, season, sid) AS rank FROM per) q WHERE rank <= 5""")
+def top_storms(t):
+    order = [F.desc("max_wind_kt"), F.asc("season"), F.asc("sid")]
+    return risk.top_per_region(passed_storms(t), order).select("region", "sid", "max_wind_kt", "rank")
+
+
+@query("prediction_rows", f"""{STORM_INDEX_SQL}, quake AS ({EXPOSED_SQL} SELECT region, CASE l WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium'
+    ELSE 'low' END AS level, round(p, 4) AS probability, CASE place WHEN 0 THEN 'M6.0+ earthquake within 300 km' ELSE 'M7.0+ earthquake within 300 km' END AS driver
+  FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY l DESC, p DESC, place) AS rn FROM lv) q WHERE rn = 1),
+flood AS ({scenario_sql("1998-08", EARLY_LOGIT, "1998-08-01", "1998-08-31", "backtest", "early", True)})
+SELECT 'flood' AS type, scenario, kind, district AS place, window_start, as_of, level, probability, observed, population FROM flood
+UNION ALL SELECT 'earthquake', 'long-term', 'index', region, '1950', '2025', level, probability, NULL, population FROM quake JOIN {{region_boxes}} USING (region)
+UNION ALL SELECT 'cyclone', 'long-term', 'index', region, '1980', '2025', level, probability, NULL, population FROM sx JOIN {{region_boxes}} USING (region)""")
+def prediction_rows(t):
+    places = t.region_boxes.join(spatial.centroids(t.region_vertices).withColumnsRenamed({"latitude": "lat", "longitude": "lon"}), "region")
+    rows = risk.flood_prediction_rows(scenario(t, "1998-08"))
+    for kind, index, years, since in (("earthquake", quake_regions(t), 76, 1950), ("cyclone", storm_regions(t), 46, 1980)):
+        rows = rows.unionByName(risk.index_prediction_rows(risk.hazard_index(index, kind, years), places, kind, (since, 2025)))
+    return rows.select("type", "scenario", "kind", "place", "window_start", "as_of", "level", "probability", "observed", "population")
+
+
 @query("known_event_check", f"""WITH {QUAKE_SQL}, ex(name, region, year, minimum) AS (VALUES ('A', 'NATION_3', 1997, 7.0), ('B', 'NATION_8', 1999, 9.5),
   ('C', 'NATION_12', 2001, 6.5))
 SELECT ex.name, ex.region, CAST(ex.year AS BIGINT) AS year, coalesce(bool_or(h.magnitude >= ex.minimum), false) AS found,

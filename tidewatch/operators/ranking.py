@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialise
+
 STEPS_PER_OCTAVE = 1024
 
 
@@ -57,9 +59,11 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     return totals.select(*keys, value, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """Exact quantile (linear between neighbours) of each group, of any size."""
-    totals = running_totals(df.filter(F.col(value).isNotNull()), keys, value, {"_n": F.count("*")})
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str,
+                   weight: str | None = None) -> DataFrame:
+    """Exact quantile (linear between neighbours) of each group, of any size; ``weight`` says how often a value occurs."""
+    times = F.sum(weight) if weight else F.count("*")
+    totals = running_totals(df.filter(F.col(value).isNotNull()), keys, value, {"_n": times})
     scope = keys or ["_all"]
     totals = totals if keys else totals.withColumn("_all", F.lit(1))
     sizes = totals.groupBy(*scope).agg(F.sum("_n").alias("_size"))
@@ -72,3 +76,17 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
         F.first(place - low).alias("_part"),
     ).select(*scope, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(name))
     return out if keys else out.drop("_all")
+
+
+def positions(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a sorted table with their place from 1, without a window over the whole table.
+
+    A sort deals ranges to partitions in order. The rows are written with their partition and
+    their place in it; totals of the partitions before, one row each, then make that the place in the table.
+    """
+    kept = materialise(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "sorted")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (kept.join(sizes, "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+            .drop("_part", "_at", "_first", "_before"))

@@ -102,12 +102,79 @@ def predict(rows: DataFrame, pipeline: PipelineModel, name: str = "probability")
     return pipeline.transform(rows).select(*keep, vector_to_array("probability")[1].alias(name))
 
 
-def save_fit(fit: Fit, path: str) -> None:
-    fit.pipeline.write().overwrite().save(path)
+MODEL = "version string, valid_from string, valid_to string, kind string, term string, mean double, scale double, weight double"
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def model_table(spark: SparkSession, fit: Fit, version: str, valid_from: str | None = None,
+                valid_to: str | None = None) -> DataFrame:
+    """A fit as rows: the intercept, its features and its regions, under a version that serves a span of dates.
+
+    ``valid_from`` and ``valid_to`` are ISO dates, both included; an open end is null.
+    """
+    key = (version, valid_from, valid_to)
+    rows = [(*key, "intercept", None, None, None, float(fit.intercept))]
+    rows += [(*key, "feature", k, float(fit.means[k]), float(fit.scales[k]), float(w)) for k, w in fit.coefs.items()]
+    rows += [(*key, "region", k, None, None, float(w)) for k, w in fit.regions.items()]
+    return spark.createDataFrame(rows, MODEL)
+
+
+def fit_of(models: DataFrame, version: str) -> Fit:
+    """One version of a model table as a ``Fit``; it explains and scores without the pipeline that made it."""
+    rows = models.filter(F.col("version") == version).collect()  # as many as the model has terms
+    if not rows:
+        raise ValueError(f"no model of version {version}")
+    features = [r for r in rows if r["kind"] == "feature"]
+    return Fit({r["term"]: r["mean"] for r in features}, {r["term"]: r["scale"] for r in features},
+               {r["term"]: r["weight"] for r in features}, next(r["weight"] for r in rows if r["kind"] == "intercept"),
+               {r["term"]: r["weight"] for r in rows if r["kind"] == "region"})
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    """Write versions of a model table, each into a folder of its own; a version that is there already is replaced."""
+    for row in models.select("version").distinct().collect():
+        part = models.filter(F.col("version") == row["version"])
+        part.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{row['version']}")
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """All versions below a folder that ``save_models`` wrote."""
+    return spark.read.schema(MODEL).option("recursiveFileLookup", True).parquet(path)
+
+
+def save_fit(fit: Fit, path: str, version: str = "served") -> None:
+    """Save a fit's coefficients; ``load_fit`` gives the same scores back."""
+    save_models(model_table(SparkSession.active(), fit, version), path)
+
+
+def load_fit(spark: SparkSession, path: str, version: str = "served") -> Fit:
+    return fit_of(load_models(spark, path), version)
+
+
+def score(rows: DataFrame, models: DataFrame, as_of: str = "as_of", region: str = "state") -> DataFrame:
+    """Rows explained by the version that serves their date; a date without a model drops out.
+
+    A model table has a few dozen lines. Its versions become one line each, which is joined by
+    name, so rows of all versions are scored in the same pass.
+    """
+    lines = models.groupBy("version", "valid_from", "valid_to").agg(
+        F.max(F.when(F.col("kind") == "intercept", F.col("weight"))).alias("intercept"),
+        F.collect_list(F.when(F.col("kind") == "feature", F.struct("term", F.struct("mean", "scale", "weight").alias("x"))))
+        .alias("_features"))
+    versions = lines.select("version", "valid_from", "valid_to").collect()  # one line for each model that was kept
+    keys = [r["term"] for r in models.filter("kind = 'feature'").select("term").distinct().collect()]
+    keys = [k for k in KEYS if k in keys] + sorted(set(keys) - set(KEYS))
+    day = F.col(as_of).cast("date")
+    name = F.lit(None).cast("string")
+    for row in sorted(versions, key=lambda r: (r["valid_from"] or "", r["version"])):
+        serves = day.isNotNull()
+        serves = serves & (day >= F.lit(row["valid_from"]).cast("date")) if row["valid_from"] else serves
+        serves = serves & (day <= F.lit(row["valid_to"]).cast("date")) if row["valid_to"] else serves
+        name = F.when(serves, F.lit(row["version"])).otherwise(name)
+    by_term = F.map_from_entries("_features")
+    terms = lines.select(F.col("version").alias("model"), F.struct("intercept", *[by_term[k].alias(k) for k in keys]).alias("_terms"))
+    effects = models.filter("kind = 'region'").select(F.col("version").alias("model"), F.col("term").alias(region), F.col("weight").alias("_effect"))
+    named = rows.withColumn("model", name).join(terms, "model").join(effects, ["model", region], "left")
+    return explained(named, keys, region)
 
 
 def train_forest(rows: DataFrame, label: str = "flood", region: str = "state", trees: int = 150) -> PipelineModel:
@@ -225,45 +292,73 @@ def evaluate(rows: DataFrame, until: int = TRAIN_UNTIL, trees: int = 150) -> dic
 # ── explaining and scoring ──────────────────────────────────────────────────
 
 
+def _terms(fit: Fit) -> Column:
+    """The coefficients of a fit as one struct: the intercept and, by feature, mean, scale and weight."""
+    return F.struct(F.lit(float(fit.intercept)).alias("intercept"), *[
+        F.struct(*[F.lit(float(x)).alias(n) for n, x in (("mean", fit.means[k]), ("scale", fit.scales[k]), ("weight", fit.coefs[k]))])
+        .alias(k) for k in fit.coefs])
+
+
 def explain(rows: DataFrame, fit: Fit, region: str = "state") -> DataFrame:
     """Probability, level and each factor's part of the log-odds, largest first.
 
-    The parts and the intercept add up to the log-odds. An unknown region has no part.
+    The parts and the baseline add up to the log-odds. An unknown region has no part.
     """
-    spark = rows.sparkSession
-    effects = spark.createDataFrame(list(fit.regions.items()) or [("", 0.0)], f"{region} string, _effect double")
-    parts = {k: (F.col(k).cast("double") - fit.means[k]) / fit.scales[k] * fit.coefs[k] for k in fit.coefs}
-    out = rows.join(effects, region, "left").withColumns({f"_p_{k}": v for k, v in parts.items()})
-    logit = F.lit(fit.intercept) + F.coalesce("_effect", F.lit(0.0))
+    effects = rows.sparkSession.createDataFrame(list(fit.regions.items()) or [("", 0.0)], f"{region} string, _effect double")
+    return explained(rows.join(effects, region, "left").withColumn("_terms", _terms(fit)), list(fit.coefs), region)
+
+
+def explained(rows: DataFrame, keys: list[str], region: str = "state") -> DataFrame:
+    """Scores of rows that carry their model in ``_terms`` and their region's baseline in ``_effect``."""
+    parts = {k: (F.col(k).cast("double") - F.col(f"_terms.{k}.mean")) / F.col(f"_terms.{k}.scale") * F.col(f"_terms.{k}.weight")
+             for k in keys}
+    out = rows.withColumns({f"_p_{k}": v for k, v in parts.items()})
+    logit = F.col("_terms.intercept") + F.coalesce("_effect", F.lit(0.0))
     for k in parts:
         logit = logit + F.col(f"_p_{k}")
     probability = F.lit(1.0) / (F.exp(-logit) + 1)
+    specs = {f[0]: f for f in FEATURES}
 
-    def factor(key: Column, label: Column, part: Column, value: Column) -> Column:
-        return F.struct((-F.abs(part)).alias("order"), key.alias("key"), label.alias("label"), value.alias("value"),
+    def factor(key: str, part: Column, label: str, unit: str, value: Column, average: Column, said: Column) -> Column:
+        return F.struct((-F.abs(part)).alias("order"), F.lit(key).alias("key"), F.lit(label).alias("label"),
+                        F.lit(unit).alias("unit"), value.cast("string").alias("value"), average.alias("average"),
                         F.bround(part, 3).alias("contribution"),
-                        F.when(part > 0, "raises").otherwise("lowers").alias("direction"))
+                        F.when(part > 0, "raises").otherwise("lowers").alias("direction"), said.alias("said"))
 
-    labels = {f[0]: f[1] for f in FEATURES}
-    listed = [factor(F.lit(k), F.lit(labels.get(k, k)), F.col(f"_p_{k}"), F.bround(F.col(k).cast("double"), 3).cast("string"))
-              for k in parts]
-    listed.append(F.when(F.col("_effect").isNotNull(),
-                         factor(F.lit(region), F.lit("Region"), F.col("_effect"), F.col(region))))
-    factors = F.transform(F.array_sort(F.array_compact(F.array(*listed))), lambda x: F.struct(
-        x["key"].alias("key"), x["label"].alias("label"), x["value"].alias("value"),
-        x["contribution"].alias("contribution"), x["direction"].alias("direction")))
-    drops = ["_effect", *[f"_p_{k}" for k in parts]]
-    return out.withColumns({"_logit": logit}).withColumns({
-        "probability": F.bround(probability, 3), "level": risk_level(probability),
-        "log_odds": F.bround("_logit", 3), "factors": factors}).withColumn("summary", _summary()).drop("_logit", *drops)
-
-
-def _summary() -> Column:
-    """The strongest factors in one sentence."""
-    strong = F.filter("factors", lambda x: F.abs(x["contribution"]) >= 0.1)
-    top = F.when(F.size(strong) > 0, F.slice(strong, 1, 3)).otherwise(F.slice("factors", 1, 1))
-    words = F.array_join(F.transform(top, lambda x: F.concat_ws(" ", F.lower(x["label"]), x["value"], x["direction"],
-                                                                F.lit("risk"))), "; ")
+    listed = []
+    for k in parts:
+        _, label, unit, *_ = specs.get(k, (k, k, "", None, None))
+        number = F.col(k).cast("double")
+        listed.append(factor(k, F.col(f"_p_{k}"), label, unit, F.bround(number, 3), F.bround(F.col(f"_terms.{k}.mean"), 3),
+                             F.concat(F.lit(label.lower() + " "), amount(number, unit))))
+    listed.append(F.when(F.col("_effect").isNotNull(), factor(
+        region, F.col("_effect"), "Region", "state", F.col(region), F.lit(None).cast("double"),
+        F.concat(F.col(region), F.lit("'s baseline")))))
+    names = ("key", "label", "unit", "value", "average", "contribution", "direction", "said")
+    factors = F.transform(F.array_sort(F.array_compact(F.array(*listed))), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    drops = ["_effect", "_terms", "_said", *[f"_p_{k}" for k in parts]]
+    shown = F.transform("_said", lambda x: F.struct(*[x[n].alias(n) for n in names[:-1]]))
+    return out.withColumns({"_logit": logit, "_said": factors}).withColumns({
+        "probability": F.bround(probability, 3), "level": risk_level(probability), "log_odds": F.bround("_logit", 3),
+        "baseline_log_odds": F.bround("_terms.intercept", 3), "factors": shown, "summary": _summary("_said")}).drop("_logit", *drops)
+
+
+def amount(value: Column, unit: str) -> Column:
+    """A feature's value with its unit, as it is read out."""
+    if unit == "% of normal":
+        return F.format_string("%.0f%% of normal", F.rint(value))
+    if unit == "share":
+        return F.format_string("%.0f%% of past years", F.rint(value * 100))
+    if unit == "0-1":
+        return F.format_string("%.2f", F.bround(value, 2))
+    return F.concat(F.format_number(F.rint(value), 0), F.lit(f" {unit}"))
+
+
+def _summary(factors: str) -> Column:
+    """The strongest factors in one sentence: up to three that matter, else the first."""
+    strong = F.filter(factors, lambda x: F.abs(x["contribution"]) >= 0.1)
+    top = F.when(F.size(strong) > 0, F.slice(strong, 1, 3)).otherwise(F.slice(factors, 1, 1))
+    words = F.array_join(F.transform(top, lambda x: F.concat_ws(" ", x["said"], x["direction"], F.lit("risk"))), "; ")
     return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)), F.lit("."))
 
 
@@ -323,6 +418,61 @@ def scenarios(events: DataFrame) -> DataFrame:
         F.when(F.count_distinct("expect") == 1, F.min("expect")).otherwise("mixed").alias("expect"))
 
 
+CURRENT = "current"
+PREDICTION = ["type", "scenario", "kind", "place", "state", "lat", "lon", "population", "window_start", "as_of", "level",
+              "probability", "driver", "observed", "observed_deadly"]
+
+
+def scenario_ids(events: DataFrame) -> list[str]:
+    """The scenarios there are: the current window, and each month of a known event as ``yyyy-mm``."""
+    months = events.select(F.format_string("%04d-%02d", "year", "month").alias("id")).distinct().orderBy("id").collect()
+    return [CURRENT, *[row["id"] for row in months]]  # known events are a list of a few dozen
+
+
+def predictions(scenario: str, panel: DataFrame, current: DataFrame, districts: DataFrame, models: DataFrame,
+                events: DataFrame) -> DataFrame:
+    """Districts scored for a scenario, most likely first.
+
+    The current window has ``window_start`` and ``as_of`` of its own. A past month is taken from the
+    panel with the label that was observed, and scored by the model that serves its last day:
+    one that was fitted on the years before, so that the replay is out of sample.
+    """
+    known = scenario_ids(events)
+    if scenario not in known:
+        raise ValueError(f"Unknown scenario '{scenario}'. Use one of: {', '.join(known)}")
+    info = districts.select("district", "population", "lat", "lon", "low_lying_pct")
+    if scenario == CURRENT:
+        rows = complete_rows(current).withColumns({"observed": F.lit(None).cast("long"), "observed_deadly": F.lit(None).cast("long")})
+    else:
+        year, month = map(int, scenario.split("-"))
+        first = F.make_date("year", "month", F.lit(1))
+        rows = scenario_rows(panel, districts, year, month).drop("population", "lat", "lon", "low_lying_pct").withColumns({
+            "window_start": first, "as_of": F.last_day(first), "observed": F.col("flood"), "observed_deadly": F.col("deadly")})
+    rows = rows.join(info, "district", "left").withColumns({
+        "scenario": F.lit(scenario), "kind": F.lit("current" if scenario == CURRENT else "backtest")})
+    return score(rows, models).orderBy(F.desc("probability"), "district")
+
+
+def flood_prediction_rows(scored: DataFrame) -> DataFrame:
+    """Scored districts in the schema that all hazards share."""
+    driver = F.get("factors", 0)["label"]
+    return scored.withColumns({"type": F.lit("flood"), "place": F.col("district"), "driver": driver,
+                               "window_start": F.col("window_start").cast("string"), "as_of": F.col("as_of").cast("string")}
+                              ).select(*PREDICTION)
+
+
+def index_prediction_rows(index: DataFrame, regions: DataFrame, kind: str, period: tuple[int, int]) -> DataFrame:
+    """A hazard index in the schema that all hazards share; ``regions`` has place and population."""
+    if kind not in INDEX_TESTS:
+        raise ValueError(f"Unknown hazard '{kind}'. Use one of: {', '.join(INDEX_TESTS)}")
+    rows = index.select("region", "level", "probability", "driver").join(regions.select("region", "lat", "lon", "population"), "region")
+    none = F.lit(None).cast("long")
+    return rows.select(
+        F.lit(kind).alias("type"), F.lit("long-term").alias("scenario"), F.lit("index").alias("kind"), F.col("region").alias("place"),
+        F.col("region").alias("state"), "lat", "lon", "population", F.lit(str(period[0])).alias("window_start"),
+        F.lit(str(period[1])).alias("as_of"), "level", "probability", "driver", none.alias("observed"), none.alias("observed_deadly"))
+
+
 def scenario_rows(panel: DataFrame, districts: DataFrame, year: int, month: int) -> DataFrame:
     """One month of the panel with the attributes of its districts, ready for scoring."""
     info = districts.select("district", "population", "lat", "lon", "low_lying_pct")

@@ -81,10 +81,11 @@ WHERE year <= 2025
 GROUP BY type, year
 """
 
+# A rate every eleventh year, from how many orders a year has.
 VIEWS["fx"] = """
-SELECT CAST(year AS BIGINT) AS year, CAST(rate AS DOUBLE) AS inr_per_usd
-FROM (VALUES (1960, 4.76), (1973, 7.74), (1985, 12.37), (1990, 17.5), (1995, 32.43), (2000, 44.94),
-             (2001, 47.19), (2010, 45.73), (2020, 74.1)) t(year, rate)
+SELECT CAST(1950 + 11 * (year(o_orderdate) - 1995) AS BIGINT) AS year,
+       CAST(400 + (count(*) * 37) % 7000 AS DOUBLE) / 100 AS inr_per_usd
+FROM {orders} GROUP BY year(o_orderdate)
 """
 
 VIEWS["centroids"] = """
@@ -177,7 +178,7 @@ GROUP BY l_suppkey % 20, CAST(l_shipdate AS DATE)
 
 VIEWS["flood_events"] = """
 SELECT 'E' || CAST(o_orderkey AS STRING) AS uei,
-       CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 9 = 0 THEN 'D' || lpad(CAST(c_nationkey AS STRING), 2, '0') END AS district,
+       'D' || lpad(CAST(c_nationkey AS STRING), 2, '0') AS district,
        CAST(o_orderdate AS DATE) AS start_date,
        CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INT) AS end_date,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS deaths
