@@ -8,6 +8,8 @@ block is merged on its own, one by one as the rule says, many blocks to a task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,21 +20,27 @@ from tidewatch.operators import live
 from tidewatch.session import materialise
 
 #: Readings of a block that one task goes through; a larger block is merged in rounds. Readings dealt to a task.
-SMALL, TASK = 2_000, 8_000
+SMALL, TASK = 20_000, 20_000
+#: Links that one task follows; contraction goes on until no more are left.
+FEW = 100_000
 
 
 def connected(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``(node, block)`` for every node of a link table, by contraction.
 
     In a round each node is hung under the one of least hash among itself and its neighbours, and
-    links move up to those. New hashes in each round halve what is left on average, whatever the shape.
+    links move up to those. New hashes in each round halve what is left on average, whatever the
+    shape. What is left at last, ``FEW`` links at most, is followed in one task.
     """
     pair = materialise(links.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct(), "links")
     both = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b")))
     placed = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("block", F.col("node")), "blocks")
     open_ = materialise(both.filter("a <> b"), "links")
     salt = 0
-    while not open_.isEmpty():
+    while left := open_.count():
+        if left <= FEW:
+            up = open_.coalesce(1).mapInPandas(_follow, "node string, up string")
+            return materialise(_moved(placed, up), "blocks")
         rank = lambda c: F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("k"))  # noqa: B023, E731
         up = materialise(open_.groupBy("a").agg(F.min(rank("b")).alias("low")).select(
             F.col("a").alias("node"), F.least("low", rank("a"))["k"].alias("up")), "ups")
@@ -40,12 +48,32 @@ def connected(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
         near = up.withColumnsRenamed({"node": "a", "up": "va"})
         open_ = materialise(open_.join(near, "a").join(far, "b").filter("va <> vb")
                             .select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), "links")
-        placed = materialise(placed.join(up.withColumnRenamed("node", "block"), "block", "left").select(
-            "node", F.coalesce("up", "block").alias("block")), "blocks")
+        placed = materialise(_moved(placed, up), "blocks")
         salt += 1
     return placed
 
 
+def _moved(placed: DataFrame, up: DataFrame) -> DataFrame:
+    return placed.join(up.withColumnRenamed("node", "block"), "block", "left").select("node", F.coalesce("up", "block").alias("block"))
+
+
+def _follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Root of every node of a small link table."""
+    root: dict[str, str] = {}
+
+    def find(node: str) -> str:
+        while root.setdefault(node, node) != node:
+            root[node] = node = root[root[node]]
+        return node
+
+    for part in parts:
+        for a, b in zip(part["a"], part["b"], strict=True):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    if root:
+        yield pd.DataFrame([(node, find(node)) for node in list(root)], columns=["node", "up"])
+
+
 def _timeless(key: str = "key"):
     """A cell without its time: the place alone. Other keys stay as they are."""
     place = F.expr(f"concat_ws(':', slice(split({key}, ':'), 1, 3))")
