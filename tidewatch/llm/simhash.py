@@ -25,6 +25,8 @@ BITS = 64
 CROWD = 64
 #: Fingerprints in a block of a crowded bucket.
 BLOCK = 4096
+#: What making, dealing out and sorting a probe costs, in comparisons of a candidate that it meets.
+PROBE = 8
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -114,7 +116,7 @@ def partition_count(n: int, distance: int) -> int:
         for i in range(m):
             radius = spare // m + (i < spare % m)
             ball = sum(math.comb(round(width), r) for r in range(radius + 1))
-            total += ball * (1 + n / 2.0 ** width)
+            total += ball * (PROBE + n / 2.0 ** width)
         return total
 
     return min(range(1, distance + 2), key=cost)
@@ -296,14 +298,15 @@ def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     on = ["part", "key"]
     sizes = materialise(indexed.groupBy(on).agg(F.count("*").alias("members")).where(F.col("members") > CROWD), "crowds")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    crowded = not sizes.isEmpty()
-    thin = indexed.join(sizes, on, "left_anti") if crowded else indexed
-    found = probes.join(thin.hint("shuffle_hash"), on).where((F.col("a") < F.col("b")) & close).select("a", "b")
-    if not crowded:
+    # one row with a null ``b`` stands for a crowded bucket, so that probes are made and dealt out once
+    targets = indexed.join(sizes, on, "left_anti").unionByName(sizes.select(*on, F.lit(None).cast("bigint").alias("b")))
+    met = materialise(probes.join(targets, on).where(F.col("b").isNull() | ((F.col("a") < F.col("b")) & close)), "met")
+    found = met.where("b IS NOT NULL").select("a", "b")
+    if sizes.isEmpty():
         return found
     members = indexed.join(sizes, on).withColumn("slice", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / BLOCK)))
     members = members.groupBy(*on, "slice").agg(F.collect_list("b").alias("right")).drop("slice")
-    asked = materialise(probes.join(sizes, on).select(*on, "a"), "asked")
+    asked = met.where("b IS NULL").select(*on, "a")
     asked = asked.join(asked.groupBy(on).agg(F.count("*").alias("asking")), on)
     asked = asked.withColumn("slice", F.pmod(F.xxhash64("a"), F.ceil(F.col("asking") / BLOCK)))
     asked = asked.groupBy(*on, "slice").agg(F.collect_list("a").alias("left")).drop("slice")
