@@ -8,11 +8,13 @@ only the shapes near each point, and a crowded cell is split by the adaptive ske
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geo import (LIVE_EARTH_KM, cell_key, chord_km, haversine_km, neighbour_keys, sphere_axes,
+from tidewatch.functions.geo import (EARTH_KM, LIVE_EARTH_KM, cell_key, chord_km, haversine_km, neighbour_keys, sphere_axes,
                                      unit_vector)
 from tidewatch.operators.ranking import exact_quantile
 from tidewatch.session import materialise
@@ -168,38 +170,156 @@ def near_boundaries(points: DataFrame, vertices: DataFrame, radius_km: float,
             .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks", "_gx", "_gy", "_gz"))
 
 
-def within_reach(points: DataFrame, vertices: DataFrame, radius_km: float, lat: str, lon: str) -> DataFrame:
-    """Both of the above in one pass over the points: 0 km inside, else the distance to the boundary.
+def _grid(lat: Column, lon: Column, size: float) -> Column:
+    """Name of the cell of a grid in degrees that a place lies in; columns go round the globe."""
+    return F.concat_ws(":", F.floor(lat / size).cast("string"), F.pmod(F.floor(lon / size), F.lit(round(360 / size))).cast("string"))
+
+
+def _grid_key(size: float) -> Column:
+    return F.concat_ws(":", F.col("_row").cast("string"), F.pmod(F.col("_col"), F.lit(round(360 / size))).cast("string"))
+
+
+def _pieces(vertices: DataFrame, size: float) -> DataFrame:
+    """Cells that the boundary of a region passes through, found from its pieces of ``BOUNDARY_STEP`` at most."""
+    edge = edges(vertices)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    count = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / BOUNDARY_STEP), F.lit(1)).cast("int")
+    cut = edge.withColumn("_n", count).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    a, b = F.col("_k") / F.col("_n"), (F.col("_k") + 1) / F.col("_n")
+    ends = {"xa": F.col("x1") + dx * a, "xb": F.col("x1") + dx * b, "ya": F.col("y1") + dy * a, "yb": F.col("y1") + dy * b}
+
+    def cells(one: str, two: str) -> Column:
+        low, high = F.least(one, two) - 1e-9, F.greatest(one, two) + 1e-9
+        return F.sequence(F.floor(low / size), F.floor(high / size))
 
-    A point inside and near the boundary is listed twice for its region; the callers take
-    the smaller distance in the aggregate that they need anyway.
+    rows = cut.withColumns(ends).select("region", F.explode(cells("ya", "yb")).alias("_row"), cells("xa", "xb").alias("_cols"))
+    return rows.select("region", "_row", F.explode("_cols").alias("_col")).distinct().withColumn("_crossed", F.lit(True))
+
+
+def _shape_cells(vertices: DataFrame, size: float) -> DataFrame:
+    """Cells that a region spans: whether the boundary crosses them, whether they lie inside, and the edges of their row."""
+    edge = edges(vertices).select("region", F.struct("x1", "y1", "x2", "y2").alias("e"), F.explode(F.sequence(
+        F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))).alias("_row"))
+    rows = edge.groupBy("region", "_row").agg(F.collect_list("e").alias("_edges"), F.min(F.least("e.x1", "e.x2")).alias("_w"),
+                                              F.max(F.greatest("e.x1", "e.x2")).alias("_e"))
+    cells = rows.withColumn("_col", F.explode(F.sequence(F.floor(F.col("_w") / size), F.floor(F.col("_e") / size))))
+    cells = cells.join(_pieces(vertices, size), ["region", "_row", "_col"], "left")
+    middle = inside((F.col("_row") + 0.5) * size, (F.col("_col") + 0.5) * size, F.col("_edges"))
+    cells = cells.withColumn("_within", F.col("_crossed").isNull() & middle).filter(F.col("_crossed") | F.col("_within"))
+    return cells.select("region", _grid_key(size).alias("_cell"), "_within", F.when(F.col("_crossed"), F.col("_edges")).alias("_edges"))
+
+
+def _mark_cells(vertices: DataFrame, radius_km: float, size: float) -> DataFrame:
+    """Cells from which a boundary is in reach, each with the marks that can be the nearest one to a place in it.
+
+    No place of a cell is farther from its middle than ``_half``. A mark whose distance to the middle
+    is more than that of the nearest by twice as much is never the nearest.
     """
-    marks = reach_cells(vertices, radius_km)
-    shapes = inside_cells(vertices)
-    none = {"_edges": F.lit(None).cast(shapes.schema["_edges"].dataType), "_marks": F.lit(None).cast(marks.schema["_marks"].dataType)}
-    cells = marks.withColumn("_edges", none["_edges"]).unionByName(shapes.withColumn("_marks", none["_marks"]))
-    keys = F.array(cell_key(*sphere_axes(F.col(lat), F.col(lon), radius_km)), _row_key(F.col(lat), F.col(lon)))
-    distance = F.when(F.col("_marks").isNotNull(), _nearest_mark()).when(inside(F.col(lat), F.col(lon), F.col("_edges")), 0.0)
-    keyed = _on_globe(points, lat, lon).withColumn("_cell", F.explode(keys))
-    return (keyed.join(_stored(cells), "_cell").withColumn("dist_km", distance)
-            .filter(F.col("dist_km") <= radius_km).drop("_cell", "_marks", "_edges", "_gx", "_gy", "_gz"))
-
-
-def assign_regions(points: DataFrame, vertices: DataFrame, key: str, overrides: dict[str, str] | None = None,
-                   radii: tuple[float, ...] = (500.0, 20100.0)) -> DataFrame:
-    """One region per point: an override, else the region around it, else the nearest one.
-
-    The nearest region is searched in widening circles, each only for the points that the
-    smaller circle left over.
+    turn = radius_km / EARTH_KM
+    reach = F.lit(math.degrees(turn) + 2 * size)
+    marks = boundary_points(vertices)
+    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+    marks = marks.select("region", F.struct(x.alias("x"), y.alias("y"), z.alias("z")).alias("m"), "lat", "lon").withColumn(
+        "_row", F.explode(F.sequence(F.floor((F.col("lat") - reach) / size), F.floor((F.col("lat") + reach) / size))))
+    marks = marks.filter(F.col("_row").between(math.floor(-90 / size), math.ceil(90 / size) - 1))
+    # half the width of the reach on the row's side towards a pole; near one it goes all the way round
+    side = F.greatest(F.abs(F.col("_row") * size), F.abs((F.col("_row") + 1) * size))
+    spread = F.sin(F.lit(min(turn + math.radians(size), math.pi / 2))) / F.cos(F.radians(F.least(side, F.lit(90.0))))
+    wide = F.when((spread < 1) & (F.abs("lat") + reach < 89), F.degrees(F.asin(F.least(spread, F.lit(1.0)))) + 2 * size).otherwise(F.lit(180.0))
+    half_turn = round(180 / size)
+    col = F.floor(F.col("lon") / size)
+    steps = F.least(F.ceil(wide / size).cast("long"), F.lit(half_turn).cast("long"))
+    met = marks.withColumn("_col", F.explode(F.sequence(col - steps, col + steps))).withColumn(
+        "_col", F.pmod(F.col("_col") + half_turn, F.lit(2 * half_turn)) - half_turn)
+    lat, lon = (F.col("_row") + 0.5) * size, (F.col("_col") + 0.5) * size
+    cx, cy, cz = unit_vector(lat, lon)
+    dx, dy, dz = F.col("m.x") - cx, F.col("m.y") - cy, F.col("m.z") - cz
+    met = met.withColumns({"_km": chord_km(dx * dx + dy * dy + dz * dz), "_half": F.lit(EARTH_KM * math.radians(size) * 0.7072)})
+    met = met.filter(F.col("_km") <= radius_km + F.col("_half"))
+    near = met.groupBy("region", "_row", "_col").agg(F.min("_km").alias("_least"), F.first("_half").alias("_half"),
+                                                     F.collect_list(F.struct("_km", "m")).alias("_all"))
+    kept = F.filter("_all", lambda s: s["_km"] <= F.col("_least") + 2 * F.col("_half"))
+    return near.select("region", _grid_key(size).alias("_cell"), F.array_distinct(F.transform(kept, lambda s: s["m"])).alias("_marks"))
+
+
+def region_cover(vertices: DataFrame, radius_km: float, size: float = 0.5) -> DataFrame:
+    """``(region, _cell, _within, _edges, _marks)``: cells of a grid classed by how a place in them stands to a region.
+
+    Inside for good (``_within``), crossed by the boundary (``_edges`` decide), or outside with the
+    boundary in reach (``_marks`` alone). A cell that is out of reach has no row.
     """
+    shapes, marks = _shape_cells(vertices, size), _mark_cells(vertices, radius_km, size)
+    both = marks.join(shapes, ["region", "_cell"], "full")
+    within = F.coalesce("_within", F.lit(False))
+    return both.select("region", "_cell", within.alias("_within"), "_edges", F.when(~within, F.col("_marks")).alias("_marks"))
+
+
+def within_reach(points: DataFrame, vertices: DataFrame, radius_km: float, lat: str, lon: str, size: float = 0.5) -> DataFrame:
+    """Point rows with every region in reach: 0 km inside, else the distance to the boundary.
+
+    A point has one cell and meets one row of each region there. Only in cells that the boundary
+    crosses edges are tested, and arcs only go to the marks that can be nearest.
+    """
+    cells = _stored(region_cover(vertices, radius_km, size))
+    inner = F.col("_within") | F.coalesce(inside(F.col(lat), F.col(lon), F.col("_edges")), F.lit(False))
+    distance = F.when(inner, 0.0).when(F.col("_marks").isNotNull(), _nearest_mark())
+    keyed = _on_globe(points, lat, lon).withColumn("_cell", _grid(F.col(lat), F.col(lon), size))
+    return (keyed.join(cells, "_cell").withColumn("dist_km", distance).filter(F.col("dist_km") <= radius_km)
+            .drop("_cell", "_within", "_marks", "_edges", "_gx", "_gy", "_gz"))
+
+
+#: First ring of the search for the nearest region in km, and by how many cells' width a ring is searched.
+FIRST_RING, RING_CELLS = 60.0, 8
+
+
+def nearest_regions(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    """``(key, region)``: the region whose boundary is nearest to each point, ties to the smaller name.
+
+    Points are searched by cell in rings that double, each only for the cells that are still open. A
+    ring's cells grow with it, so there are few of them far out. A cell is settled when the ring
+    holds every mark that can be nearest to a place in it: those up to the nearest one's distance from
+    its middle plus a cell's diagonal. Only these marks meet the points themselves.
+    """
+    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+    marks = _stored(boundary_points(vertices).select("region", F.struct(x.alias("x"), y.alias("y"), z.alias("z")).alias("m"), "lat", "lon"))
+    rest = materialise(points.select(key, "lat", "lon").dropna(), "open-points")
+    found = rest.limit(0).select(key, F.lit("").alias("region"))
+    if marks.isEmpty():
+        return found
+    ring, whole = FIRST_RING, math.pi * EARTH_KM + 1
+    while not rest.isEmpty():
+        size = 360 / max(round(360 / (math.degrees(ring / EARTH_KM) * 2 / RING_CELLS)), 4)
+        diagonal = EARTH_KM * math.radians(size) * 1.4143
+        row, col = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
+        keyed = rest.withColumn("_cell", F.concat_ws(":", row.cast("string"), col.cast("string")))
+        cells = keyed.groupBy("_cell").agg(((F.first(row) + 0.5) * size).alias("lat"), ((F.first(col) + 0.5) * size).alias("lon"))
+        spots = _on_globe(cells, "lat", "lon").withColumnsRenamed({"_cell": "_spot", "lat": "_clat", "lon": "_clon"})
+        spread = around(spots.withColumns({"lat": F.col("_clat"), "lon": F.col("_clon")}), ring).drop("lat", "lon")
+        near = marks.withColumn("_cell", cell_key(*sphere_axes(F.col("lat"), F.col("lon"), ring))).join(spread, "_cell")
+        dx, dy, dz = F.col("m.x") - F.col("_gx"), F.col("m.y") - F.col("_gy"), F.col("m.z") - F.col("_gz")
+        near = near.withColumn("_km", chord_km(dx * dx + dy * dy + dz * dz))
+        near = near if ring >= whole else near.filter(F.col("_km") <= ring)
+        lists = near.groupBy("_spot", "region").agg(F.min("_km").alias("_least"), F.collect_list(F.struct("_km", "m")).alias("_all"))
+        best = lists.groupBy("_spot").agg(F.min("_least").alias("_best"))
+        settled = lists.join(best if ring >= whole else best.filter(F.col("_best") + diagonal <= ring), "_spot")
+        kept = F.transform(F.filter("_all", lambda s: s["_km"] <= F.col("_best") + diagonal), lambda s: s["m"])
+        settled = materialise(settled.filter(F.col("_least") <= F.col("_best") + diagonal)
+                              .select(F.col("_spot").alias("_cell"), "region", kept.alias("_marks")), "ring")
+        here = _on_globe(keyed, "lat", "lon").join(settled, "_cell").withColumn("_km", _nearest_mark())
+        hits = here.groupBy(key).agg(F.min_by("region", F.struct("_km", "region")).alias("region"))
+        found = materialise(found.unionByName(hits), "nearest")
+        rest = materialise(keyed.join(settled.select("_cell").distinct(), "_cell", "left_anti").drop("_cell"), "open-points")
+        ring = min(2 * ring, whole)
+    return found
+
+
+def assign_regions(points: DataFrame, vertices: DataFrame, key: str, overrides: dict[str, str] | None = None) -> DataFrame:
+    """One region per point: an override, else the region around it, else the nearest one."""
     found = containing_regions(points, vertices).groupBy(key).agg(F.min("region").alias("region")).withColumn(
         "how", F.lit("inside"))
-    for radius in radii:
-        rest = points.join(found, key, "left_anti")
-        near = near_boundaries(rest, vertices, radius).groupBy(key).agg(
-            F.min_by("region", F.struct("dist_km", "region")).alias("region")).withColumn("how", F.lit("nearest"))
-        found = found.unionByName(near)
-    out = points.join(found, key, "left")
+    outside = points.join(found, key, "left_anti")
+    near = nearest_regions(outside, vertices, key).withColumn("how", F.lit("nearest"))
+    out = points.join(found.unionByName(near), key, "left")
     if overrides:
         table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
         forced = table[F.col(key)]
@@ -220,12 +340,10 @@ def label_regions(districts: DataFrame, name: str = "name", state: str = "state"
 
 def quake_exposure(quakes: DataFrame, vertices: DataFrame, radius_km: float = 300.0, first: int = 1950,
                    last: int = 2025, minimum: float = 6.0) -> DataFrame:
-    """One line per region and quake within reach, with the distance to the region (0 inside)."""
+    """One line per region and quake within reach, with the distance to the region (0 inside); the catalogue has a quake once."""
     near = quakes.filter(F.col("year").between(first, last) & (F.col("magnitude") >= minimum))
     hits = within_reach(near, vertices, radius_km, "latitude", "longitude")
-    fields = F.struct("event_date", "year", "month", "magnitude", "place")
-    return hits.groupBy("region", "id").agg(F.min(fields).alias("_q"), F.rint(F.min("dist_km")).alias("dist_km")).select(
-        "region", "id", "_q.*", "dist_km")
+    return hits.select("region", "id", "event_date", "year", "month", "magnitude", "place", F.rint("dist_km").alias("dist_km"))
 
 
 def quake_metrics(exposure: DataFrame, regions: DataFrame, years: int) -> DataFrame:
