@@ -10,7 +10,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +76,57 @@ def unknown_alias_targets(aliases: DataFrame, gazetteer: DataFrame) -> DataFrame
     return real.join(gazetteer_keys(gazetteer), ["_in", "_key"], "left_anti").drop("_in", "_key")
 
 
+def letter_pairs(key: str) -> Column:
+    """The pairs of neighbouring letters of a name; a pair that occurs again is told apart by its number."""
+    pairs = f"transform(sequence(1, length({key}) - 1), i -> substring({key}, i, 2))"
+    counted = "transform(p, (x, i) -> concat(x, ':', size(filter(slice(p, 1, i), y -> y = x))))"
+    return F.expr(f"if(length({key}) < 2, cast(array() as array<string>), flatten(transform(array({pairs}), p -> {counted})))")
+
+
+def shared_at_least(size: Column) -> Column:
+    """How many letter pairs a name of ``size`` letters shares at least with any name as like it as the cut-off asks.
+
+    With M of a + b letters matched in order, of the a - 1 pairs of one name each of its a - M unmatched
+    letters breaks two at most, and each of the other's b - M one. M is at least cut-off * (a + b) / 2, and b
+    at least a * cut-off / (2 - cut-off).
+    """
+    least = F.ceil(size * (FUZZY_CUTOFF / (2 - FUZZY_CUTOFF)) - 1e-9)
+    return F.greatest(F.ceil((size + least) * (1.5 * FUZZY_CUTOFF - 1) - 1 - 1e-9), F.lit(1)).cast("int")
+
+
+def telling_pairs(named: DataFrame, uses: DataFrame, key: str) -> DataFrame:
+    """``(key, _pair)``: so many of a name's letter pairs, rarest first, that names as like as the cut-off asks share one.
+
+    ``uses`` counts how many places have a pair; pairs that none has come first. Names
+    with the same first pairs are all that need to be compared.
+    """
+    pairs = named.select(key).distinct().withColumn("_pair", F.explode(letter_pairs(key))).join(uses, "_pair", "left")
+    ordered = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_uses", F.lit(0)).alias("n"), F.col("_pair").alias("p")))).alias("_all"))
+    first = F.slice("_all", F.lit(1), F.greatest(F.size("_all") - shared_at_least(F.length(key)) + 1, F.lit(0)))
+    return ordered.select(key, F.explode(F.transform(first, lambda x: x["p"])).alias("_pair"))
+
+
+def fuzzy_candidates(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """Rows of ``asked`` beside the places of their state that could be like enough.
+
+    Names meet by a shared telling pair, and then must share as many letter pairs as their lengths ask.
+    """
+    uses = pool.select(F.col("_other")).distinct().select(F.explode(letter_pairs("_other")).alias("_pair")).groupBy("_pair").agg(
+        F.count("*").alias("_uses"))
+    mine = asked.join(telling_pairs(asked, uses, "_key"), "_key")
+    theirs = pool.join(telling_pairs(pool, uses, "_other"), "_other")
+    met = mine.join(theirs, ["_in", "_pair"])
+    size, other = F.length("_key"), F.length("_other")
+    near = met.filter(F.least(size, other) * 2 / (size + other) >= FUZZY_CUTOFF).drop("_pair").distinct()
+    matched = F.ceil((size + other) * (FUZZY_CUTOFF / 2) - 1e-9)
+    return near.filter(F.size(F.array_intersect(letter_pairs("_key"), letter_pairs("_other"))) >= 3 * matched - size - other - 1)
+
+
 def fuzzy_matches(open_names: DataFrame, places: DataFrame) -> DataFrame:
     """The one place in scope that is similar enough, unless a second is nearly as similar."""
     pool = places.groupBy("_in", F.col("_key").alias("_other")).agg(F.min(_target()).alias("t"))
-    asked = open_names.select(*KEY, "_key", F.explode("_scope").alias("_in")).join(pool, "_in")
-    size, other = F.length("_key"), F.length("_other")
-    close = asked.filter(F.least(size, other) * 2 / (size + other) >= FUZZY_CUTOFF)
+    asked = open_names.select(*KEY, "_key", F.explode("_scope").alias("_in"))
+    close = fuzzy_candidates(asked, materialise(pool, "places"))
     once = close.groupBy(*KEY, "_key", "_other").agg(F.min("t").alias("t"))
     rated = once.withColumn("_like", likeness("_key", "_other")).filter(F.col("_like.rank") >= FUZZY_CUTOFF)
     order = W.partitionBy(*KEY).orderBy(F.desc("_like.rank"), F.desc("_other"))
