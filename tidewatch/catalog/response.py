@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import query
-from tidewatch.catalog.risk import EXPOSED_SQL, LEVEL, quake_regions
+from tidewatch.catalog.risk import EXPOSED_SQL, LEVEL, STORM_INDEX_SQL, quake_regions, storm_regions
 from tidewatch.functions import scales
 from tidewatch.operators import live
 from tidewatch.plans import response as op
@@ -81,6 +81,88 @@ def actions_by_category(t):
     return found.withColumn("actions", F.array_join("actions", " | "))
 
 
+QUAKE_ROWS = EXPOSED_SQL + """, qr AS (SELECT m.region, b.population, m6, m7, 1 - exp(-m6 / 76) AS first_chance, x.l,
+    CASE x.l WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level, round(x.p, 4) AS probability
+  FROM m JOIN {region_boxes} b USING (region) JOIN (SELECT *, row_number() OVER (PARTITION BY region ORDER BY l DESC, p DESC, place) AS rn FROM lv) x
+    ON x.region = m.region AND rn = 1),
+qp AS (SELECT *, CAST(round_even(population * CASE level WHEN 'critical' THEN 0.02 WHEN 'high' THEN 0.005 WHEN 'medium' THEN 0.001 ELSE 0 END, 0) AS BIGINT) AS people,
+  4 - l AS tier FROM qr)"""
+
+STORM_ROWS = STORM_INDEX_SQL + """, cr AS (SELECT sx.*, b.population, ts, hu, 1 - exp(-hu / 46) AS first_chance,
+    CASE level WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS l FROM sx JOIN sm USING (region) JOIN {region_boxes} b USING (region)),
+cp AS (SELECT *, CAST(round_even(population * CASE level WHEN 'critical' THEN 0.03 WHEN 'high' THEN 0.01 WHEN 'medium' THEN 0.0025 ELSE 0 END, 0) AS BIGINT) AS people,
+  4 - l AS tier FROM cr)"""
+
+
+def indexed(t, kind):
+    """Regions of an index with the columns that the rules name."""
+    people = t.region_boxes.select("region", "population")
+    if kind == "earthquake":
+        rows = risk.hazard_index(quake_regions(t), kind, 76).withColumnsRenamed({"eq_events_m6": "events_m6", "eq_events_m7": "events_m7"})
+        return rows.join(people, "region").withColumn("first_chance", scales.annual_probability(F.col("events_m6"), F.lit(76.0)))
+    rows = risk.hazard_index(storm_regions(t), kind, 46).withColumnsRenamed({"cy_storms_ts": "storms_ts", "cy_storms_hurricane": "storms_hurricane"})
+    return rows.join(people, "region").withColumn("first_chance", scales.annual_probability(F.col("storms_hurricane"), F.lit(46.0)))
+
+
+RANKED = "row_number() OVER (ORDER BY tier, coalesce(people, 0) DESC, probability DESC, region) AS rank"
+
+
+def told(kind):
+    return f"""printf('%s {kind} risk (%d%%)', level, CAST(round(probability * 100) AS BIGINT)) || ' + ' || printf('%.1f lakh people', round(population / 1e5, 1))
+  || CASE WHEN people = 0 THEN ' → monitor, no resources committed' ELSE ' → ' || format('{{:,}}', people) || ' people may need assistance' END AS reasoning"""
+
+
+@query("recommend_earthquake", f"""{QUAKE_ROWS} SELECT region, level, people, CAST(ceil(people / 5000) AS BIGINT) AS rescue_teams, people * 30 AS food_rations,
+  tier, {RANKED}, {told("earthquake")} FROM qp""")
+def recommend_earthquake(t):
+    return op.recommend(indexed(t, "earthquake"), "earthquake", 30).select(
+        "region", "level", "people", "rescue_teams", "food_rations", "tier", "rank", "reasoning")
+
+
+@query("recommend_cyclone", f"""{STORM_ROWS} SELECT region, level, people, CAST(ceil(people / 1000) AS BIGINT) AS cyclone_shelters, people * 15 AS water_litres,
+  tier, {RANKED}, {told("cyclone")} FROM cp""")
+def recommend_cyclone(t):
+    return op.recommend(indexed(t, "cyclone"), "cyclone", 1).select(
+        "region", "level", "people", "cyclone_shelters", "water_litres", "tier", "rank", "reasoning")
+
+
+@query("preparedness_earthquake", QUAKE_ROWS + """, rule(id, least, why) AS (VALUES ('eq-audit', 2, 'm6'), ('eq-code', 1, 'chance'), ('eq-large', 1, 'm7'), ('eq-drills', 1, 'level'),
+  ('eq-sar', 2, 'lakh'), ('eq-trauma', 2, 'level'), ('eq-warning', 1, 'level'))
+SELECT region, id, CASE why WHEN 'm6' THEN m6 || ' M6+ earthquakes within 300 km since 1950.' WHEN 'm7' THEN m7 || ' M7+ earthquakes within 300 km since 1950.'
+  WHEN 'chance' THEN 'Level ' || level || ': annual chance of an M6+ earthquake nearby is ' || printf('%.0f', first_chance * 100) || '%.'
+  WHEN 'lakh' THEN 'Level ' || level || '; ' || format('{:,}', CAST(round(population / 1e5) AS BIGINT)) || ' lakh people.'
+  ELSE 'Level ' || level || ' for earthquakes.' END AS why FROM qr, rule WHERE l >= least AND (id <> 'eq-large' OR m7 >= 1)""")
+def preparedness_earthquake(t):
+    return op.preparedness(indexed(t, "earthquake"), "earthquake").select("region", "id", "why")
+
+
+@query("preparedness_cyclone", STORM_ROWS + """, rule(id, least, why) AS (VALUES ('cy-warning', 1, 'ts'), ('cy-fishing', 1, 'level'), ('cy-routes', 2, 'hu'),
+  ('cy-shelters', 2, 'lakh'), ('cy-power', 2, 'level'), ('cy-stock', 3, 'chance'))
+SELECT region, id, CASE why WHEN 'ts' THEN ts || ' tropical storms within 100 km since 1980.' WHEN 'hu' THEN hu || ' hurricane-strength storms within 100 km since 1980.'
+  WHEN 'chance' THEN 'Annual chance of a hurricane-strength storm nearby is ' || printf('%.0f', first_chance * 100) || '%.'
+  WHEN 'lakh' THEN 'Level ' || level || '; ' || format('{:,}', CAST(round(population / 1e5) AS BIGINT)) || ' lakh people in the state.'
+  ELSE 'Level ' || level || ' for cyclones.' END AS why FROM cr, rule WHERE l >= least""")
+def preparedness_cyclone(t):
+    return op.preparedness(indexed(t, "cyclone"), "cyclone").select("region", "id", "why")
+
+
+@query("needs_by_hazard", QUAKE_ROWS + """, wanted(hazard, k, category) AS (VALUES ('earthquake', 1, 'rescue'), ('earthquake', 2, 'medical'), ('earthquake', 3, 'shelter'),
+  ('earthquake', 4, 'water'), ('earthquake', 5, 'transport'), ('earthquake', 6, 'communication'), ('cyclone', 1, 'transport'), ('cyclone', 2, 'food'),
+  ('cyclone', 3, 'medical'), ('cyclone', 4, 'rescue'), ('cyclone', 5, 'power'), ('cyclone', 6, 'communication'))
+SELECT region, hazard, 'n' || k AS need_id, category FROM qr, wanted WHERE l >= 2""")
+def needs_by_hazard(t):
+    raised = indexed(t, "earthquake").filter("level IN ('critical', 'high')").select("region")
+    both = raised.withColumn("hazard", F.explode(F.array(F.lit("earthquake"), F.lit("cyclone"))))
+    return op.area_needs(both).select("region", "hazard", "need_id", "category")
+
+
+@query("plan_need_rows", """SELECT plan_id, plan_id || ':n' || k AS key, 'n' || k AS need_id, category FROM (
+  SELECT plan_id, category, CAST(substr(need_id, 2) AS INT) AS k FROM {plan_needs}) q""")
+def plan_need_rows(t):
+    plans = t.plan_needs.groupBy("plan_id").agg(F.collect_list(F.struct("need_id", "category")).alias("needs"))
+    return op.plan_needs(plans)
+
+
 def areas(t):
     index = risk.hazard_index(quake_regions(t), "earthquake", 76).join(t.region_boxes.select("region", "population"), "region")
     return op.risk_areas(flood_rows(t).withColumnRenamed("region", "district"), {"earthquake": index})

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scales import cases, half_up, level_order, status_group, status_progress
+from tidewatch.operators.ranking import positions
 
 # Response tiers and planning figures.
 TIER = {"critical": 1, "high": 2, "medium": 3, "low": 4}
@@ -195,17 +196,14 @@ def actions_by_category(actions: DataFrame) -> DataFrame:
 
 
 def recommend(rows: DataFrame, kind: str, days: int = 7, homeless: float = 0.0) -> DataFrame:
-    """Response estimate, tier labels, rank and a line of reasoning for every region.
-
-    There is one line per district or state here, a few hundred to rank in one window.
-    """
+    """Response estimate, tier labels, rank and a line of reasoning for every region, in order of rank."""
     tier = _pick(TIER, F.col("level"))
     out = resources(rows, kind, days, homeless).withColumn("tier", tier)
-    order = W.partitionBy(F.lit(kind)).orderBy("tier", F.desc(F.coalesce("people", F.lit(0))), F.desc("probability"), "region")
-    return out.withColumns({
+    out = out.withColumns({
         "response_label": _pick(RESPONSE_LABEL, F.col("tier")),
-        "preparedness_label": _pick(PREPAREDNESS_LABEL, F.col("tier")), "reasoning": _reasoning(kind),
-        "rank": F.row_number().over(order).cast("long")})
+        "preparedness_label": _pick(PREPAREDNESS_LABEL, F.col("tier")), "reasoning": _reasoning(kind)})
+    order = ("tier", F.desc(F.coalesce("people", F.lit(0))), F.desc("probability"), "region")
+    return positions(out.orderBy(*order), "rank")
 
 
 def _reasoning(kind: str) -> Column:
@@ -324,10 +322,11 @@ def smart_matches(responders: DataFrame, tasks: DataFrame, needs: DataFrame, lim
     """The best responders of each need by availability, place, role and workload.
 
     Responders and needs are never crossed. The part of the score that does not depend on
-    the need orders the responders once in six pools: by city or state or neither, with or
+    the need orders the responders in six pools: by city or state or neither, with or
     without the role. Whoever is among the best of a need is also among the best of the
     pool that fits them, because everyone ahead of them there scores at least as much for
-    that need. So a need only meets the first few of its pools.
+    that need. So a need only meets the first few of its pools. Responders are read once: each is
+    put under the names of its pools, and one window keeps the first few of every pool.
     """
     norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     base = (responders.join(active_counts(tasks), responders["id"] == F.col("assignee_id"), "left")
@@ -336,20 +335,19 @@ def smart_matches(responders: DataFrame, tasks: DataFrame, needs: DataFrame, lim
     base = base.select("id", "name", "role", "_city", "_state", "active", (ready - F.col("active")).alias("_base"))
     asked = needs.select("key", norm(F.col("area")).alias("_area"), norm(F.col("state")).alias("_nstate"), "category")
     roles = F.create_map(*[x for c, names in CATEGORY_ROLES.items() for x in (F.lit(c), F.array(*[F.lit(n) for n in names]))])
-    fits = asked.withColumn("role", F.explode(F.coalesce(roles[F.col("category")], F.array().cast("array<string>"))))
-    found = None
-    for place in (["_city"], ["_state"], []):
-        for by_role in (True, False):
-            keys = [*place, *(["role"] if by_role else [])]
-            scope = keys or ["_any"]
-            pool = base if keys else base.withColumn("_any", F.lit(1))
-            pool = pool.filter(F.col(place[0]) != "") if place else pool
-            order = W.partitionBy(*scope).orderBy(F.desc("_base"), "active", "name", "id")
-            best = pool.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
-            side = (fits if by_role else asked).withColumns({"_city": F.col("_area"), "_state": F.col("_nstate"), "_any": F.lit(1)})
-            hit = side.select("key", *scope).distinct().join(best.select(*scope, "id"), scope).select("key", "id")
-            found = hit if found is None else found.unionByName(hit)
-    pairs = found.distinct().join(asked, "key").join(base, "id")
+    fitting = F.coalesce(roles[F.col("category")], F.array().cast("array<string>"))
+
+    def pools(city: Column, state: Column, held: Column) -> Column:
+        """Names of pools by place, for anyone and for each of the roles."""
+        place = F.array_compact(F.array(F.when(city != "", F.concat(F.lit("c|"), city)), F.when(state != "", F.concat(F.lit("s|"), state)), F.lit("")))
+        return F.explode(F.flatten(F.transform(place, lambda p: F.concat(F.array(p), F.transform(held, lambda r: F.concat(p, F.lit("|r|"), r))))))
+
+    own = F.array_compact(F.array("role"))
+    order = W.partitionBy("_pool").orderBy(F.desc("_base"), "active", "name", "id")
+    best = (base.withColumn("_pool", pools(F.col("_city"), F.col("_state"), own))
+            .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n"))
+    met = asked.withColumn("_pool", pools(F.col("_area"), F.col("_nstate"), fitting)).join(best, "_pool").drop("_pool")
+    pairs = met.distinct()
     near = (F.when((F.col("_city") != "") & (F.col("_city") == F.col("_area")), 3)
             .when((F.col("_state") != "") & (F.col("_state") == F.col("_nstate")), 1).otherwise(0))
     role = F.when(F.array_contains(roles[F.col("category")], F.col("role")), 2).otherwise(0)
