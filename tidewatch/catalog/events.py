@@ -248,6 +248,22 @@ def correlations(t):
         "type", "n", "pearson_log", "spearman")
 
 
+# The two-sided tails as in ``trend_directions``, of both coefficients.
+@query("correlation_tests", f"""WITH {INR_SQL},
+b AS (SELECT type, CAST(total_affected AS DOUBLE) AS x, damages_inr AS y FROM inr WHERE total_affected > 0 AND damages_inr > 0),
+r AS (SELECT *, rank() OVER (PARTITION BY type ORDER BY x) + (count(*) OVER (PARTITION BY type, x) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY type ORDER BY y) + (count(*) OVER (PARTITION BY type, y) - 1) / 2 AS ry FROM b),
+c AS (SELECT type, count(*) AS n, unnest([{{'kind': 'pearson', 'r': corr(log10(x), log10(y))}}, {{'kind': 'spearman', 'r': corr(rx, ry)}}]) AS c FROM r GROUP BY type),
+g AS (SELECT k, CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS weight FROM range(4001) g(k))
+SELECT type, c.kind AS kind, round((pi() / 2 - asin(abs(c.r))) * sum(weight * pow(abs(cos(asin(abs(c.r)) + (pi() / 2 - asin(abs(c.r))) * k / 4000)), n - 3))
+  / (pi() / 2 * sum(weight * pow(abs(cos(pi() / 2 * k / 4000)), n - 3))), 5) AS p FROM c, g GROUP BY type, c.kind, c.r, n""")
+def correlation_tests(t):
+    out = stats.correlations(records_inr(t), ["type"], "total_affected", "damages_inr")
+    tests = F.explode(F.array(F.struct(F.lit("pearson").alias("kind"), F.col("pearson_p").alias("p")),
+                              F.struct(F.lit("spearman").alias("kind"), F.col("spearman_p").alias("p"))))
+    return out.select("type", tests.alias("x")).select("type", "x.kind", F.round("x.p", 5).alias("p"))
+
+
 @query("average_ranks", """SELECT DISTINCT l_returnflag, l_extendedprice, rank() OVER (PARTITION BY l_returnflag
   ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS rank FROM {lineitem}""")
 def average_ranks(t):
@@ -320,3 +336,22 @@ FROM raw r, robust t""")
 def quake_season_verdict(t):
     out = stats.quake_seasonality(t.quakes)
     return out.withColumns({"p_value": F.round("p_value", 6), "robust_p": F.round("robust_p", 6)})
+
+
+@query("storm_season_verdict", f"""WITH grid AS (SELECT k, CASE WHEN k = 0 OR k = 20000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS weight FROM range(20001) g(k)),
+{season_sql("raw", "{storms}")}
+SELECT peak_month, season_start, round(chi2, 2) AS chi2, round(p, 6) AS p_value, p < 0.05 AS seasonal, total FROM raw""")
+def storm_season_verdict(t):
+    out = stats.seasonality(t.storms, "month").select("peak_month", "season_start", "chi2", "p_value", "seasonal", "total")
+    return out.withColumn("p_value", F.round("p_value", 6))
+
+
+@query("inventory_labels", """SELECT CAST(start_date AS STRING) AS date, coalesce(deaths, 0) AS rank, CASE WHEN o % 3 = 0 THEN 'India' ELSE district END
+  || ' (IFI ' || o || ')' AS label FROM (SELECT *, CAST(substr(uei, 2) AS BIGINT) AS o FROM {flood_events}) q""")
+def inventory_labels(t):
+    """Events of a national inventory, where a blank state reads as the country."""
+    number = F.substr("uei", F.lit(2))
+    rows = t.flood_events.select(
+        F.concat(F.lit("UEI-IMD-FL-"), number).alias("uei"), F.when(number.cast("long") % 3 == 0, "").otherwise(F.col("district")).alias("state"),
+        F.col("start_date").alias("start"), "deaths")
+    return op.inventory_events(rows).withColumn("date", F.col("date").cast("string"))

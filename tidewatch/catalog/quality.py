@@ -53,6 +53,40 @@ def responder_violations(t):
     return out.select("id", F.array_join("violations", ",").alias("violations"))
 
 
+@query("plan_violations", """SELECT plan_id, concat_ws(',', CASE WHEN length(area) > 6 THEN NULL END, CASE WHEN k % 3 = 0 THEN 'hazard' END, CASE WHEN k % 4 = 1 THEN 'needs' END,
+  'source') AS violations FROM (SELECT plan_id, area, CAST(substr(plan_id, 5) AS INT) AS k FROM {plan_needs} GROUP BY ALL) q""")
+def plan_violations(t):
+    """Plans with an unknown hazard or too many needs; none says where it comes from."""
+    k = F.substr("plan_id", F.lit(5)).cast("int")
+    plans = t.plan_needs.groupBy("plan_id", "area", "state").agg(F.collect_list("need_id").alias("few"))
+    plans = plans.withColumns({"hazard": F.when(k % 3 == 0, "drought").otherwise("flood"), "level": F.lit("high"), "population": F.lit(None).cast("long"),
+                               "needs": F.when(k % 4 == 1, F.sequence(F.lit(1), F.lit(11)).cast("array<string>")).otherwise(F.col("few"))}).drop("few")
+    out = op.violations(plans, op.PLAN_RULES, whole=True)
+    return out.select("plan_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("task_violations", """SELECT task_id, concat_ws(',', 'need', 'from', 'to', 'details', CASE WHEN number % 10 = 0 THEN 'assignee_id' END, 'priority',
+  CASE WHEN number % 7 = 0 THEN 'status' END, 'last_note', 'assignee_name', 'proof_count') AS violations FROM {tasks}""")
+def task_violations(t):
+    """Tasks without most of their fields, some without a person or with an unknown status."""
+    rows = t.tasks.withColumns({
+        "assignee_id": F.when(F.col("number") % 10 != 0, F.col("assignee_id")),
+        "status": F.when(F.col("number") % 7 == 0, "lost").otherwise(F.col("status"))})
+    out = op.violations(rows, op.TASK_RULES, whole=True)
+    return out.select("task_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("required_columns", "SELECT n_name AS name, n_regionkey AS region FROM {nation}")
+def required_columns(t):
+    """A table that has what is needed passes as it is; one that lacks a column is refused."""
+    try:
+        op.require_columns(t.nation, ["n_name", "population"])
+    except ValueError as refused:
+        assert "population" in str(refused)
+        return op.require_columns(t.nation, ["n_name", "n_regionkey"]).select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    raise AssertionError("a missing column went unseen")
+
+
 @query("quarantined_updates", "SELECT update_id, 'status' AS reasons FROM {updates} WHERE status = 'lost'")
 def quarantined_updates(t):
     _, bad = op.split_valid(t.updates, op.UPDATE_RULES)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import query
 from tidewatch.catalog.impact import rounded
 from tidewatch.catalog.spatial import QUAKE_SQL, STORM_SQL
+from tidewatch.functions import scales, text
 from tidewatch.operators import spatial
 from tidewatch.plans import outlook, risk
 
@@ -525,3 +526,47 @@ def place_with_fallback(t):
         "state", F.lit(3.0).alias("lat"), F.lit(4.0).alias("lon"))
     asked = t.listed_names.select("event", F.col("states").alias("state"), F.col("name").alias("district"))
     return outlook.place_with_fallback(asked, spots, centres).select("event", "found_by")
+
+
+# ── words and seasons ───────────────────────────────────────────────────────
+
+
+@query("season_names", """SELECT d AS day, CASE WHEN m <= 2 THEN 'Winter' WHEN m <= 5 THEN 'Pre-monsoon (summer)' WHEN m <= 9 THEN 'Southwest monsoon'
+  ELSE 'Post-monsoon (northeast monsoon)' END AS season, array_to_string(list_sort(list_distinct([CAST(month(day + CAST(i AS INT)) AS VARCHAR) FOR i IN range(45)])), ',') AS months
+FROM (SELECT DISTINCT CAST(day AS STRING) AS d, day, month(day) AS m FROM {daily_sparse}) q""")
+def season_names(t):
+    days = t.daily_sparse.select("day").distinct()
+    months = F.array_join(F.array_sort(outlook.window_months(F.col("day"), 45).cast("array<string>")), ",")
+    return days.select(F.col("day").cast("string").alias("day"), scales.season_name(F.month("day")).alias("season"), months.alias("months"))
+
+
+@query("seasonal_factors", f"""WITH {FLOOD_SQL}, s AS (SELECT b.region, m.month, round_even(coalesce(count(f.month) / nullif(any_value(n.n), 0), 0), 4) AS share
+  FROM {{region_boxes}} b CROSS JOIN (SELECT CAST(range AS BIGINT) AS month FROM range(1, 13)) m LEFT JOIN fl f ON f.region = b.region AND f.month = m.month
+  LEFT JOIN (SELECT region, count(*) AS n FROM fl GROUP BY region) n ON n.region = b.region GROUP BY b.region, m.month)
+SELECT region, month, round(CASE WHEN max(share) OVER (PARTITION BY region) > 0 THEN share / max(share) OVER (PARTITION BY region) ELSE 0 END, 6) AS factor FROM s""")
+def seasonal_factors(t):
+    """A month's share of floods beside the busiest month's, 0 where none was recorded."""
+    shares = outlook.monthly_share(flood_rows(t), t.region_boxes)
+    rows = shares.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    factor = scales.seasonal_factor(F.col("monthly_share"), F.col("month"))
+    return rounded(rows.select("region", F.col("month").cast("long").alias("month"), factor.alias("factor")))
+
+
+@query("strength_words", """SELECT n_nationkey AS k, CASE WHEN r IS NULL THEN 'unmeasured' WHEN abs(r) < 0.1 THEN 'no' WHEN abs(r) < 0.3 THEN 'a weak' WHEN abs(r) < 0.6 THEN 'a moderate'
+  ELSE 'a strong' END AS strength, CASE WHEN n_nationkey % 4 = 0 THEN 'too few years to judge' ELSE 'increasing' END AS trend, n_nationkey % 5 <> 0 AS known
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 6 <> 5 THEN (n_nationkey - 12) / 14.0 END AS r FROM {nation}) q""")
+def strength_words(t):
+    key = F.col("n_nationkey")
+    r = F.when(key % 6 != 5, (key - 12) / 14.0)
+    direction = F.when(key % 8 == 0, "insufficient").when(key % 4 != 0, "increasing")
+    odd = F.when(key % 5 == 0, F.lit(float("inf"))).otherwise(key.cast("double"))
+    return t.nation.select(key.alias("k"), scales.correlation_strength(r).alias("strength"), scales.trend_words(direction).alias("trend"),
+                           text.finite(odd).isNotNull().alias("known"))
+
+
+@query("daily_soil", """SELECT user_id % 20 AS cell, CAST(CAST(ts AS DATE) AS STRING) AS date, round(avg(value), 6) AS soil FROM {events}
+WHERE CAST(ts AS DATE) >= DATE '2024-01-15' GROUP BY ALL""")
+def daily_soil(t):
+    hourly = t.events.select((F.col("user_id") % 20).alias("cell"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("soil"))
+    out = outlook.daily_soil(hourly, "cell", F.lit("2024-01-15").cast("date"))
+    return rounded(out.withColumn("date", F.col("date").cast("string")))

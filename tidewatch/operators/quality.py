@@ -14,27 +14,31 @@ HAZARDS = ["flood", "cyclone", "earthquake"]
 PRIORITIES = ["Critical", "High", "Medium"]
 STATUSES = ["assigned", "accepted", "collected", "in_transit", "delivered"]
 
-# Rules as (field, SQL that holds for a good value); a field that is absent from a table is not checked.
+# Rules as (field, SQL that holds for a good value). A null breaks a rule unless it says otherwise.
 RESPONDER_RULES = [
     ("name", "name IS NOT NULL AND length(name) BETWEEN 1 AND 80"), ("role", f"role IN {tuple(ROLES)}"),
     ("city", "length(city) <= 80"), ("state", "length(state) <= 80"), ("availability", f"availability IN {tuple(AVAILABILITY)}"),
     ("capacity", "capacity BETWEEN 0 AND 100000"), ("skills", "length(skills) <= 200"), ("phone", "length(phone) <= 20"),
-    ("photo", "length(photo) <= 200000"),
+    ("photo", "length(photo) <= 200000"), ("created_at", "length(created_at) <= 40"), ("updated_at", "length(updated_at) <= 40"),
 ]
 PLAN_RULES = [
     ("area", "length(area) <= 120"), ("state", "length(state) <= 120"), ("hazard", f"hazard IN {tuple(HAZARDS)}"),
-    ("level", "length(level) <= 20"), ("needs", "size(needs) <= 10"), ("source", "source IN ('gemini', 'fallback')"),
+    ("level", "length(level) <= 20"), ("population", "population IS NULL OR population = population"), ("needs", "size(needs) <= 10"), ("source", "source IN ('gemini', 'fallback')"),
 ]
 TASK_RULES = [
     ("number", "number IS NOT NULL"), ("need", "length(need) <= 120"), ("from", "length(`from`) <= 120"),
     ("to", "length(`to`) <= 120"), ("details", "length(details) <= 300"), ("assignee_id", "length(assignee_id) <= 64"),
     ("priority", f"priority IN {tuple(PRIORITIES)}"), ("status", f"status IN {tuple(STATUSES)}"),
-    ("last_note", "length(last_note) <= 500"),
+    ("last_note", "length(last_note) <= 500"), ("deadline", "length(CAST(deadline AS STRING)) <= 40"),
+    ("assignee_name", "length(assignee_name) <= 80"), ("proof_count", "proof_count IS NOT NULL"),
 ]
 UPDATE_RULES = [
     ("status", f"status IN {tuple(STATUSES[1:])}"), ("note", "length(note) <= 500"), ("photo", "length(photo) <= 400000"),
-    ("by", "length(`by`) <= 80"),
+    ("by", "length(`by`) <= 80"), ("at", "length(CAST(`at` AS STRING)) <= 40"), ("lat", "lat IS NULL OR lat = lat"),
+    ("lon", "lon IS NULL OR lon = lon"),
 ]
+#: Fields that a record may lack.
+OPTIONAL = ["population", "lat", "lon"]
 
 
 def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
@@ -90,11 +94,17 @@ def missing_months(panel: DataFrame, first: int, last: int) -> DataFrame:
     return grid.join(panel.select("district", "year", "month"), ["district", "year", "month"], "left_anti")
 
 
-def violations(df: DataFrame, rules: list[tuple[str, str]], allowed: list[str] | None = None) -> DataFrame:
-    """Rows with the names of the fields that break their rule; a null breaks it too."""
+def violations(df: DataFrame, rules: list[tuple[str, str]], allowed: list[str] | None = None,
+               whole: bool = False) -> DataFrame:
+    """Rows with the names of the fields that break their rule; a null breaks it too.
+
+    With ``whole`` the table must have every field of the rules but the optional ones, and one that is
+    absent is a violation of each row; without it absent fields are not checked.
+    """
     if allowed is not None and set(df.columns) - set(allowed):
         raise ValueError(f"fields not allowed: {', '.join(sorted(set(df.columns) - set(allowed)))}")
-    broken = [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(field)) for field, rule in rules if field in df.columns]
+    broken = [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(field)) if field in df.columns else F.lit(field)
+              for field, rule in rules if field in df.columns or (whole and field not in OPTIONAL)]
     return df.withColumn("violations", F.array_compact(F.array(*broken)))
 
 
