@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialise
+from tidewatch.session import materialise, remove
 
-__all__ = ["bytes_of", "crc_mod", "materialise", "registered", "row_key", "shuffle_width", "table", "word_runs"]
+__all__ = ["bytes_of", "crc_mod", "forget", "materialise", "registered", "row_key", "shuffle_width", "table", "word_runs"]
 
 #: Queries of this package by name, and their reference SQL.
 QUERIES: dict = {}
@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete working tables of ``materialise`` that nothing reads any more, which is when all that came of them is written."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of a value's text, modulo ``modulus``; null for null."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
