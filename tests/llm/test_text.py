@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -185,7 +186,9 @@ ODD_TEXTS = ["Hello  world \n\ttest ñandú ☃", " a  b", "a▁b", "\n\n x", "
              "x" * 300 + "ñ" * 80, "Unbelievable internationalization", "the cat.\nThe dog, and (so) on..."]
 
 
-def test_pieces_equal_the_library(spark):
+@pytest.mark.parametrize("common", [65_536, 4])
+def test_pieces_equal_the_library(spark, monkeypatch, common):
+    monkeypatch.setattr(pieces, "COMMON", common)
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = ODD_TEXTS + prose(3, EN + DE, 20)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tidewatch.llm.common import bytes_of, shuffle_width
+from tidewatch.llm.common import bytes_of, materialise, shuffle_width
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -32,6 +32,8 @@ NORMAL, BYTE = 1, 6
 LONGEST = 62
 #: Distinct words that a task remembers at a time.
 HELD = 400_000
+#: Parts of words whose ids every task holds at most; input tasks whose texts make a block.
+COMMON, TASKS_OF_BLOCK = 65_536, 2
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -293,8 +295,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     With ``decoded`` also ``text``, which the ids give back.
 
-    A block is what one task reads. The ids of each distinct part of a word are sent to the blocks
-    that hold it, where texts, which travel compressed, are put together from them. Null and
+    A block is what two tasks read. The ids of each distinct part of a word are sent to the blocks
+    that hold it, where texts, which travel compressed, are put together from them; the ids of the
+    parts that most blocks hold, ``COMMON`` at most, go to every task at once instead. Null and
     empty texts have no ids. Whole texts are encoded, words beyond ``LONGEST`` characters by the
     same rule outside the lattice. Repeated rows and null ids are answered row by row; an
     empty table gives an empty result; other columns are not read.
@@ -303,8 +306,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     model = load(path)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                       F.spark_partition_id().alias("block"))
-    known = folded(edges(_distinct_words(rows, path), model, 4 * shuffle_width(docs.sparkSession)), model).select(F.explode("blocks").alias("block"), "word", "ids")
+                       F.floor(F.spark_partition_id() / TASKS_OF_BLOCK).cast("int").alias("block"))
+    blocks = rows.rdd.getNumPartitions() // TASKS_OF_BLOCK + 1
+    found = materialise(folded(edges(_distinct_words(rows, path), model, 4 * shuffle_width(docs.sparkSession)), model), "pieces")
+    uses = found.groupBy(F.size("blocks").alias("uses")).agg(F.count("*").alias("words")).orderBy(F.desc("uses")).collect()  # as many as blocks
+    most, many = 0, 0
+    for row in uses:
+        many += row["words"]
+        if many > COMMON:
+            most = row["uses"]  # parts that more blocks than this hold are common
+            break
+    common = {r["word"]: np.array(r["ids"], np.int32).tobytes()
+              for r in found.where(F.size("blocks") > most).select("word", "ids").toLocalIterator()}
+    known = found.where(F.size("blocks") <= most).select(F.explode("blocks").alias("block"), "word", "ids")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -318,7 +332,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                         F.lit(None).cast("binary").alias("packed")).unionByName(
         packed.select("block", F.lit(1).alias("part"), F.lit(None).cast("string").alias("word"),
                       F.lit(None).cast("array<int>").alias("ids"), "doc_id", "packed"))
-    dealt = both.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block", "part")
+    dealt = both.repartitionByRange(blocks, "block").sortWithinPartitions("block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = load(path), zstandard.ZstdDecompressor()
@@ -341,7 +355,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     if ids is None:
                         if len(whole) >= HELD:
                             whole.clear()
-                        ids = whole[word] = b"".join([seen.get(p) or np.array(own.ids(p), np.int32).tobytes()
+                        ids = whole[word] = b"".join([seen.get(p) or common.get(p) or np.array(own.ids(p), np.int32).tobytes()
                                                       for p in own.parts(word)])
                     parts.append(ids)
                 doc_rows.append(k)
