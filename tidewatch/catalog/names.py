@@ -152,7 +152,27 @@ def event_runs(t):
     return dates.mark_runs(dates.number_events(t.inventory)).select("uei", "run")
 
 
-@query("resolve_dates")
+@query("resolve_dates", f"""WITH RECURSIVE {READ_SQL},
+ev AS (SELECT *, regexp_extract(uei, '^(.*)-\\d+-\\d+$', 1) AS book FROM rd),
+nw AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY book, yr ORDER BY seq)),
+rn AS (SELECT *, sum(new) OVER (PARTITION BY book, yr ORDER BY seq) AS run,
+  list_filter([{{'day': df, 'cost': 0}}, {{'day': CASE WHEN mf IS DISTINCT FROM df THEN mf END, 'cost': 1}}], lambda c: c.day IS NOT NULL) AS choices FROM nw),
+dated AS (SELECT *, row_number() OVER (PARTITION BY book, yr, run ORDER BY seq, uei) AS pos FROM rn WHERE len(choices) > 0),
+walk AS (SELECT book, yr, run, CAST(0 AS BIGINT) AS pos, [{{'day': make_date(yr, 1, 1), 'total': 0, 'path': CAST([] AS STRUCT(uei VARCHAR, day DATE)[])}}] AS ahead
+    FROM dated WHERE pos = 1
+  UNION ALL SELECT book, yr, run, pos, [{{'day': o.day, 'total': o.best.cost, 'path': list_append(ahead[o.best.i].path, {{'uei': uei, 'day': o.day}})}} FOR o IN steps]
+  FROM (SELECT w.book, w.yr, w.run, d.pos, d.uei, w.ahead, [{{'day': c.day, 'best': list_sort([{{'cost': w.ahead[i].total
+      + CASE WHEN c.day < w.ahead[i].day THEN 10 ELSE 0 END + c.cost, 'i': i}} FOR i IN range(1, len(w.ahead) + 1)])[1]}} FOR c IN d.choices] AS steps
+    FROM walk w JOIN dated d ON d.book = w.book AND d.yr = w.yr AND d.run = w.run AND d.pos = w.pos + 1) q),
+ends AS (SELECT *, row_number() OVER (PARTITION BY book, yr, run ORDER BY pos DESC) AS back FROM walk),
+picked AS (SELECT unnest(ahead[list_sort([{{'t': ahead[i].total, 'i': i}} FOR i IN range(1, len(ahead) + 1)])[1].i].path) AS p FROM ends WHERE back = 1),
+late AS (SELECT ev.uei, p.p.day AS day, duration, list_sort(list_distinct(list_filter([
+    try_strptime(regexp_extract(end_text, '^\\s*(\\d\\d?-\\d\\d?-\\d\\d\\d\\d)', 1), '%d-%m-%Y')::DATE,
+    try_strptime(regexp_extract(end_text, '^\\s*(\\d\\d?-\\d\\d?-\\d\\d\\d\\d)', 1), '%m-%d-%Y')::DATE], lambda d: d >= p.p.day))) AS found
+  FROM ev LEFT JOIN picked p ON p.p.uei = ev.uei),
+opt AS (SELECT *, CASE WHEN len(found) = 0 THEN [day] ELSE found END AS options FROM late)
+SELECT uei, CAST(day AS VARCHAR) AS start, CASE WHEN day IS NOT NULL THEN CAST(CASE WHEN coalesce(duration, 0) <> 0
+  THEN list_sort([{{'gap': abs((d - day) + 1 - duration), 'd': d}} FOR d IN options])[1].d ELSE options[1] END AS VARCHAR) END AS "end" FROM opt""")
 def resolve_dates(t):
     out = dates.resolve_dates(t.inventory).select("uei", "start", "end")
     return out.withColumns({"start": F.col("start").cast("string"), "end": F.col("end").cast("string")})

@@ -443,9 +443,34 @@ def outlook_base(t):
     return outlook.baseline(regions, flood_rows(t), flood_rows(t), quakes, low, [6, 7], last)
 
 
-@query("outlook_baseline")
+@query("outlook_baseline", EXPOSED_SQL + f""", {FLOOD_SQL}, qe AS (SELECT 'NATION_' || (month + year % 13) AS region, year, month FROM {{quakes}}),
+ev AS (SELECT 'flood' AS hazard, region, year, month, 2023 AS last FROM fl UNION ALL SELECT 'cyclone', region, year, month, 2023 FROM fl
+  UNION ALL SELECT 'earthquake', region, year, month, 2001 FROM qe),
+base AS (SELECT region, population, hazard FROM {{region_boxes}}, (VALUES ('flood'), ('cyclone'), ('earthquake')) h(hazard)),
+cnt AS (SELECT hazard, region, count(*) AS n FROM ev GROUP BY hazard, region),
+sh AS (SELECT base.hazard, base.region, mm.month, round_even(coalesce(count(ev.month) / nullif(any_value(cnt.n), 0), 0), 4) AS share
+  FROM base CROSS JOIN (SELECT unnest(range(1, 13)) AS month) mm LEFT JOIN cnt ON cnt.hazard = base.hazard AND cnt.region = base.region
+  LEFT JOIN ev ON ev.hazard = base.hazard AND ev.region = base.region AND ev.month = mm.month GROUP BY base.hazard, base.region, mm.month),
+shl AS (SELECT hazard, region, string_agg(printf('%.4f', share), ',' ORDER BY month) AS monthly_share FROM sh GROUP BY hazard, region),
+hi AS (SELECT base.hazard, base.region, count(e.year) AS total, count(CASE WHEN e.year < e.last - 4 THEN 1 END) AS earlier_5,
+    count(CASE WHEN e.year >= e.last - 4 THEN 1 END) AS later_5 FROM base
+  LEFT JOIN ev e ON e.hazard = base.hazard AND e.region = base.region AND e.month IN (6, 7) AND e.year BETWEEN e.last - 9 AND e.last
+  GROUP BY base.hazard, base.region),
+fy AS (SELECT region, count(DISTINCT year) AS y FROM fl GROUP BY region),
+qm AS (SELECT m.region, round_even(m6 / 76, 4) AS rate, (SELECT max(magnitude) FROM hit WHERE hit.region = m.region) AS top FROM m),
+fr AS (SELECT b.region, b.hazard, CASE hazard WHEN 'flood' THEN least(coalesce(fy.y, 0) / (SELECT max(y) FROM fy), 1)
+    WHEN 'cyclone' THEN least((qm.rate / 2 + 0.1) / (SELECT max(rate) / 2 + 0.1 FROM qm), 1) ELSE least(qm.rate / (SELECT max(rate) FROM qm), 1) END AS frequency,
+  CASE hazard WHEN 'flood' THEN least((population / 100000 % 100) / 50, 1) WHEN 'cyclone' THEN 0.3
+    ELSE coalesce(least(greatest((qm.top - 6) / 2.5, 0), 1), 0) END AS geography
+  FROM base b LEFT JOIN fy USING (region) LEFT JOIN qm USING (region))
+SELECT region, hazard, round_even(frequency, 4) AS frequency, round_even(geography, 4) AS geography,
+  CASE WHEN hazard <> 'earthquake' THEN monthly_share END AS monthly_share, hazard <> 'earthquake' AS seasonal, total, earlier_5, later_5,
+  CASE WHEN later_5 > earlier_5 THEN 'up' WHEN later_5 < earlier_5 THEN 'down' ELSE 'flat' END AS trend
+FROM fr JOIN shl USING (region, hazard) JOIN hi USING (region, hazard)""")
 def outlook_baseline(t):
-    return outlook_base(t)
+    shares = F.transform("monthly_share", lambda x: F.format_string("%.4f", x))
+    text = F.when(F.col("monthly_share").isNotNull(), F.array_join(shares, ","))
+    return outlook_base(t).withColumn("monthly_share", text)
 
 
 def forecast(t):

@@ -390,6 +390,6 @@ def with_views(sql: str) -> str:
     if not done:
         return body
     ctes = ",\n".join(f"{name} AS ({text.strip()})" for name, text in done.items())
-    if re.match(r"(?i)with\s", body):
-        return f"WITH {ctes},\n{body[5:]}"
+    if start := re.match(r"(?i)with(\s+recursive)?\s", body):
+        return f"WITH{start[1] or ''} {ctes},\n{body[start.end():]}"
     return f"WITH {ctes}\n{body}"
