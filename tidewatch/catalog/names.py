@@ -196,3 +196,26 @@ def shortened_lists(t):
     both = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     lists = both.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("l"))
     return lists.select("c_mktsegment", fn.shorten_list(F.col("l")).alias("short"))
+
+
+LISTED_SQL = """SELECT c_custkey AS event, CASE WHEN c_custkey % 5 <> 0 THEN 'Town ' || (c_custkey % 7) || ', Village ' || (c_custkey % 3) END AS listed,
+  CASE WHEN c_custkey % 4 <> 0 THEN 'State ' || (c_custkey % 6) END AS states, CASE WHEN c_custkey % 9 <> 0 THEN DATE '2001-01-01' END AS start FROM {customer}"""
+
+
+def listed_events(t):
+    key = F.col("c_custkey")
+    number = lambda n: (key % n).cast("string")
+    return t.customer.select(
+        key.alias("event"), F.when(key % 5 != 0, F.concat(F.lit("Town "), number(7), F.lit(", Village "), number(3))).alias("listed"),
+        F.when(key % 4 != 0, F.concat(F.lit("State "), number(6))).alias("states"), F.when(key % 9 != 0, F.lit("2001-01-01").cast("date")).alias("start"))
+
+
+@query("explode_listed", f"""SELECT event, 'ifi' AS source, coalesce(states, '') AS states, unnest(string_split(listed, ', ')) AS name FROM ({LISTED_SQL}) e
+WHERE listed IS NOT NULL""")
+def explode_listed(t):
+    return op.explode_listed(listed_events(t), "event", "listed", "states")
+
+
+@query("listing_counts", f"""SELECT count(*) AS events, count(*) - count(listed) AS unlisted, count(*) - count(start) AS undated FROM ({LISTED_SQL}) e""")
+def listing_counts(t):
+    return op.listing_counts(listed_events(t), "listed", "start")

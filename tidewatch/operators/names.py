@@ -203,6 +203,13 @@ def explode_listed(events: DataFrame, key: str, listed: str, states: str, source
                          F.explode(split_districts(F.col(listed))).alias("name"))
 
 
+def listing_counts(events: DataFrame, listed: str, start: str) -> DataFrame:
+    """How many events there are, how many name no place and how many have no start date, as one row."""
+    return events.agg(F.count("*").alias("events"),
+                      F.count_if(F.size(F.coalesce(split_districts(F.col(listed)), F.array().cast("array<string>"))) == 0).alias("unlisted"),
+                      F.count_if(F.col(start).isNull()).alias("undated"))
+
+
 def match_events(listed: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     """One line per event and matched place, a place counted once per event."""
     return listed.join(matches, KEY).select(key, F.explode("targets").alias("t")).select(
