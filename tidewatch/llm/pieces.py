@@ -31,9 +31,9 @@ NORMAL, BYTE = 1, 6
 #: A word's boundaries are the bits of a long; longer words are folded by the same rule in Python.
 LONGEST = 62
 #: Distinct words that a task remembers at a time.
-HELD = 400_000
-#: Parts of words whose ids every task holds at most; input tasks whose texts make a block.
-COMMON, TASKS_OF_BLOCK = 65_536, 2
+HELD = 300_000
+#: Parts of words whose ids every task holds at most.
+COMMON = 65_536
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -172,12 +172,39 @@ def words_of(text: str) -> list[str]:
     return out[:-1]
 
 
-def decode_ids(model: Model, ids: list[int]) -> str:
-    """The text of some ids, without the dummy prefix. Bytes that are not UTF-8 become U+FFFD."""
-    text = b"".join(map(model.surface.__getitem__, ids)).decode(errors="replace")
+def as_text(surface: bytes) -> str:
+    """What pieces stand for, without the dummy prefix. Bytes that are not UTF-8 become U+FFFD."""
+    text = surface.decode(errors="replace")
     return text[1:] if text.startswith(" ") else text
 
 
+def decode_ids(model: Model, ids: list[int]) -> str:
+    """The text of some ids."""
+    return as_text(b"".join(map(model.surface.__getitem__, ids)))
+
+
+class Words(dict):
+    """The ids of words, as bytes, put together once and remembered.
+
+    ``seen`` and ``common`` hold the ids of the parts of words. At most ``HELD`` words are remembered.
+    """
+
+    def __init__(self, model: Model, common: dict[str, bytes]) -> None:
+        self.model, self.common = model, common
+        self.seen: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= HELD:
+            self.clear()
+        model = self.model
+        # what is cut is never itself a part, so a word that is there needs no cutting
+        ids = self.seen.get(word) or self.common.get(word)
+        if ids is None:
+            ids = b"".join([self.seen.get(p) or self.common.get(p) or np.array(model.ids(p), np.int32).tobytes() for p in model.parts(word)])
+        self[word] = ids
+        return ids
+
+
 #: A BPE edge is one long that sorts as pairs merge: rank of the score, start, end, whether it comes late, and id.
 END_BITS, ID_BITS = 6, 21
 LATE = 1 << ID_BITS
@@ -295,7 +322,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     With ``decoded`` also ``text``, which the ids give back.
 
-    A block is what two tasks read. The ids of each distinct part of a word are sent to the blocks
+    A block is what one task reads. The ids of each distinct part of a word are sent to the blocks
     that hold it, where texts, which travel compressed, are put together from them; the ids of the
     parts that most blocks hold, ``COMMON`` at most, go to every task at once instead. Null and
     empty texts have no ids. Whole texts are encoded, words beyond ``LONGEST`` characters by the
@@ -306,8 +333,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     model = load(path)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                       F.floor(F.spark_partition_id() / TASKS_OF_BLOCK).cast("int").alias("block"))
-    blocks = rows.rdd.getNumPartitions() // TASKS_OF_BLOCK + 1
+                       F.spark_partition_id().alias("block"))
+    blocks = max(rows.rdd.getNumPartitions(), 1)
     found = materialise(folded(edges(_distinct_words(rows, path), model, 4 * shuffle_width(docs.sparkSession)), model), "pieces")
     uses = found.groupBy(F.size("blocks").alias("uses")).agg(F.count("*").alias("words")).orderBy(F.desc("uses")).collect()  # as many as blocks
     most, many = 0, 0
@@ -336,8 +363,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = load(path), zstandard.ZstdDecompressor()
-        seen: dict[str, bytes] = {}  # parts of words
-        whole: dict[str, bytes] = {}
+        whole = Words(own, common)
         now = None
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -345,21 +371,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             doc_rows, out, size = [], [], 0
             for k in range(batch.num_rows):
                 if block[k] != now:
-                    now, seen, whole = block[k], {}, {}
+                    now = block[k]
+                    whole.clear()
+                    whole.seen.clear()
                 if part[k] == 0:
-                    seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy().tobytes()
+                    whole.seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy().tobytes()
                     continue
-                parts = []
-                for word in words_of(unpack.decompress(batch.column(5)[k].as_py()).decode()):
-                    ids = whole.get(word)
-                    if ids is None:
-                        if len(whole) >= HELD:
-                            whole.clear()
-                        ids = whole[word] = b"".join([seen.get(p) or common.get(p) or np.array(own.ids(p), np.int32).tobytes()
-                                                      for p in own.parts(word)])
-                    parts.append(ids)
+                text = unpack.decompress(batch.column(5)[k].as_py()).decode()
                 doc_rows.append(k)
-                out.append(np.frombuffer(b"".join(parts), np.int32))
+                out.append(np.frombuffer(b"".join(map(whole.__getitem__, words_of(text))), np.int32))
                 size += len(out[-1])
                 if size > 1 << 21:
                     yield made(own, batch, doc_rows, out)
