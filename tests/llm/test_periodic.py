@@ -77,6 +77,18 @@ def test_runs_of_few_words(words, times, least):
     assert periodic.periodic_runs(np.array(words, dtype=int), least, times) == plain_runs(words, least, times)
 
 
+def test_runs_of_long_periods_inside_frequent_words():
+    draw, several = random.Random(1), 0
+    for _ in range(150):
+        period, often, few = draw.choice([17, 20, 33, 40, 100]), draw.randint(3, 10), draw.choice([10, 40, 200])
+        some = lambda most: [draw.randrange(few) for _ in range(draw.randint(0, most))]  # noqa: B023, E731
+        unit = [draw.randrange(few) for _ in range(period)]
+        words = some(300) + (unit * (often + 1))[:period * often + draw.randrange(period)] + some(300)
+        assert periodic.periodic_runs(np.array(words)) == plain_runs(words, 24, 3)
+        several += often >= 6
+    assert several > 50
+
+
 def test_segments_split_until_stable():
     words = np.array([0, 1, 2] * 10 + [9] + [0, 1, 7, 8] * 2 + [9, 9])
     assert periodic.frequent_segments(words, 24, 3) == [(0, 30)]

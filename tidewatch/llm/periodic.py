@@ -96,7 +96,9 @@ def lag_scan(x: np.ndarray, least: int, times: int) -> list[Run]:
             high = int(at[k]) + _agreeing(x, int(at[k]), 1, q)
             open_ &= ~((lag == q) & (at >= low) & (at < max(high, int(at[k]) + 1)))
             length = high + q - low
-            if high > low and length >= max(least, times * q):
+            # a block that reaches beyond a run opens at multiples of its period, and spans that run again
+            again = any(q % period == 0 and start <= low and low + length <= start + n for start, n, period in found)
+            if high > low and length >= max(least, times * q) and not again:
                 found.append((low, length, q))
                 open_ &= ~((lag % q == 0) & (at >= low) & (at + block + lag <= low + length))
         first = last
