@@ -323,46 +323,48 @@ def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                     distance: int = 4) -> DataFrame:
-    """``(doc_id, text_hash, fp, fingerprint, component_id)`` for every row of ``docs``.
+    """``(doc_id, text_hash, fp, fingerprint, component_id, root)`` for every row of ``docs``.
 
     Fingerprints at ``distance`` or fewer differing bits are linked; ``component_id`` is the
     smallest id that links reach. Equal fingerprints collapse to one node before any join,
     so copies cost nothing. Null and empty texts have fingerprint zero and are linked like
     others. A null id keeps its row; it is never the smallest unless all of its component are
-    null, which leaves ``component_id`` null. Repeated rows repeat in the result. An empty
-    table gives an empty result. Other columns of ``docs`` are not read.
+    null, which leaves ``component_id`` null. ``root`` names the component where ids repeat or are
+    null. Repeated rows repeat in the result. An empty table gives an empty result. Other columns
+    of ``docs`` are not read.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = components(near_links(nodes, distance), "a", "b").select(F.col("node").alias("fp"), "root")
     linked = nodes.join(roots, "fp")
     reached = linked.groupBy("root").agg(F.min("low").alias("least"))
-    named = linked.join(reached, "root").select("fp", "least")
+    named = linked.join(reached, "root").select("fp", "least", "root")
     # written, so that the join below has two plain sides and a hot fingerprint can be split
-    classes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "classes")
+    classes = materialise(nodes.join(named, "fp", "left").select(
+        "fp", F.coalesce("least", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
     return marked.join(classes, "fp").select(
-        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                 distance: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
-    Of equal rows with that id, one stays; so does one of each text if texts differ under that
-    id. Rows with a null id stay if no row of their group has an id, one of each distinct row.
+    Of rows with that id, or of a group without any id, one of those whose text has the smallest
+    hash stays. A null id is never the smallest unless all of its group are null.
     """
     return smallest_of_each(docs, near_duplicates(docs, id_col, text_col, width, distance), id_col, text_col)
 
 
 def smallest_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``one_of_each`` keeps, of ``groups`` with ``doc_id``, ``text_hash`` and ``component_id``."""
-    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("copies")), "kept")
+    """The rows of ``docs`` that ``one_of_each`` keeps, of ``groups`` with ``doc_id``, ``text_hash``, ``component_id`` and ``root``."""
+    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "text_hash").agg(
+        F.count("*").alias("copies")).groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "copies"), "text_hash").alias("x"))
+    kept = materialise(least.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"), "x.copies"), "kept")
     hashed = F.xxhash64(F.col(text_col).cast("string"))
     same = docs[id_col].eqNullSafe(kept["__id"]) & (hashed == kept["__hash"])
     single = docs.join(kept.where("copies = 1"), same, "left_semi")
     if kept.where("copies > 1").isEmpty():
         return single
     several = docs.join(kept.where("copies > 1"), same, "left_semi")
-    one = several.where(F.col(id_col).isNotNull()).withColumn("__hash", hashed).dropDuplicates([id_col, "__hash"]).drop("__hash")
-    return single.union(one).union(several.where(F.col(id_col).isNull()).distinct())
+    return single.union(several.withColumn("__hash", hashed).dropDuplicates([id_col, "__hash"]).drop("__hash"))
