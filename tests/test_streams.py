@@ -48,6 +48,14 @@ def test_nothing_landed_yet(spark, tmp_path):
     assert rows.count() == 0 and rejects.count() == 0 and "file" in rows.columns
 
 
+def test_many_small_documents_are_one_batch(spark, tmp_path):
+    for k in range(150):
+        land(tmp_path / "in", f"{k}.json", json.dumps({"features": [quake(f"q{k}")]}))
+    home = tmp_path / "home"
+    rows, _ = feeds.feed_readings(feeds.landed_documents(spark, str(tmp_path / "in")), "usgs", "quakes", F.current_timestamp(), str(home))
+    assert rows.count() == 150 and len(list((home / "out").glob("batch=*"))) == 1
+
+
 def test_folder_names_the_hazard_code(spark, tmp_path):
     alert = {"geometry": {"coordinates": [1.0, 2.0]}, "properties": {
         "eventid": "7", "name": "Flood", "fromdate": "2024-01-01T00:00:00", "iscurrent": "true", "alertlevel": "Red"}}

@@ -221,7 +221,8 @@ def landed_feed(t, source):
     path = fresh_path(t.spark, f"landed-{source}")
     rows = rows.withColumn("code", F.coalesce("code", F.lit(""))) if "code" in rows.columns else rows
     keys = ["code"] if "code" in rows.columns else []
-    rows.write.partitionBy(*keys).option("maxRecordsPerFile", 1).text(path)
+    # tasks put their own files in place: the driver would move them one by one
+    rows.write.partitionBy(*keys).option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return feeds.feed_readings(feeds.landed_documents(t.spark, path), source, f"feed-{source}", live_catalog.now_ts())
 
 

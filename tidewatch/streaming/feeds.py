@@ -25,13 +25,15 @@ def landed(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", f
             .option("pathGlobFilter", pattern).parquet(path))
 
 
-def landed_documents(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+def landed_documents(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: int = 128 << 20) -> DataFrame:
     """Stream of landed documents: ``body``, the ``file`` it came in, when that landed, and the ``code`` of its folder.
 
     A file is one document, whatever its line breaks. ``code`` is what a folder ``code=...``
-    above the file names, and empty without one. Each micro-batch takes a bounded number of files.
+    above the file names, and empty without one. Each micro-batch takes a bounded number of bytes, or
+    of files if ``files_per_batch`` is given: documents are small, and a batch costs as much as many of them.
     """
-    texts = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True, recursiveFileLookup=True)
+    most = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    texts = spark.readStream.option(*most).text(path, wholetext=True, recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
     return texts.select(F.col("value").alias("body"), file.alias("file"), F.col("_metadata.file_modification_time").alias("landed_at"),
                         F.regexp_extract(file, "/code=([^/]+)/", 1).alias("code"))
