@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -204,6 +205,45 @@ def test_pieces_equal_the_library(spark, monkeypatch, common):
     assert pieces.encode(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_are_cut_where_no_piece_crosses():
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t or "" for t in ODD_TEXTS] + [" ", "\n", "  a \n\n b▁▁", "", "\n\n ß𝔸🙂e", "x" * 70, "q\x00q z"] + prose(5, EN + DE, 20)
+    parts, bounds = pieces.cut(model, texts)
+    assert bounds[0] == 0 and bounds[-1] == len(parts)
+    for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        want = []
+        for word in pieces.words_of(text):
+            cuts = [0, *(k for k in range(1, len(word)) if (word[k - 1], word[k]) not in model.pairs), len(word)]
+            want += [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert parts[a:b].to_pylist() == want
+    assert [len(p) for p in pieces.cut(model, [])] == [0, 1]
+    # ids of parts that were not looked up before come by the rule of the fold, each distinct part once
+    known = pieces.Known(model, [pa.array([], pa.string())], [pa.array([], pieces.IDS)])
+    asked, rule = [], model.ids
+    model.ids = lambda word: asked.append(word) or rule(word)
+    try:
+        lists = known.encode(texts * 3)
+    finally:
+        del model.ids
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert lists.to_pylist() == [library.encode(t) for t in texts * 3]
+    assert sorted(asked) == sorted(set(parts.to_pylist()))
+    assert pieces.texts_of(model, lists) == [t.replace("▁", " ") for t in texts * 3]
+    # unfinished UTF-8, nulls, nothing, and a slice of lists
+    odd = pa.array([[model.byte_base + 0xC3], None, [], rule("▁a")], pieces.IDS)
+    assert pieces.texts_of(model, odd) == ["\ufffd", None, "", "a"]
+    assert pieces.texts_of(model, odd[1:]) == [None, "", "a"]
+
+
+def test_a_block_cut_in_many_turns_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "AT_ONCE", 40)
+    monkeypatch.setattr(pieces, "HELD", 5)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ODD_TEXTS + prose(6, EN + DE, 20)
+    docs = frame(spark, [(k, t, None) for k, t in enumerate(texts)]).repartition(3)
+    assert {r.doc_id: r.ids for r in pieces.encode(docs).collect()} == {k: library.encode(t or "") for k, t in enumerate(texts)}
+
+
 def test_both_folds_of_a_lattice(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     bpe = pieces.load(path)

@@ -11,13 +11,17 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +34,14 @@ UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
 #: A word's boundaries are the bits of a long; longer words are folded by the same rule in Python.
 LONGEST = 62
-#: Distinct words that a task remembers at a time.
+#: Distinct parts of words that a task remembers at a time.
 HELD = 300_000
+#: Characters of texts that are cut at a time; a longer text is cut alone.
+AT_ONCE = 1 << 21
 #: Parts of words whose ids every task holds at most.
 COMMON = 65_536
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
+IDS = pa.list_(pa.int32())
 
 
 @dataclass
@@ -53,14 +60,30 @@ class Model:
         self.pairs = {pair for p, _, _ in self.pieces for pair in zip(p, p[1:])}
         self.unknown = min(s for _, _, s in self.pieces) - 10.0
 
+    @cached_property
+    def numbered(self) -> np.ndarray:
+        """A number for every character by code point: 0 if it has no other beside it in any piece."""
+        chars = sorted({ord(c) for pair in self.pairs for c in pair})
+        number = np.zeros(sys.maxunicode + 1, np.int64)
+        number[chars] = np.arange(1, len(chars) + 1)
+        return number
+
+    @cached_property
+    def joined(self) -> np.ndarray:
+        """Whether two numbered characters stand side by side in a piece."""
+        size = int(self.numbered.max()) + 1
+        found = np.zeros((size, size), bool)
+        for a, b in self.pairs:
+            found[self.numbered[ord(a)], self.numbered[ord(b)]] = True
+        return found
+
+    @cached_property
+    def surfaces(self) -> pa.BinaryArray:
+        return pa.array(self.surface, pa.binary())
+
     def fallback(self, char: str) -> list[int]:
         return [self.byte_base + b for b in char.encode()]
 
-    def parts(self, word: str) -> list[str]:
-        """``word`` cut between characters that no piece has side by side."""
-        cuts = [k for k, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.pairs]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
-
     def ids(self, word: str) -> list[int]:
         """The ids of one word, by the rule of the fold."""
         return self._merged(word) if self.kind == BPE else self._viterbi(word)
@@ -172,37 +195,55 @@ def words_of(text: str) -> list[str]:
     return out[:-1]
 
 
+def cut(model: Model, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The parts of the words of some texts, one after the other, and how many come before each text and in all.
+
+    No piece crosses words, so what no piece has side by side also parts words from each other.
+    """
+    whole = "".join([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+    begins = np.cumsum([0] + [len(t) + 1 if t else 0 for t in texts])
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    number = model.numbered[codes]
+    apart = np.ones(len(codes) + 1, bool)
+    apart[1:-1] = ~model.joined.ravel()[number[:-1] * len(model.joined) + number[1:]]
+    apart[begins] = True
+    starts = np.flatnonzero(apart)  # and the end
+    wide = (codes > 0x7F).view(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF)  # bytes beyond the first
+    offsets = (starts + np.append(0, np.cumsum(wide, dtype=np.int32))[starts]).astype(np.int32)
+    parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+    return parts, np.searchsorted(starts, begins)
+
+
 def as_text(surface: bytes) -> str:
     """What pieces stand for, without the dummy prefix. Bytes that are not UTF-8 become U+FFFD."""
     text = surface.decode(errors="replace")
     return text[1:] if text.startswith(" ") else text
 
 
-def decode_ids(model: Model, ids: list[int]) -> str:
-    """The text of some ids."""
-    return as_text(b"".join(map(model.surface.__getitem__, ids)))
-
+def texts_of(model: Model, lists: pa.ListArray) -> list[str | None]:
+    """The text of each list of ids; null for null."""
+    surface = pa.ListArray.from_arrays(lists.offsets, model.surfaces.take(lists.values))
+    whole = bytes_of(pc.binary_join(surface, b""))
+    return [as_text(x) if there else None for x, there in zip(whole, lists.is_valid().to_pylist(), strict=True)]
 
-class Words(dict):
-    """The ids of words, as bytes, put together once and remembered.
 
-    ``seen`` and ``common`` hold the ids of the parts of words. At most ``HELD`` words are remembered.
-    """
+class Known:
+    """The ids of the parts of words: those at hand, others put together by the rule of the fold."""
 
-    def __init__(self, model: Model, common: dict[str, bytes]) -> None:
-        self.model, self.common = model, common
-        self.seen: dict[str, bytes] = {}
+    def __init__(self, model: Model, words: list[pa.Array], ids: list[pa.Array]) -> None:
+        self.model = model
+        self.words, self.ids = pa.concat_arrays(words), pa.concat_arrays(ids)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= HELD:
-            self.clear()
-        model = self.model
-        # what is cut is never itself a part, so a word that is there needs no cutting
-        ids = self.seen.get(word) or self.common.get(word)
-        if ids is None:
-            ids = b"".join([self.seen.get(p) or self.common.get(p) or np.array(model.ids(p), np.int32).tobytes() for p in model.parts(word)])
-        self[word] = ids
-        return ids
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        parts, bounds = cut(self.model, texts)
+        coded = parts.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.words).fill_null(-1).to_numpy().copy()
+        missing = coded.dictionary.filter(pa.array(place < 0)).to_pylist()
+        place[place < 0] = np.arange(len(self.ids), len(self.ids) + len(missing))
+        ids = pa.concat_arrays([self.ids, pa.array([self.model.ids(p) for p in missing], IDS)]) if missing else self.ids
+        each = ids.take(pa.array(place).take(coded.indices))
+        return pa.ListArray.from_arrays(each.offsets.take(pa.array(bounds)), each.values)
 
 
 #: A BPE edge is one long that sorts as pairs merge: rank of the score, start, end, whether it comes late, and id.
@@ -288,29 +329,38 @@ def folded(lattice: DataFrame, model: Model) -> DataFrame:
     return lattice.select("word", F.expr(ids).alias("ids"), "blocks")
 
 
+def _by_size(rows: Iterator[tuple[int, bytes | None]]) -> Iterator[tuple[int, list[str]]]:
+    """The texts of ``(block, text)``, some of one block at a time, ``AT_ONCE`` characters or one more text."""
+    for block, group in groupby(rows, key=itemgetter(0)):
+        texts, size = [], 0
+        for _, text in group:
+            texts.append((text or b"").decode())
+            size += len(texts[-1])
+            if size > AT_ONCE:
+                yield block, texts
+                texts, size = [], 0
+        if texts:
+            yield block, texts
+
+
 def _distinct_words(rows: DataFrame, path: str) -> DataFrame:
     """``(word, block)``: the short parts of words of ``(text, block)``, distinct as far as a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path)
-        seen: set[str] = set()  # words of block ``now``, whose parts wait to be passed on
-        parts: set[str] = set()
+        none = seen = pa.array([], pa.string())  # the parts of block ``now``, which wait to be passed on
         now = None
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()),
-                                               pa.array([now] * len(parts), pa.int32())], ["word", "block"])
+            return pa.RecordBatch.from_arrays([seen, pa.repeat(pa.scalar(now, pa.int32()), len(seen))], ["word", "block"])
 
         for batch in batches:
-            for text, block in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for block, texts in _by_size(zip(batch.column(1).to_pylist(), bytes_of(batch.column(0)), strict=True)):
                 if block != now or len(seen) > HELD:
                     yield made()
-                    seen.clear()
-                    parts.clear()
-                    now = block
-                fresh = set(words_of((text or b"").decode())) - seen
-                seen |= fresh
-                parts.update([p for w in fresh for p in own.parts(w) if len(p) <= LONGEST])
+                    seen, now = none, block
+                fresh = cut(own, texts)[0].unique()
+                seen = pa.concat_arrays([seen, fresh.filter(pc.less_equal(pc.utf8_length(fresh), LONGEST))]).unique()
         yield made()
 
     return rows.select("text", "block").mapInArrow(run, "word string, block int")
@@ -343,8 +393,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         if many > COMMON:
             most = row["uses"]  # parts that more blocks than this hold are common
             break
-    common = {r["word"]: np.array(r["ids"], np.int32).tobytes()
-              for r in found.where(F.size("blocks") > most).select("word", "ids").toLocalIterator()}
+    common = [(r["word"], r["ids"]) for r in found.where(F.size("blocks") > most).select("word", "ids").toLocalIterator()]
+    often, often_ids = pa.array([w for w, _ in common], pa.string()), pa.array([i for _, i in common], IDS)
     known = found.where(F.size("blocks") <= most).select(F.explode("blocks").alias("block"), "word", "ids")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,37 +413,32 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = load(path), zstandard.ZstdDecompressor()
-        whole = Words(own, common)
-        now = None
+        now, known = None, None
+        words, ids = [often], [often_ids]
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            part = batch.column(1).to_numpy()
-            doc_rows, out, size = [], [], 0
-            for k in range(batch.num_rows):
-                if block[k] != now:
-                    now = block[k]
-                    whole.clear()
-                    whole.seen.clear()
-                if part[k] == 0:
-                    whole.seen[batch.column(2)[k].as_py()] = batch.column(3)[k].values.to_numpy().tobytes()
+            sort = 2 * batch.column(0).to_numpy().astype(np.int64) + batch.column(1).to_numpy()
+            changes = [0, *(np.flatnonzero(np.diff(sort)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(changes, changes[1:]) if batch.num_rows else ():
+                block, part = divmod(int(sort[a]), 2)
+                if block != now:
+                    now, known = block, None
+                    words, ids = [often], [often_ids]
+                own_rows = batch.slice(a, b - a)
+                if part == 0:
+                    words.append(own_rows.column(2))
+                    ids.append(own_rows.column(3).cast(IDS))
                     continue
-                text = unpack.decompress(batch.column(5)[k].as_py()).decode()
-                doc_rows.append(k)
-                out.append(np.frombuffer(b"".join(map(whole.__getitem__, words_of(text))), np.int32))
-                size += len(out[-1])
-                if size > 1 << 21:
-                    yield made(own, batch, doc_rows, out)
-                    doc_rows, out, size = [], [], 0
-            if doc_rows:
-                yield made(own, batch, doc_rows, out)
-
-    def made(own: Model, batch: pa.RecordBatch, doc_rows: list[int], out: list[np.ndarray]) -> pa.RecordBatch:
-        bounds = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
-        columns = [batch.column(4).take(pa.array(doc_rows)),
-                   pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(out)))]
-        if decoded:
-            columns.append(pa.array([decode_ids(own, x.tolist()) for x in out], pa.string()))
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][:len(columns)])
+                if known is None:
+                    known = Known(own, words, ids)
+                    words, ids = [], []
+                at = 0
+                for _, texts in _by_size((block, unpack.decompress(x)) for x in bytes_of(own_rows.column(5))):
+                    lists = known.encode(texts)
+                    columns = [own_rows.column(4).slice(at, len(texts)), lists]
+                    if decoded:
+                        columns.append(pa.array(texts_of(own, lists), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][:len(columns)])
+                    at += len(texts)
 
     return dealt.select("block", "part", "word", "ids", "doc_id", "packed").mapInArrow(
         run, f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
@@ -407,7 +452,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            texts = [None if x is None else decode_ids(model, x) for x in batch.column(1).to_pylist()]
+            texts = texts_of(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(
