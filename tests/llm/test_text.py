@@ -241,6 +241,7 @@ def test_a_block_cut_in_many_turns_gives_the_same(spark, monkeypatch):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = ODD_TEXTS + prose(6, EN + DE, 20)
     docs = frame(spark, [(k, t, None) for k, t in enumerate(texts)]).repartition(3)
+    assert pieces.encode(docs).select(F.spark_partition_id()).distinct().count() == 3  # a task to each block
     assert {r.doc_id: r.ids for r in pieces.encode(docs).collect()} == {k: library.encode(t or "") for k, t in enumerate(texts)}
 
 

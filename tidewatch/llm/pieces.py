@@ -409,7 +409,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                         F.lit(None).cast("binary").alias("packed")).unionByName(
         packed.select("block", F.lit(1).alias("part"), F.lit(None).cast("string").alias("word"),
                       F.lit(None).cast("array<int>").alias("ids"), "doc_id", "packed"))
-    dealt = both.repartitionByRange(blocks, "block").sortWithinPartitions("block", "part")
+    dealt = both.repartitionById(blocks, "block").sortWithinPartitions("block", "part")  # a block to a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = load(path), zstandard.ZstdDecompressor()
