@@ -4,6 +4,7 @@ import json
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidewatch.streaming import feeds, timers
 
@@ -56,6 +57,46 @@ def test_many_small_documents_are_one_batch(spark, tmp_path):
     assert rows.count() == 150 and len(list((home / "out").glob("batch=*"))) == 1
 
 
+class Runs(StreamingQueryListener):
+    """The runs of streams that have ended, and the rows that their batches read."""
+
+    def __init__(self):
+        self.rows, self.ended = 0, []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.append(str(event.runId))
+
+
+def test_a_task_reads_many_documents_and_each_once(spark, tmp_path):
+    for k in range(150):
+        land(tmp_path / "in", f"{k}.json", json.dumps({"features": [quake(f"q{k}")]}) if k % 3 else "cut")
+    runs, opening = Runs(), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.streams.addListener(runs)
+    try:
+        rows, rejects = feeds.feed_readings(feeds.landed_documents(spark, str(tmp_path / "in")), "usgs", "quakes", F.current_timestamp())
+        for _ in range(100):
+            if runs.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(runs)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(runs.ended[0]) for s in tracker.getJobInfo(j).stageIds]
+    assert rows.count() == 100 and rejects.count() == 50
+    assert runs.rows == 150 and sum(s.numTasks for s in stages if s) <= 2 * feeds.LISTING
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == opening
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_folder_names_the_hazard_code(spark, tmp_path):
     alert = {"geometry": {"coordinates": [1.0, 2.0]}, "properties": {
         "eventid": "7", "name": "Flood", "fromdate": "2024-01-01T00:00:00", "iscurrent": "true", "alertlevel": "Red"}}

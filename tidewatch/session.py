@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,20 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str | int) -> Iterator[None]:
+    """Session settings that hold for a while, ``__`` in a name for its dots; a stream keeps those that it was started under."""
+    names = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in names}
+    try:
+        for key, value in names.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators import blocks, live
 from tidewatch.operators.live import ORD, last_tries, normalise, readable, snapshot_status
-from tidewatch.session import folders, fresh_path, materialise, remove
+from tidewatch.session import folders, fresh_path, materialise, remove, settings
 
 SNAPSHOT_SECONDS = 2 * 86400
 
@@ -25,6 +25,12 @@ def landed(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", f
             .option("pathGlobFilter", pattern).parquet(path))
 
 
+#: Landed files that a stream remembers between micro-batches.
+CACHED = 10_000_000
+#: What opening a document counts in bytes when documents are dealt to tasks, and the tasks that look up a batch's files.
+OPENING, LISTING = 64 << 10, 64
+
+
 def landed_documents(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: int = 128 << 20) -> DataFrame:
     """Stream of landed documents: ``body``, the ``file`` it came in, when that landed, and the ``code`` of its folder.
 
@@ -33,7 +39,8 @@ def landed_documents(spark: SparkSession, path: str, files_per_batch: int | None
     of files if ``files_per_batch`` is given: documents are small, and a batch costs as much as many of them.
     """
     most = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
-    texts = spark.readStream.option(*most).text(path, wholetext=True, recursiveFileLookup=True)
+    # all that is known to have landed is remembered between batches: by default every other batch would get 10,000 files only
+    texts = spark.readStream.option(*most).option("maxCachedFiles", CACHED).text(path, wholetext=True, recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
     return texts.select(F.col("value").alias("body"), file.alias("file"), F.col("_metadata.file_modification_time").alias("landed_at"),
                         F.regexp_extract(file, "/code=([^/]+)/", 1).alias("code"))
@@ -48,22 +55,24 @@ def feed_readings(documents: DataFrame, source: str, label: str, now, home: str
 
     A broken document costs no more than itself: it goes to the rejects whole, with a reason. A
     micro-batch overwrites what it wrote before it was repeated, and a later run with the same ``home``
-    only takes files that landed since.
+    only takes files that landed since. A task reads many documents, and each document once.
     """
     spark = documents.sparkSession
     home = home or fresh_path(spark, label)
 
     def step(batch: DataFrame, number: int) -> None:
-        good = readable(source)
-        rows = normalise(source, batch.filter(good), now, PROVENANCE)
+        judged = batch.withColumn("_good", readable(source)).persist()
+        rows = normalise(source, judged.filter("_good"), now, PROVENANCE)
         rows.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
         reason = F.when(~F.col("body").rlike(r"\S"), "empty").otherwise(f"not a {source} document")
-        batch.filter(~good).select(*PROVENANCE, F.length("body").cast("long").alias("characters"), reason.alias("reason"),
-                                   "body").write.mode("overwrite").parquet(f"{home}/rejects/batch={number}")
-
-    query = (documents.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/state")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+        judged.filter("NOT _good").select(*PROVENANCE, F.length("body").cast("long").alias("characters"), reason.alias("reason"),
+                                          "body").write.mode("overwrite").parquet(f"{home}/rejects/batch={number}")
+        judged.unpersist()
+
+    with settings(spark, spark__sql__files__openCostInBytes=OPENING, spark__sql__sources__parallelPartitionDiscovery__parallelism=LISTING):
+        query = (documents.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/state")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
     shape = normalise(source, spark.createDataFrame([], "body string, file string, landed_at timestamp, code string"), now, PROVENANCE)
     if not folders(spark, f"{home}/out"):  # nothing has landed yet
         return shape, spark.createDataFrame([], REJECTS)
