@@ -217,12 +217,11 @@ def landed_feed(t, source):
     """A feed's documents landed as files, one each; of every tenth page only the first half arrives."""
     rows = live_catalog.feed(t, source)
     half = F.col("body").substr(F.lit(1), (F.length("body") / 2).cast("int"))
-    rows = rows.withColumn("body", F.when(F.col("page") % 10 == 7, half).otherwise(F.col("body"))).drop("page")
+    rows = rows.withColumn("body", F.when(F.col("page") % 10 == 7, half).otherwise(F.col("body")))
     path = fresh_path(t.spark, f"landed-{source}")
     rows = rows.withColumn("code", F.coalesce("code", F.lit(""))) if "code" in rows.columns else rows
     keys = ["code"] if "code" in rows.columns else []
-    # tasks put their own files in place: the driver would move them one by one
-    rows.write.partitionBy(*keys).option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    sinks.write_documents(rows, path, "page", keys)
     return feeds.feed_readings(feeds.landed_documents(t.spark, path), source, f"feed-{source}", live_catalog.now_ts())
 
 

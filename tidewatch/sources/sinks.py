@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,39 @@ def write_store(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_documents(df: DataFrame, path: str, name: str, by: list[str] | None = None, body: str = "body") -> None:
+    """Each row's text with a line end as a file of its own, named by the column ``name``, below folders of the columns ``by``.
+
+    Names are meant to differ within a folder, and a repeated task then writes the same files once more. In a local or
+    mounted folder the tasks make the files themselves, as Hadoop starts processes for each one; elsewhere Spark's writer
+    makes and names them.
+    """
+    by = by or []
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        df.select(*by, body).write.partitionBy(*by).option("maxRecordsPerFile", 1).option(
+            "mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+        return
+    root = where.toUri().getPath()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                folder = os.path.join(root, *[f"{c}={quote(row[c] or '__HIVE_DEFAULT_PARTITION__', safe='')}" for c in by])
+                os.makedirs(folder, exist_ok=True)
+                file = os.path.join(folder, f"doc-{quote(str(row['_name']), safe='')}.txt")
+                part = os.path.join(folder, f"_{os.path.basename(file)}-{os.urandom(8).hex()}")  # what begins so is not read
+                with open(part, "w", encoding="utf-8", newline="") as out:
+                    out.write(f"{row['_body'] or ''}\n")
+                os.replace(part, file)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in by], F.col(name).cast("string").alias("_name"), F.col(body).alias("_body"))
+    os.makedirs(root, exist_ok=True)
+    rows.mapInArrow(put, "files long").agg(F.sum("files")).collect()
+
+
 def build_metadata(tables: dict[str, DataFrame], year: str = "year") -> DataFrame:
     """Rows and first and last year of each table, one line per table."""
     out = None
