@@ -202,9 +202,9 @@ def merged_leaders(readings: DataFrame, home: str, order: tuple[str, ...] = ("up
         newer = F.struct(*order) >= F.struct(*[f"_{c}" for c in order])
         fresh = materialise(latest.join(known, "eid", "left").filter(F.coalesce(newer, F.lit(True))).select("eid", *fields), "merge-fresh")
         keyed = before.select("block", "eid").join(live.matching_columns(before.select(*fields)).select("eid", F.explode("keys").alias("key")), "eid")
-        reached = (live.matching_columns(fresh.select(*fields)).select(F.explode("keys").alias("key"))
-                   .select(F.explode(live._around(blocks._timeless())).alias("place")).distinct())
-        touched = (keyed.withColumn("place", blocks._timeless()).join(reached, "place").select("block")
+        reached = live.matching_columns(fresh.select(*fields)).select(F.explode("keys").alias("key"))
+        reached = live.around(reached.select(live.timeless(F.col("key")).alias("place")).distinct(), "place").distinct()
+        touched = (keyed.withColumn("place", live.timeless(F.col("key"))).join(reached, "place").select("block")
                    .unionByName(before.join(fresh.select("eid"), "eid", "left_semi").select("block")).distinct())
         again = before.join(touched, "block", "left_semi").join(fresh.select("eid"), "eid", "left_anti").select(*fields)
         rows = materialise(again.unionByName(fresh.select(*fields)), "merge-rows")
